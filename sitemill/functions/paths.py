@@ -7,40 +7,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from sitemill import constants as K
-from sitemill.functions.binding import let
+from sitemill.functions.binding import apply_sql, let, let_sql, once
 from sitemill.functions.unicode import has_control, has_invisible, nfc, utf16_length
 
-_REPLACEMENT = "�"
+# ------------------------------------------------------------------ SQL texts of the shared steps
 
+_ICU_NFC = "reflect('com.ibm.icu.text.Normalizer', 'compose', {v}, false)"
 
-def percent_decode(c: Column) -> Column:
-    """Strict decoding: null for malformed escapes or bytes that are not UTF-8; '+' stays '+'."""
-    bad = lambda value: F.length(value) - F.length(F.replace(value, F.lit(_REPLACEMENT), F.lit("")))
 
-    def checked(raw: Column) -> Column:
-        meant = bad(raw) + F.regexp_count(raw, F.lit("(?i)%EF%BF%BD"))
-        decoded = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
-        return let(decoded, lambda text: F.when(bad(text) == meant, text))
+def _utf16(v: str) -> str:
+    return f"(length({v}) + regexp_count({v}, r'[\\x{{10000}}-\\x{{10FFFF}}]'))"
 
-    return let(c, lambda raw: F.when(raw.contains("%"), checked(raw)).otherwise(raw))
 
+def _decode(v: str) -> str:
+    """Strict percent decoding: null for malformed escapes or bytes that are not UTF-8; '+' stays '+'."""
+    marks = lambda x: f"(length({x}) - length(replace({x}, '\\uFFFD', '')))"
+    checked = let_sql(
+        f"try_url_decode(replace({v}, '+', '%2B'))", "d",
+        f"CASE WHEN {marks('d')} = {marks(v)} + regexp_count({v}, '(?i)%EF%BF%BD') THEN d END",
+    )
+    return f"CASE WHEN contains({v}, '%') THEN {checked} ELSE {v} END"
 
-def safe_page_path(c: Column) -> Column:
-    """Decoded NFC path of an own page, or null when decoding could change its meaning."""
+
+def _nfc(v: str) -> str:
+    return rf"CASE WHEN {v} RLIKE r'[^\x00-\x7F]' THEN {_ICU_NFC.format(v=v)} ELSE {v} END"
+
+
+def _decoded_nfc(v: str) -> str:
+    return let_sql(_decode(v), "u", _nfc("u"))
+
+
+def percent_decode(c: Column) -> Column:
+    return apply_sql(c, "v", _decode("v"))
+
+
+def _safe_path(v: str) -> str:
     raw_ok = (
-        (F.length(c) <= K.MAX_PATH)
-        & c.rlike(r"\A/(?!/)")
-        & ~c.rlike(r"[\\\x00-\x20\x7F-\x9F?#]")
-        & ~c.rlike(r"(?i)%(?:2f|5c|00|3f|23)")
+        rf"length({v}) <= {K.MAX_PATH} AND {v} RLIKE r'\A/(?!/)' AND NOT {v} RLIKE r'[\\\x00-\x20\x7F-\x9F?#]' "
+        f"AND NOT {v} RLIKE r'(?i)%(?:2f|5c|00|3f|23)'"
     )
-    path_ok = lambda path: (
-        ~path.rlike(r"[%?#\\\s\p{Z}]")
-        & ~has_control(path)
-        & ~has_invisible(path)
-        & ~path.rlike(r"/\.{1,2}(?:/|\z)")
-        & ~path.rlike(r"//")
+    path_ok = (
+        r"NOT p RLIKE r'[%?#\\\s\p{Z}\x00-\x1F\x7F-\x9F\p{Cf}]' "
+        r"AND NOT p RLIKE r'/\.{1,2}(?:/|\z)' AND NOT p RLIKE '//'"
     )
-    return let(nfc(percent_decode(F.when(raw_ok, c))), lambda path: F.when(path_ok(path), path))
+    return let_sql(let_sql(f"CASE WHEN {raw_ok} THEN {v} END", "r", _decoded_nfc("r")), "p", f"CASE WHEN {path_ok} THEN p END")
+
+
+def safe_page_path(c: Column) -> Column:
+    """Decoded NFC path of an own page, or null when decoding could change its meaning."""
+    return apply_sql(c, "v", _safe_path("v"))
 
 
 def bundle_path(c: Column) -> Column:
@@ -59,25 +74,21 @@ def page_stem(c: Column) -> Column:
     return F.regexp_replace(F.ltrim(c, F.lit("/")), r"(?i)\.html\z", "")
 
 
+def _segments(v: str) -> str:
+    encoded_ok = rf"NOT {v} RLIKE r'(?i)%(?:2f|5c|[01][0-9a-f])' AND NOT {v} RLIKE r'[\\\x00-\x1F]' AND length({v}) > 0"
+    part_ok = rf"s <> '' AND NOT s RLIKE r'\A\.{{1,2}}\z' AND {_utf16('s')} <= {K.MAX_SEGMENT_UNITS}"
+    named = (
+        r"named_struct('segments', concat(slice(t, 1, size(t) - 1), array(regexp_replace(element_at(t, -1), r'(?i)\.html\z', ''))), "
+        r"'path', regexp_replace(n, r'(?i)\.html\z', ''), 'requested', concat('/', n))"
+    )
+    ok = rf"size(t) <= {K.MAX_SEGMENTS} AND NOT element_at(t, -1) RLIKE r'(?i)\A\.html\z' AND forall(t, s -> {part_ok})"
+    split = let_sql("split(n, '/')", "t", f"CASE WHEN {ok} THEN {named} END")
+    return let_sql(let_sql(f"CASE WHEN {encoded_ok} THEN {v} END", "r", _decoded_nfc("r")), "n", split)
+
+
 def normalize_segments(c: Column) -> Column:
     """struct(segments, path, requested) of a raw address without its leading slash, or null."""
-    encoded_ok = ~c.rlike(r"(?i)%(?:2f|5c|[01][0-9a-f])") & ~c.rlike(r"[\\\x00-\x1F]") & (F.length(c) > 0)
-    def split(decoded: Column) -> Column:
-        parts = F.split(decoded, "/")
-        last = F.regexp_replace(F.element_at(parts, -1), r"(?i)\.html\z", "")
-        ok = (F.size(parts) <= K.MAX_SEGMENTS) & (last != "") & F.forall(
-            parts,
-            lambda part: (part != "") & ~part.rlike(r"\A\.{1,2}\z") & (utf16_length(part) <= K.MAX_SEGMENT_UNITS),
-        )
-        segments = F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(last))
-        named = F.struct(
-            segments.alias("segments"),
-            F.regexp_replace(decoded, r"(?i)\.html\z", "").alias("path"),
-            F.concat(F.lit("/"), decoded).alias("requested"),
-        )
-        return F.when(ok, named)
-
-    return let(nfc(percent_decode(F.when(encoded_ok, c))), split)
+    return apply_sql(c, "v", _segments("v"))
 
 
 _SEGMENT = r"[\p{L}\p{M}\p{N}_~-][\p{L}\p{M}\p{N}_.~-]*"
@@ -103,26 +114,17 @@ def entity_key(prefix: str, c: Column) -> Column:
 
 # ------------------------------------------------------------------ addresses with a host
 
+_URL = r"\A([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
+_AUTHORITY = r"\A[^/]*://(?:[^/?#]*@)?"
+
+
 def url_parts(c: Column) -> Column:
     """struct of an absolute URL split by position; null when there is no scheme and authority."""
-    shape = r"\A([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
-    plain_authority = r"\A[^/]*://(?:[^/?#]*@)?"
-
-    def split(raw: Column) -> Column:
-        return F.when(
-            raw.rlike(shape),
-            F.struct(
-                F.lower(F.regexp_extract(raw, shape, 1)).alias("scheme"),
-                F.lower(F.regexp_extract(raw, plain_authority + r"([^/?#:@]*)", 1)).alias("host"),
-                F.regexp_extract(raw, plain_authority + r"[^/?#:@]*:([0-9]+)(?:[/?#]|\z)", 1).alias("port"),
-                F.regexp_extract(raw, shape, 2).contains("@").alias("has_user"),
-                F.regexp_extract(raw, shape, 3).alias("path"),
-                F.regexp_extract(raw, shape, 4).alias("query"),
-                F.regexp_extract(raw, shape, 5).alias("fragment"),
-            ),
-        )
-
-    return let(c, split)
+    part = lambda shape, group: f"regexp_extract(v, r'{shape}', {group})"
+    return apply_sql(c, "v", f"""CASE WHEN v RLIKE r'{_URL}' THEN named_struct(
+ 'scheme', lower({part(_URL, 1)}), 'host', lower({part(_AUTHORITY + '([^/?#:@]*)', 1)}),
+ 'port', {part(_AUTHORITY + '[^/?#:@]*:([0-9]+)(?:[/?#]|' + chr(92) + 'z)', 1)}, 'has_user', contains({part(_URL, 2)}, '@'),
+ 'path', {part(_URL, 3)}, 'query', {part(_URL, 4)}, 'fragment', {part(_URL, 5)}) END""")
 
 
 def _is_own_host(host: Column, hosts: Sequence[str] | None, suffix: str | None) -> Column:
@@ -159,6 +161,7 @@ def public_url(c: Column) -> Column:
     )
 
 
+@once
 def request_identity(c: Column) -> Column:
     """The captured spelling kept beside the decoded key."""
     shape = r"(?i)\Ahttps://[^/?#]+(/[^?#]*)?(\?[^#]*)?(#.*)?\z"
@@ -194,48 +197,51 @@ def shadowed_route(route: Column, collection: Column, legacy: Column) -> Column:
     return is_app_route(route) | (fixed_section(route).isNotNull() & ~own_section)
 
 
+def _quoted(values: Sequence[str]) -> str:
+    return ", ".join(f"'{value}'" for value in values)
+
+
+_PLAIN = rf"v RLIKE r'\A/(?!/)' AND length(v) <= {K.MAX_PATH} AND "
+_UNSLASHED = r"regexp_replace(v, r'\A/|/+\z', '')"
+
+
 def public_seo_path(c: Column) -> Column:
     """Address fit for search engines, decoded; null for application, account and unsafe ones."""
-    plain = c.rlike(r"\A/(?!/)") & (F.length(c) <= K.MAX_PATH) & ~c.rlike(r"[?#\\\s\p{Z}\x00-\x1F\x7F]")
-    parts = normalize_segments(F.when(plain & (c != "/"), F.regexp_replace(c, r"\A/|/+\z", "")))
-
-    def public(found: Column) -> Column:
-        first = F.regexp_replace(F.lower(found["segments"][0]), r"\.html\z", "")
-        ok = (
-            ~is_app_route(found["path"])
-            & ~found["requested"].rlike(r"[?#%\\\s\p{Z}\x00-\x1F\x7F]")
-            & ~first.isin(*(K.APP_SEGMENTS + K.NON_PUBLIC_SEGMENTS))
-            & ~found["path"].startswith("component/user")
-        )
-        return F.when(ok, found["requested"])
-
-    return F.when(plain & (c == "/"), F.lit("/")).otherwise(let(parts, public))
+    first = r"regexp_replace(lower(m.segments[0]), r'\.html\z', '')"
+    ok = (
+        f"NOT m.path IN ({_quoted(K.APP_EXACT)}) AND NOT m.segments[0] IN ({_quoted(K.APP_SEGMENTS)}) "
+        r"AND NOT m.requested RLIKE r'[?#%\\\s\p{Z}\x00-\x1F\x7F]' "
+        f"AND NOT {first} IN ({_quoted(K.APP_SEGMENTS + K.NON_PUBLIC_SEGMENTS)}) AND NOT startswith(m.path, 'component/user')"
+    )
+    plain = _PLAIN + r"NOT v RLIKE r'[?#\\\s\p{Z}\x00-\x1F\x7F]'"
+    inner = let_sql(f"CASE WHEN {plain} AND v <> '/' THEN {_UNSLASHED} END", "q", _segments("q"))
+    return apply_sql(c, "v", f"CASE WHEN v = '/' THEN '/' ELSE {let_sql(inner, 'm', f'CASE WHEN {ok} THEN m.requested END')} END")
 
 
 def decoded_request(c: Column) -> Column:
     """Decoded address as the resolver looks it up ('/' stays '/'), or null."""
-    plain = c.rlike(r"\A/(?!/)") & (F.length(c) <= K.MAX_PATH) & ~c.rlike(r"[?#\\\x00-\x1F\x7F]")
-    parts = normalize_segments(F.when(plain & (c != "/"), F.regexp_replace(c, r"\A/|/+\z", "")))
-    ok = lambda text: ~text.rlike(r"[?#%\\\x00-\x1F\x7F]")
-    return F.when(c == "/", F.lit("/")).otherwise(let(parts["requested"], lambda text: F.when(ok(text), text)))
+    plain = _PLAIN + r"NOT v RLIKE r'[?#\\\x00-\x1F\x7F]'"
+    inner = let_sql(f"CASE WHEN {plain} AND v <> '/' THEN {_UNSLASHED} END", "q", _segments("q"))
+    ok = r"NOT m.requested RLIKE r'[?#%\\\x00-\x1F\x7F]'"
+    return apply_sql(c, "v", f"CASE WHEN v = '/' THEN '/' ELSE {let_sql(inner, 'm', f'CASE WHEN {ok} THEN m.requested END')} END")
 
 
 def content_href(c: Column) -> Column:
     """Site link of a content path: leading slash and '.html' added, schemes rejected."""
-    raw = F.trim(c)
-    ok = (raw != "") & ~raw.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:") & ~raw.startswith("//") & ~raw.contains("\\")
-    path = F.concat(F.lit("/"), F.regexp_replace(raw, r"\A/+", ""))
-    return F.when(ok, F.when(path.rlike(r"(?i)(?:/|\.html)\z"), path).otherwise(F.concat(path, F.lit(".html"))))
+    ok = r"v <> '' AND NOT v RLIKE r'(?i)\A[a-z][a-z0-9+.-]*:' AND NOT startswith(v, '//') AND NOT contains(v, r'\')"
+    named = let_sql(r"concat('/', regexp_replace(v, r'\A/+', ''))", "p", r"CASE WHEN p RLIKE r'(?i)(?:/|\.html)\z' THEN p ELSE concat(p, '.html') END")
+    return apply_sql(F.trim(c), "v", f"CASE WHEN {ok} THEN {named} END")
 
 
 def canonical_path(built: Column, legacy: Column) -> Column:
     """The old address when it is a plain site path, else the built one; no trailing slash."""
-    old = F.trim(legacy)
-    usable = old.rlike(r"\A/(?![/\\])") & ~old.rlike(r"[?#\\\s]")
-    path = F.when(usable, old).otherwise(built)
-    return F.when(path == "/", path).otherwise(F.nullif(F.regexp_replace(path, r"/+\z", ""), F.lit("")))
+    usable = r"v.legacy RLIKE r'\A/(?![/\\])' AND NOT v.legacy RLIKE r'[?#\\\s]'"
+    path = f"CASE WHEN {usable} THEN v.legacy ELSE v.built END"
+    body = let_sql(path, "p", r"CASE WHEN p = '/' THEN p ELSE nullif(regexp_replace(p, r'/+\z', ''), '') END")
+    return apply_sql(F.struct(built.alias("built"), F.trim(legacy).alias("legacy")), "v", body)
 
 
+@once
 def public_canonical(c: Column) -> Column:
     """Keeps only a page number from 2 to 1000 of the query."""
     path = F.split(c, r"\?")[0]
@@ -255,6 +261,7 @@ def parse_page(c: Column, maximum: int = 1000) -> Column:
     return F.coalesce(F.least(F.greatest(number, F.lit(1)), F.lit(maximum)), F.lit(1))
 
 
+@once
 def search_query(c: Column) -> Column:
     """Trimmed, single spaces, at most 80 characters; shorter than 2 is no search."""
     text = F.substring(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1F\s]+", " ")), 1, 80)
@@ -301,6 +308,7 @@ def path_candidates(path: Column) -> Column:
     )
 
 
+@once
 def measurement_path(c: Column) -> Column:
     """Public path only: no query, private area or traversal."""
     ok = c.rlike(r"\A/(?!/)") & (utf16_length(c) <= K.MAX_PATH) & ~c.rlike(r"[\\\x00-\x1F\x7F]")

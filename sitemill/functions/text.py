@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sitemill.functions.binding import let
+from sitemill.functions.binding import let, once
 from sitemill.functions.unicode import collapse_spaces, nfkc
 
 
@@ -33,6 +33,7 @@ def excerpt(c: Column, maximum: int = 160) -> Column:
     return let(collapse_spaces(c), lambda text: F.when(F.length(text) <= maximum, text).otherwise(shortened(text)))
 
 
+@once
 def tel_link(text: Column) -> Column:
     """'tel:' link of one written number, or null when the text does not name one number."""
     digits = F.regexp_replace(text, r"[\s().-]", "")
@@ -57,10 +58,11 @@ def tel_href(raw: Column) -> Column:
 _EMAIL = r"\A[^\s@]+@[^\s@]+\.[^\s@]+\z"
 
 
+@once
 def valid_email(c: Column) -> Column:
     """Lower-case trimmed address, or null."""
-    address = F.lower(F.trim(c))
-    return F.when(address.rlike(_EMAIL) & (F.length(address) <= 254) & ~address.rlike(r"[\x00-\x1F]"), address)
+    ok = lambda address: address.rlike(_EMAIL) & (F.length(address) <= 254) & ~address.rlike(r"[\x00-\x1F]")
+    return let(F.lower(F.trim(c)), lambda address: F.when(ok(address), address))
 
 
 def xml_escape(c: Column) -> Column:

@@ -173,3 +173,19 @@ def cascade_drop(dropped: DataFrame, needs: DataFrame) -> DataFrame:
     with its round (0 for the first drops)."""
     links = needs.select(F.col("needs_id").alias("src"), F.col("id").alias("dst"))
     return reachable(links, dropped.select(F.col("id").alias("node"))).select(F.col("node").alias("id"), F.col("steps").alias("round"))
+
+
+def chain_members(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """pointers(node, next) with at most one next per node, starts(node) -> every node on the chains
+    from the starts. Marks and pointers double each round."""
+    jump = cut_lineage(pointers.where("next is not null").select("node", "next"))
+    marked = cut_lineage(starts.select("node").distinct())
+    while _has_rows(jump):
+        fresh = marked.join(jump, "node").select(F.col("next").alias("node")).join(marked, "node", "left_anti").distinct()
+        fresh = cut_lineage(fresh)
+        if not _has_rows(fresh):
+            break
+        marked = marked.unionByName(fresh)
+        ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        jump = cut_lineage(jump.join(ahead, "next").select("node", F.col("far").alias("next")))
+    return marked
