@@ -199,24 +199,24 @@ base AS (SELECT url, final_url, capture_state, regexp_extract(url,'^https://[^/]
 {_CANON},
 ask AS (SELECT substring(path,2) AS raw FROM base UNION SELECT substring(dst,2) FROM red UNION SELECT substring(canonical,2) FROM canon),
 {_RESOLVE},
-walk AS (SELECT path AS start, path AS at, 0 AS hops, [path] AS seen, false AS loop FROM base WHERE NOT q
+walk AS (SELECT path AS start, path AS spot, 0 AS hops, [path] AS seen, false AS loop FROM base WHERE NOT q
  UNION ALL SELECT w.start, r.dst, w.hops + 1, list_append(w.seen, r.dst), list_contains(w.seen, r.dst)
- FROM walk w JOIN red r ON r.src = w.at WHERE NOT w.loop AND w.hops < 21 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.raw = substring(w.at,2))),
-fin AS (SELECT start, arg_max(at, hops) AS at, max(hops) AS hops, bool_or(loop) AS loop FROM walk GROUP BY start),
-st AS (SELECT b.url AS old_url, b.path AS old_path, b.q, b.final_url, b.capture_state, coalesce(f.hops,0) AS hops, coalesce(f.loop,false) AS loop, f.at, h.kind, h.id,
+ FROM walk w JOIN red r ON r.src = w.spot WHERE NOT w.loop AND w.hops < 21 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.raw = substring(w.spot,2))),
+fin AS (SELECT start, arg_max(spot, hops) AS spot, max(hops) AS hops, bool_or(loop) AS loop FROM walk GROUP BY start),
+st AS (SELECT b.url AS old_url, b.path AS old_path, b.q, b.final_url, b.capture_state, coalesce(f.hops,0) AS hops, coalesce(f.loop,false) AS loop, f.spot, h.kind, h.id,
   c.canonical, ch.kind = h.kind AND ch.id = h.id AS ok, own.src IS NOT NULL AS own, NOT b.q AND NOT coalesce(f.loop,false) AND h.kind IS NOT NULL AS reached
- FROM base b LEFT JOIN fin f ON f.start = b.path AND NOT b.q LEFT JOIN hit h ON h.raw = substring(f.at,2)
+ FROM base b LEFT JOIN fin f ON f.start = b.path AND NOT b.q LEFT JOIN hit h ON h.raw = substring(f.spot,2)
  LEFT JOIN canon c ON c.kind = h.kind AND c.id = h.id LEFT JOIN hit ch ON ch.raw = substring(c.canonical,2) LEFT JOIN (SELECT DISTINCT src FROM red) own ON own.src = b.path),
 iss AS (SELECT *, CASE WHEN q THEN [] ELSE list_filter([
   CASE WHEN capture_state <> 'captured' THEN 'source-capture-' || capture_state END, CASE WHEN loop THEN 'redirect-loop' END,
   CASE WHEN reached AND NOT coalesce(ok,false) THEN 'canonical-does-not-resolve-to-same-record' END,
   CASE WHEN reached AND hops > 1 THEN 'existing-redirect-chain-needs-flattening' END,
-  CASE WHEN reached AND hops > 0 AND canonical <> at THEN 'redirect-target-canonical-elsewhere' END,
+  CASE WHEN reached AND hops > 0 AND canonical <> spot THEN 'redirect-target-canonical-elsewhere' END,
   CASE WHEN reached AND hops = 0 AND own THEN 'stored-redirect-shadowed-by-published-content' END,
-  CASE WHEN reached AND hops = 0 AND canonical <> at THEN 'served-alias-canonical-elsewhere' END], x -> x IS NOT NULL) END AS issues FROM st),
-mig AS (SELECT old_url, old_path, CASE WHEN reached THEN at END AS new_path,
+  CASE WHEN reached AND hops = 0 AND canonical <> spot THEN 'served-alias-canonical-elsewhere' END], lambda x: x IS NOT NULL) END AS issues FROM st),
+mig AS (SELECT old_url, old_path, CASE WHEN reached THEN spot END AS new_path,
  CASE WHEN q THEN 'review' WHEN NOT reached THEN CASE WHEN len(issues) > 0 THEN 'review' ELSE 'unresolved404' END
-  WHEN len(list_filter(issues, x -> x NOT IN ('served-alias-canonical-elsewhere','stored-redirect-shadowed-by-published-content'))) > 0 THEN 'review'
+  WHEN len(list_filter(issues, lambda x: x NOT IN ('served-alias-canonical-elsewhere','stored-redirect-shadowed-by-published-content'))) > 0 THEN 'review'
   WHEN hops > 0 THEN 'redirect301' ELSE 'retained200' END AS disposition,
  CASE WHEN q THEN NULL WHEN NOT reached THEN CASE WHEN loop THEN NULL ELSE 404 END WHEN hops > 0 THEN 301 ELSE 200 END AS current_status,
  CASE WHEN reached THEN canonical END AS canonical_path, CASE WHEN reached THEN kind END AS resolved_kind, CASE WHEN reached THEN id END AS record_id,

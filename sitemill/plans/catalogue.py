@@ -39,7 +39,7 @@ def product_documents(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", doc.alias("doc")).select("id", F.regexp_count("doc", F.lit('"@type":"Offer"')).alias("offers"), F.regexp_count("doc", F.lit("InStock")).alias("in_stock"), F.get_json_object("doc", "$.sku").alias("sku"))
 
 
-_QUERY = "  STEEL  "
+_QUERY = "  RED   Widget "
 
 
 def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +162,7 @@ ORACLES = {
  SELECT *, CASE WHEN known IS NULL THEN 'unknown' WHEN known > 0 THEN 'in' ELSE 'out' END AS state FROM f""",
     "product_documents": f"""{_PV}, g AS (SELECT product_id, count(*) n, count(*) FILTER (stock > 0) AS i FROM v_variant GROUP BY 1)
  SELECT p.id, CAST(coalesce(g.n, 1) AS INTEGER) AS offers, CAST(CASE WHEN g.n IS NULL THEN CASE WHEN p.stock > 0 THEN 1 ELSE 0 END ELSE g.i END AS INTEGER) AS in_stock, p.sku FROM v_product p LEFT JOIN g ON g.product_id = p.id WHERE p.published""",
-    "catalog_search": f"{_P} SELECT id, name FROM v_product WHERE published AND contains(lower(concat_ws(' ', name, manufacturer, sku)), 'steel')",
+    "catalog_search": f"{_P} SELECT id, name FROM v_product WHERE published AND contains(lower(concat_ws(' ', name, manufacturer, sku)), 'red widget')",
     "catalog_page": f"{_P} SELECT id, name FROM v_product WHERE published ORDER BY name, id LIMIT 24 OFFSET 48",
     "catalog_totals": f"{_P} SELECT count(*) AS total_docs, CAST(ceil(count(*) / 24.0) AS BIGINT) AS total_pages FROM v_product WHERE published",
     "featured_or_fallback": f"{_P} SELECT id, name, featured FROM v_product WHERE published AND featured ORDER BY name, id LIMIT 4",

@@ -117,13 +117,13 @@ _OBS = """obs AS (SELECT concat('c-', CAST(l_partkey % 97 AS VARCHAR)) AS slug,
 
 ORACLES = {
     "redirect_closure": f"""{_RED}, e AS (SELECT src, dst FROM v_redirect WHERE src NOT IN (SELECT concat('/r-', CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_custkey % 4 = 0)),
- w AS (SELECT src, dst AS at, 1 AS hops, [src, dst] AS seen, src = dst AS cyc FROM e
-  UNION ALL SELECT w.src, e.dst, hops + 1, list_append(seen, e.dst), list_contains(seen, e.dst) FROM w JOIN e ON e.src = w.at WHERE NOT cyc AND hops < 21),
- f AS (SELECT src, arg_max(at, hops) AS final, max(hops) AS hops, bool_or(cyc) OR max(hops) > 20 AS cycle FROM w GROUP BY src)
+ w AS (SELECT src, dst AS spot, 1 AS hops, [src, dst] AS seen, src = dst AS cyc FROM e
+  UNION ALL SELECT w.src, e.dst, hops + 1, list_append(seen, e.dst), list_contains(seen, e.dst) FROM w JOIN e ON e.src = w.spot WHERE NOT cyc AND hops < 21),
+ f AS (SELECT src, arg_max(spot, hops) AS final, max(hops) AS hops, bool_or(cyc) OR max(hops) > 20 AS cycle FROM w GROUP BY src)
  SELECT src, CASE WHEN NOT cycle THEN final END AS final, CASE WHEN NOT cycle THEN hops END AS hops, cycle FROM f""",
-    "redirect_cycles": f"""{_RED}, w AS (SELECT src, dst AS at, 1 AS n, [dst] AS seen FROM v_redirect
-  UNION ALL SELECT w.src, e.dst, n + 1, list_append(seen, e.dst) FROM w JOIN v_redirect e ON e.src = w.at WHERE w.at <> w.src AND NOT list_contains(seen, e.dst))
- SELECT DISTINCT src AS node FROM w WHERE at = src""",
+    "redirect_cycles": f"""{_RED}, w AS (SELECT src, dst AS spot, 1 AS n, [dst] AS seen FROM v_redirect
+  UNION ALL SELECT w.src, e.dst, n + 1, list_append(seen, e.dst) FROM w JOIN v_redirect e ON e.src = w.spot WHERE w.spot <> w.src AND NOT list_contains(seen, e.dst))
+ SELECT DISTINCT src AS node FROM w WHERE spot = src""",
     "redirect_conflicts": f"{_RED} SELECT CAST(id % 200 AS VARCHAR) AS src, count(DISTINCT dst) AS targets FROM v_redirect GROUP BY 1 HAVING count(DISTINCT dst) > 1",
     "dependency_levels": f"""{with_views('v_category', 'v_product')}, lv AS (SELECT id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS level FROM v_category)
  SELECT id, level FROM lv UNION ALL SELECT p.id + 1000, lv.level + 1 FROM v_product p JOIN lv ON lv.id = p.category_id""",
@@ -135,8 +135,8 @@ ORACLES = {
  SELECT id, ancestor, depth FROM w""",
     "category_roots": f"{with_views('v_category')} SELECT id, name FROM v_category WHERE id <> 2 AND (parent_id IS NULL OR parent_id = 2)",
     "category_cycle_repair": """WITH RECURSIVE n AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 < 5 THEN CASE WHEN s_suppkey % 3 = 2 THEN s_suppkey - 2 ELSE s_suppkey + 1 END WHEN s_suppkey > 0 THEN s_suppkey // 2 END AS parent_id FROM supplier),
- w AS (SELECT id, parent_id AS at, [id] AS seen FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.id, n.parent_id, list_append(seen, w.at) FROM w JOIN n ON n.id = w.at WHERE n.parent_id IS NOT NULL AND w.at <> w.id AND NOT list_contains(seen, w.at)),
- c AS (SELECT DISTINCT id FROM w WHERE at = id)
+ w AS (SELECT id, parent_id AS spot, [id] AS seen FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.id, n.parent_id, list_append(seen, w.spot) FROM w JOIN n ON n.id = w.spot WHERE n.parent_id IS NOT NULL AND w.spot <> w.id AND NOT list_contains(seen, w.spot)),
+ c AS (SELECT DISTINCT id FROM w WHERE spot = id)
  SELECT n.id, CASE WHEN c.id IS NULL THEN n.parent_id END AS parent_id, c.id IS NOT NULL AS was_cyclic FROM n LEFT JOIN c USING (id)""",
     "category_subtree_products": f"""{with_views('v_category', 'v_product')}, m AS (SELECT id AS product_id, category_id FROM v_product UNION SELECT id, 100 + (id * 7) % 25 FROM v_product),
  tree AS (SELECT id AS root, id AS category_id FROM v_category UNION SELECT parent_id, id FROM v_category WHERE parent_id IS NOT NULL)
