@@ -8,7 +8,7 @@ from sitemill import constants as K
 from sitemill.functions import money as M
 from sitemill.operators.graph import chain_members
 from sitemill.operators.ordered import next_marked, position_in_key, previous_value, running_sum, top_k
-from sitemill.session import broadcast_if_small, cut_lineage
+from sitemill.session import cut_lineage
 
 
 # ------------------------------------------------------------------ quotes
@@ -87,7 +87,7 @@ def quote_orders(priced: DataFrame) -> DataFrame:
 def add_delivery(quotes: DataFrame, methods: DataFrame, threshold: int | None, surcharge: dict[str, int] | None = None) -> DataFrame:
     """quotes(order_id, subtotal_cents, method, payment), methods(method, price_cents, payments array) ->
     totals, or a reject when the pair is not offered. Delivery is free from the threshold on."""
-    joined = quotes.join(broadcast_if_small(methods), "method", "left")
+    joined = quotes.join(methods, "method", "left")
     extra = F.lit(0).cast("long")
     for payment, cents in (surcharge or {}).items():
         extra = F.when(F.col("payment") == payment, F.lit(cents).cast("long")).otherwise(extra)
@@ -217,7 +217,7 @@ def payment_verdicts(events: DataFrame, attempts: DataFrame) -> DataFrame:
         F.min_by(F.struct(F.col("id").alias("first_id"), F.col("at").alias("first_at"), F.col("digest").alias("first_digest")), F.struct("at", "id")).alias("f")
     )
     joined = checked.join(first, "event_key", "left")
-    later = F.coalesce(F.struct("at", "id") > F.struct(F.col("f.first_at"), F.col("f.first_id")), F.lit(False))
+    later = F.col("f").isNotNull() & (F.struct("at", "id") > F.struct(F.col("f.first_at"), F.col("f.first_id")))
     stored = F.coalesce(F.col("id") == F.col("f.first_id"), F.lit(False))
     repeat = F.when(later & (F.col("digest") == F.col("f.first_digest")), F.lit("duplicate")).when(later, F.lit("digest-mismatch"))
     state = joined.withColumn("repeat", repeat).withColumn("stored", stored)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sitemill.plans import addresses, catalogue, graphs, schedule
+from sitemill.plans import addresses, catalogue, graphs, records, schedule, shop
 
-_MODULES = [addresses, graphs, catalogue, schedule]
+_MODULES = [addresses, graphs, catalogue, schedule, records, shop]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -1,10 +1,13 @@
-"""Session settings, lineage cuts and size-checked broadcasts shared by every job."""
+"""Session settings and lineage cuts shared by every job.
+
+No job carries a broadcast hint: Spark broadcasts a side only when its size is known to be below
+spark.sql.autoBroadcastJoinThreshold, at planning or (AQE) at run time, and shuffles it otherwise."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the jobs rely on. Shuffle partitions are left to the cluster: AQE merges
 # small ones and splits skewed ones, so no number is hard-wired to a data size.
@@ -15,9 +18,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
-# A side is broadcast only below this many bytes (see broadcast_if_small).
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -43,14 +43,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the data survives the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, in bytes; no job is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hints a broadcast only when the estimate proves the side fits; else the join shuffles."""
-    return F.broadcast(df) if planned_bytes(df) <= limit else df
