@@ -36,7 +36,8 @@ def read_captures(spark: SparkSession, pages: str, manifest: str, fmt: str = "js
 def read_bundle(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables of a bundle folder (source, entities, media as JSON lines) and the envelope issues."""
     source = _read(spark, f"{folder}/source", S.SOURCE, "json")
-    entities = _read(spark, f"{folder}/entities", S.ENTITY, "json", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    parsed = F.from_json("value", S.ENTITY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    entities = spark.read.text(f"{folder}/entities").select(parsed.alias("e")).select("e.*")
     media = _read(spark, f"{folder}/media", S.MEDIA, "json")
     envelope = F.array_compact(F.array(
         F.when(~F.col("version").eqNullSafe(F.lit(1)), F.lit("version")),

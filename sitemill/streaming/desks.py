@@ -7,7 +7,6 @@ batch functions of operators.commerce give the same verdicts over complete table
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -15,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from sitemill import constants as K
 from sitemill.operators.commerce import ORDER_MOVES
 
+MINUTE = 60_000  # deadlines are UTC milliseconds
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,12 +33,12 @@ class Desk(StatefulProcessor):
         self.table = {name: handle.getMapState(name, *schemas) for name, schemas in self.maps.items()}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda row: (row["at"], row["id"])):
+        for row in sorted(rows, key=lambda row: (row["ms"], row["id"])):
             yield from self.step(key[0], row)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # a cleared or replaced deadline leaves its timer behind, so the state decides what is due
-        yield from self.late(key[0], datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000))
+        yield from self.late(key[0], expiredTimerInfo.getExpiryTimeInMs())
 
     def late(self, key, now) -> Iterator[Row]:
         return iter(())
@@ -54,15 +54,15 @@ class Desk(StatefulProcessor):
     def put(self, name, *values):
         self.value[name].update(values)
 
-    def at(self, moment: datetime):
-        self.handle.registerTimer(int(moment.timestamp() * 1000))
+    def wake(self, moment: int):
+        self.handle.registerTimer(moment)
 
 
 def run(df: DataFrame, desk: Desk, delay: str | None = None) -> DataFrame:
     """Attaches a desk to a stream with columns key, at (timestamp), id and the desk's own columns. The
     delay of the watermark must exceed the longest deadline a desk keeps."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = df.withWatermark("at", delay) if delay else df
+    timed = (df.withWatermark("at", delay) if delay else df).withColumn("ms", F.unix_millis("at"))
     return timed.groupBy(desk.key).transformWithState(
         statefulProcessor=desk, outputStructType=desk.output, outputMode="Append", timeMode="EventTime" if desk.timers and delay else "None"
     )
@@ -96,7 +96,7 @@ class StockKeeper(Desk):
     timers = True
     output = "key string, id bigint, line string, verdict string"
     states = {"stock": "left bigint"}
-    maps = {"held": ("line string", "qty bigint, until timestamp, cod boolean")}
+    maps = {"held": ("line string", "qty bigint, until bigint, cod boolean")}
 
     def step(self, key, row):
         stock, held, line = self.get("stock"), self.table["held"], row["line"]
@@ -112,10 +112,10 @@ class StockKeeper(Desk):
             elif row["qty"] > left:
                 verdict = "rejected"
             else:
-                until = row["at"] + timedelta(minutes=row["minutes"] or K.ONLINE_RESERVATION_MINUTES)
+                until = row["ms"] + MINUTE * (row["minutes"] or K.ONLINE_RESERVATION_MINUTES)
                 self.put("stock", left - row["qty"])
                 held.updateValue((line,), (row["qty"], until, bool(row["cod"])))
-                self.at(until)
+                self.wake(until)
                 verdict = "reserved"
         elif held.containsKey((line,)):
             qty, until, cod = held.getValue((line,))
@@ -154,14 +154,14 @@ class PaymentDesk(Desk):
     """Rows: command (attempt, event, close), event_key, digest, outcome, amount_cents, reference,
     minutes, initialization, offline. One attempt per key; first valid event before expiry decides."""
 
-    states = {"attempt": "due bigint, until timestamp, status string, reference string, initialization string, review boolean, offline boolean"}
+    states = {"attempt": "due bigint, until bigint, status string, reference string, initialization string, review boolean, offline boolean"}
     maps = {"seen": ("event_key string", "digest string")}
 
     def step(self, key, row):
         attempt, seen = self.get("attempt"), self.table["seen"]
         if row["command"] == "attempt":
             if attempt is None:
-                self.put("attempt", row["amount_cents"], row["at"] + timedelta(minutes=row["minutes"]), "pending", row["reference"], row["initialization"], False, bool(row["offline"]))
+                self.put("attempt", row["amount_cents"], row["ms"] + MINUTE * row["minutes"], "pending", row["reference"], row["initialization"], False, bool(row["offline"]))
             return
         if row["command"] == "close":
             if attempt and attempt[2] == "pending":
@@ -189,7 +189,7 @@ class PaymentDesk(Desk):
             if review and status == "pending":
                 return "review-required"
             reference, initialization = row["reference"], "ready"
-        if status == "pending" and row["at"] < until:
+        if status == "pending" and row["ms"] < until:
             self.put("attempt", due, until, row["outcome"], reference, initialization, review, offline)
             return "accepted"
         late_paid = row["outcome"] == "paid" and status != "paid"
@@ -217,7 +217,7 @@ class SeatKeeper(Desk):
     timers = True
     output = "key string, id bigint, person string, verdict string"
     states = {"session": "capacity bigint, reserved bigint"}
-    maps = {"seat": ("person string", "status string, held boolean, confirmed boolean, until timestamp")}
+    maps = {"seat": ("person string", "status string, held boolean, confirmed boolean, until bigint")}
 
     def step(self, key, row):
         if row["command"] == "open":
@@ -244,13 +244,13 @@ class SeatKeeper(Desk):
             return "repeat"
         if not self._take():
             return "full"
-        until = row["at"] + timedelta(minutes=K.SEAT_RESERVATION_MINUTES)
+        until = row["ms"] + MINUTE * K.SEAT_RESERVATION_MINUTES
         self.table["seat"].updateValue((person,), ("new", True, False, until))
-        self.at(until)
+        self.wake(until)
         return "seated"
 
     def _confirm(self, person, row, old):
-        if not old or not old[1] or (row["at"] >= old[3] and not old[2]):
+        if not old or not old[1] or (row["ms"] >= old[3] and not old[2]):
             return "expired-link"
         self.table["seat"].updateValue((person,), (old[0], True, True, old[3]))
         return "confirmed"
@@ -283,13 +283,13 @@ class SeatKeeper(Desk):
 class Subscriptions(Desk):
     """Rows: command (subscribe, confirm, unsubscribe). Double opt-in within 24 hours."""
 
-    states = {"entry": "status string, until timestamp"}
+    states = {"entry": "status string, until bigint"}
 
     def step(self, key, row):
         status, until = self.get("entry", (None, None))
-        if row["command"] == "subscribe" and status != "active" and not (status == "pending" and until > row["at"]):
-            status, until = "pending", row["at"] + timedelta(hours=K.NEWSLETTER_HOURS)
-        elif row["command"] == "confirm" and status == "pending" and until > row["at"]:
+        if row["command"] == "subscribe" and status != "active" and not (status == "pending" and until > row["ms"]):
+            status, until = "pending", row["ms"] + 60 * MINUTE * K.NEWSLETTER_HOURS
+        elif row["command"] == "confirm" and status == "pending" and until > row["ms"]:
             status = "active"
         elif row["command"] == "unsubscribe":
             status, until = "unsubscribed", None
