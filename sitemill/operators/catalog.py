@@ -80,14 +80,40 @@ def subtree_products(categories: DataFrame, memberships: DataFrame) -> DataFrame
     return memberships.join(pairs, "category_id").select(F.col("root").alias("category_id"), "product_id").distinct()
 
 
+_VARIANTS = "array<struct<pos:int,variant_id:string,label:string,stock:bigint,price_cents:bigint>>"
+MAX_VARIANTS = 500
+
+
 def product_facts(products: DataFrame, variants: DataFrame) -> DataFrame:
-    """Products with their variants (at most 500 by contract) nested in position order."""
-    nested = variants.groupBy("product_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "variant_id", "label", "stock", "price_cents"))).alias("variants")
+    """Products with their variants nested in position order.
+
+    A product may have at most 500 variants. Before anything is nested each task keeps at most 501
+    rows per product, so one with more is recognised (too_many_variants, its list stays empty)
+    without ever being gathered."""
+    near = top_k(variants, ["product_id"], [F.col("pos")], MAX_VARIANTS + 1)
+    nested = near.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("pos", "variant_id", "label", "stock", "price_cents"))).alias("variants"))
+    empty = F.array().cast(_VARIANTS)
+    joined = products.join(nested.withColumnRenamed("product_id", "id"), "id", "left")
+    over = F.coalesce(F.size("variants") > MAX_VARIANTS, F.lit(False))
+    return joined.withColumn("too_many_variants", over).withColumn("variants", F.when(over, empty).otherwise(F.coalesce(F.col("variants").cast(_VARIANTS), empty)))
+
+
+def variant_totals(products: DataFrame, variants: DataFrame) -> DataFrame:
+    """Price span and stock per product by plain aggregation, for any number of variants: (id, low, high,
+    known, stored)."""
+    base = products.select("id", "price_cents", "sale_price_cents", "stock")
+    prices = variants.groupBy(F.col("product_id").alias("id")).agg(
+        F.min(F.nullif(F.col("price_cents"), F.lit(0).cast("long"))).alias("v_low"), F.max(F.nullif(F.col("price_cents"), F.lit(0).cast("long"))).alias("v_high"),
+        F.count_if(F.col("price_cents").isNull()).alias("plain"), F.count("*").alias("n"), F.count("stock").alias("known_n"), F.sum(M.stock_number(F.col("stock"))).alias("total"),
     )
-    empty = F.array().cast("array<struct<pos:int,variant_id:string,label:string,stock:bigint,price_cents:bigint>>")
-    return products.join(nested.withColumnRenamed("product_id", "id"), "id", "left").withColumn(
-        "variants", F.coalesce(F.col("variants").cast("array<struct<pos:int,variant_id:string,label:string,stock:bigint,price_cents:bigint>>"), empty)
+    own = M.product_price(F.col("price_cents"), F.col("sale_price_cents"))["current"]
+    shared = F.when(F.coalesce("plain", F.lit(1)) > 0, own)
+    unclear = (F.col("known_n") == 0) | ((F.col("total") == 0) & (F.col("known_n") < F.col("n")))
+    own_stock = F.when(F.col("stock").isNotNull(), M.stock_number(F.col("stock")))
+    return base.join(prices, "id", "left").select(
+        "id", F.least("v_low", shared).alias("low"), F.greatest("v_high", shared).alias("high"),
+        F.when(F.col("n").isNull(), own_stock).when(~unclear, F.col("total")).alias("known"),
+        F.when(F.col("n").isNull(), F.col("stock")).when(F.col("known_n") == F.col("n"), F.col("total")).alias("stored"),
     )
 
 

@@ -156,7 +156,7 @@ def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def attempt_history(runs: DataFrame) -> DataFrame:
-    """runs(run_key, attempt, status, ...) -> the newest row with its earlier attempts in order."""
-    rest = [name for name in runs.columns if name != "run_key"]
-    grouped = runs.groupBy("run_key").agg(F.sort_array(F.collect_list(F.struct("attempt", *[n for n in rest if n != "attempt"]))).alias("_all"))
-    return grouped.select("run_key", F.element_at("_all", -1).alias("latest"), F.slice("_all", F.lit(1), F.size("_all") - 1).alias("history"))
+    """runs(run_key, attempt, status, ...) -> every attempt with its position before the newest one; the
+    newest row of a run is the one with age 0. Rows stay long, however often a run was tried."""
+    newest = runs.groupBy("run_key").agg(F.max("attempt").alias("_newest"))
+    return runs.join(newest, "run_key").withColumn("age", F.col("_newest") - F.col("attempt")).drop("_newest")

@@ -75,13 +75,16 @@ def merge_lines(priced: DataFrame) -> DataFrame:
 
 
 def quote_orders(priced: DataFrame) -> DataFrame:
-    """Subtotal per order in which every line is priced and the merged quantities hold."""
-    raw = priced.groupBy("order_id").agg(F.count("*").alias("n_raw"), F.count("reject").alias("n_rejected"))
-    lines = merge_lines(priced).groupBy("order_id").agg(
-        F.count("*").alias("lines"), F.sum("line_total_cents").alias("subtotal_cents"), F.count("reject").alias("n_merged_rejected")
+    """Subtotal per order in which every line is priced and the merged quantities hold. Lines are priced
+    once: the rejected ones are counted beside the merged ones."""
+    merged = priced.groupBy("order_id", "product_id", "variant_id").agg(
+        F.sum("qty").alias("qty"), F.min("unit_price_cents").alias("unit_price_cents"), F.min("stock").alias("stock"), F.count("*").alias("n"), F.count("reject").alias("bad"),
     )
-    fine = (F.col("n_rejected") == 0) & (F.col("n_merged_rejected") == 0) & (F.col("n_raw") <= K.MAX_CART_LINES) & (F.col("subtotal_cents") <= K.MAX_CENTS)
-    return raw.join(lines, "order_id").where(fine).select("order_id", "lines", "subtotal_cents")
+    bad = (F.col("bad") > 0) | (F.col("qty") > K.MAX_QTY) | (F.col("stock") < F.col("qty"))
+    orders = merged.groupBy("order_id").agg(
+        F.count("*").alias("lines"), F.sum(F.col("qty") * F.col("unit_price_cents")).alias("subtotal_cents"), F.count_if(bad).alias("bad"), F.sum("n").alias("raw")
+    )
+    return orders.where((F.col("bad") == 0) & (F.col("raw") <= K.MAX_CART_LINES) & (F.col("subtotal_cents") <= K.MAX_CENTS)).select("order_id", "lines", "subtotal_cents")
 
 
 def add_delivery(quotes: DataFrame, methods: DataFrame, threshold: int | None, surcharge: dict[str, int] | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sitemill.operators.ordered import running_sum
+
 
 def skip_reason(path: Column) -> Column:
     """Secret files never enter an inventory: any segment that begins '.env', shell histories."""
@@ -83,13 +85,31 @@ def table_statistics(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def metric_summary(samples: DataFrame, threshold: float) -> DataFrame:
-    """samples(route, value) -> median, maximum and samples under a threshold per route."""
-    return samples.groupBy("route").agg(
-        F.median("value").alias("median"), F.max("value").alias("maximum"), F.count_if(F.col("value") < threshold).alias("under"), F.count("*").alias("samples")
+    """samples(route, value) -> exact median, maximum and samples under a threshold per route.
+
+    Equal values are counted first and the counts are summed up in value order by whole-number chunks,
+    so the values of a route are never gathered; the median is where the running count passes half."""
+    counted = samples.groupBy("route", "value").agg(F.count("*").alias("n"))
+    totals = counted.groupBy("route").agg(
+        F.max("value").alias("maximum"), F.coalesce(F.sum(F.when(F.col("value") < threshold, F.col("n"))), F.lit(0)).alias("under"), F.sum("n").alias("samples")
+    )
+    running = running_sum(counted.withColumn("chunk", F.floor("value")), ["route"], "chunk", [F.col("value")], F.col("n"), "upto")
+    placed = running.join(totals, "route")
+    first, second = F.floor((F.col("samples") + 1) / 2), F.floor((F.col("samples") + 2) / 2)
+    middle = placed.groupBy("route").agg(
+        ((F.min(F.when(F.col("upto") >= first, F.col("value"))) + F.min(F.when(F.col("upto") >= second, F.col("value")))) / 2).alias("median")
     )
+    return totals.join(middle, "route").select("route", "median", "maximum", "under", "samples")
 
 
 def coverage_summary(checks: DataFrame) -> DataFrame:
     """checks(kind, outcome) -> checked, passed, failed and skipped per kind."""
     is_ = lambda name: F.count_if(F.col("outcome") == name).alias(name)
     return checks.groupBy("kind").agg(F.count_if(F.col("outcome") != "skipped").alias("checked"), is_("passed"), is_("failed"), is_("skipped"))
+
+
+def one_row(counts: dict[str, DataFrame]) -> DataFrame:
+    """One row with the row count of each table as a column. The counts are stacked and folded, so no
+    tables are multiplied."""
+    stacked = table_statistics(counts)
+    return stacked.agg(*[F.max(F.when(F.col("table") == name, F.col("rows"))).alias(name) for name in counts])

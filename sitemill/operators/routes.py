@@ -16,7 +16,8 @@ from sitemill.functions.binding import let
 from sitemill.functions.documents import seo_url
 from sitemill.functions.text import xml_escape
 from sitemill.functions.unicode import nfc
-from sitemill.operators.graph import walk_chains
+from sitemill.operators.files import one_row
+from sitemill.operators.graph import chain_outcome, walk_chains
 from sitemill.operators.pages import preferred_captures
 from sitemill.session import cut_lineage
 
@@ -156,8 +157,6 @@ def captured_redirects(captures: DataFrame, live: DataFrame, hosts: Sequence[str
     routes = live.select(F.col("route").alias("src")).distinct()
     shadowed = single.join(routes, "src", "left_semi").select(F.lit("captured-redirect-shadowed").alias("code"), "source")
     hops = single.join(routes, "src", "left_anti")
-    from sitemill.operators.graph import chain_outcome
-
     walked = walk_chains(hops.select("src", "dst")).select("src", chain_outcome(F.col("src"), F.col("chain")).alias("r"))
     cycles = walked.where("r.cycle").join(hops.select("src", "source"), "src").select(F.lit("captured-redirect-cycle").alias("code"), "source")
     resolved = walked.where("not r.cycle").select("src", F.col("r.final").alias("final"))
@@ -172,8 +171,6 @@ def redirect_rules_from_captures(captures: DataFrame, live: DataFrame, stored: D
     alive = live.select("route").distinct()
     edges = stored.select(P.route_key(F.col("src")).alias("src"), P.route_key(F.col("dst")).alias("dst")).groupBy("src").agg(F.min("dst").alias("dst"))
     hops = edges.join(alive.select(F.col("route").alias("src")), "src", "left_anti")
-    from sitemill.operators.graph import chain_outcome
-
     ends = walk_chains(hops).select("src", chain_outcome(F.col("src"), F.col("chain"))["final"].alias("end"))
     ends = ends.join(alive.select(F.col("route").alias("end"), F.lit(True).alias("_live")), "end", "left").where("_live").select("src", "end")
     mark = alive.withColumn("_t_live", F.lit(True))
@@ -407,18 +404,12 @@ def decision_register(rows: DataFrame, issues: DataFrame) -> DataFrame:
 
 def coverage(crawl: DataFrame, rows: DataFrame, audit: DataFrame, sitemap_issues: DataFrame) -> DataFrame:
     """One row of totals and gates for the whole migration."""
-    one = lambda df, expr, name: df.agg(expr.alias(name))
-    n = F.count("*")
-    parts = [
-        one(crawl, n, "input_rows"), one(rows, n, "unique_urls"), *[one(rows, F.count_if(F.col("disposition") == name), name) for name in K.DISPOSITIONS],
-        one(audit, n, "published_rules"), one(audit, F.count_if(F.col("verdict") == "ok"), "verified_rules"), one(sitemap_issues, n, "sitemap_issues"),
-    ]
-    # every part is a single row, so the product is one row
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.crossJoin(part)
+    row = one_row({
+        "input_rows": crawl, "unique_urls": rows, **{name: rows.where(F.col("disposition") == name) for name in K.DISPOSITIONS},
+        "published_rules": audit, "verified_rules": audit.where("verdict = 'ok'"), "sitemap_issues": sitemap_issues,
+    })
     blocking = (F.col("published_rules") - F.col("verified_rules") + F.col("sitemap_issues")) > 0
-    return result.withColumn("duplicate_urls", F.col("input_rows") - F.col("unique_urls")).withColumn("preview_ready", ~blocking)
+    return row.withColumn("duplicate_urls", F.col("input_rows") - F.col("unique_urls")).withColumn("preview_ready", ~blocking)
 
 
 # ------------------------------------------------------------------ sitemap

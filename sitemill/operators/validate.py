@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitemill import constants as K
 from sitemill.functions import paths as P
+from sitemill.operators.files import one_row
 from sitemill.functions.unicode import collision_key, has_control, has_control_except_whitespace, nfc, utf16_length
 
 # ------------------------------------------------------------------ field kinds
@@ -181,10 +182,8 @@ def handoff_gate(routes: DataFrame, blocking: DataFrame) -> DataFrame:
     """One row: safe only without broken rules, repeated sources and blocking issues."""
     _, issues = row_rules(routes, handoff_rules(), "record_id")
     repeated = routes.groupBy("from_path").agg(F.count("*").alias("n")).where("n > 1")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(routes, "routes").crossJoin(count(issues, "rule_issues")).crossJoin(count(repeated, "repeated")).crossJoin(count(blocking, "blocking")).withColumn(
-        "safe", (F.col("rule_issues") == 0) & (F.col("repeated") == 0) & (F.col("blocking") == 0)
-    )
+    row = one_row({"routes": routes, "rule_issues": issues, "repeated": repeated, "blocking": blocking})
+    return row.withColumn("safe", (F.col("rule_issues") == 0) & (F.col("repeated") == 0) & (F.col("blocking") == 0))
 
 
 # ------------------------------------------------------------------ relations, claims, files

@@ -8,6 +8,7 @@ from sitemill.functions import money as M
 from sitemill.functions.documents import product_json
 from sitemill.functions.paths import route_key
 from sitemill.operators import catalog as C
+from sitemill.operators.media import ordered_lists
 from sitemill.sources.adapters import table, view, with_views
 
 
@@ -21,14 +22,16 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return C.product_facts(view(spark, sf, "v_product"), variants)
 
 
+def _totals(spark: SparkSession, sf: str) -> DataFrame:
+    return C.variant_totals(view(spark, sf, "v_product"), view(spark, sf, "v_variant").withColumn("stock", F.col("stock").cast("long")))
+
+
 def product_price_span(spark: SparkSession, sf: str) -> DataFrame:
-    span = M.price_span(F.col("price_cents"), F.col("sale_price_cents"), F.col("variants"))
-    return _facts(spark, sf).withColumn("s", span).select("id", F.col("s.min").alias("low"), F.col("s.max").alias("high"))
+    return _totals(spark, sf).select("id", "low", "high")
 
 
 def product_stock_state(spark: SparkSession, sf: str) -> DataFrame:
-    known = _facts(spark, sf).select("id", M.known_stock(F.col("stock"), F.col("variants")).alias("known"), M.stored_stock(F.col("stock"), F.col("variants")).alias("stored"))
-    return known.select("id", "known", "stored", M.stock_state(F.col("known")).alias("state"))
+    return _totals(spark, sf).select("id", "known", "stored", M.stock_state(F.col("known")).alias("state"))
 
 
 def product_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,14 +123,17 @@ def listing_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listing_views(spark: SparkSession, sf: str) -> DataFrame:
-    """Shown members, hidden count and range text per listing page of at most seven cards."""
-    items = view(spark, sf, "v_order_item").where("pos <= 7")
-    lists = items.groupBy("order_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "product_id"))), lambda x: x["product_id"]).alias("members"), F.count("*").alias("n"))
-    rows = lists.select(
-        F.col("order_id").alias("id"), "members", F.filter("members", lambda m: m % 11 != 0).alias("found"),
-        F.lit(1).alias("first"), F.col("n").cast("int").alias("last"), (F.col("n") + F.col("order_id") % 3).cast("int").alias("total"),
-        F.concat(F.lit("/o-"), F.col("order_id").cast("string")).alias("own_path"),
-        F.array(F.struct(F.lit("next").alias("label"), F.concat(F.lit("o-"), (F.col("order_id") + F.col("order_id") % 2).cast("string")).alias("path"))).alias("links"),
+    """Shown members, hidden count and range text per listing page; a page lists at most 500 members, and
+    their number is checked before the list is built."""
+    items = view(spark, sf, "v_order_item")
+    members = items.groupBy(F.col("order_id").alias("entity_id"), F.col("product_id").alias("media_key")).agg(F.min("pos").alias("pos"))
+    lists, _ = ordered_lists(members)
+    cards = items.groupBy(F.col("order_id").alias("entity_id")).agg(F.count("*").alias("n"))
+    rows = lists.join(cards, "entity_id").select(
+        F.col("entity_id").alias("id"), F.col("media").alias("members"), F.filter("media", lambda m: m % 11 != 0).alias("found"),
+        F.lit(1).alias("first"), F.col("n").cast("int").alias("last"), (F.col("n") + F.col("entity_id") % 3).cast("int").alias("total"),
+        F.concat(F.lit("/o-"), F.col("entity_id").cast("string")).alias("own_path"),
+        F.array(F.struct(F.lit("next").alias("label"), F.concat(F.lit("o-"), (F.col("entity_id") + F.col("entity_id") % 2).cast("string")).alias("path"))).alias("links"),
     )
     return C.listing_view(rows).select("id", F.size("products").alias("shown"), "hidden", "range", F.size("links").alias("links"))
 
@@ -183,7 +189,7 @@ ORACLES = {
  e AS (SELECT p_partkey AS a, p_partkey + 36 AS b, 'next' AS label FROM part UNION ALL SELECT p_partkey, p_partkey + 5, 'other' FROM part)
  SELECT concat('list-', CAST(a AS VARCHAR)) AS route, concat('list-', CAST(b AS VARCHAR)) AS target, label, CASE WHEN x.m IS NOT NULL AND x.c = y.c AND x.m = y.m THEN 'linked' ELSE 'listing-link-other-filter' END AS verdict
  FROM e JOIN l x ON x.k = e.a JOIN l y ON y.k = e.b""",
-    "listing_views": """WITH i AS (SELECT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_linenumber <= 7), g AS (SELECT id, count(*) n, count(DISTINCT p) d, count(DISTINCT p) FILTER (p % 11 <> 0) AS shown FROM i GROUP BY id)
+    "listing_views": """WITH i AS (SELECT l_orderkey AS id, l_partkey AS p FROM lineitem), g AS (SELECT id, count(*) n, count(DISTINCT p) d, count(DISTINCT p) FILTER (p % 11 <> 0) AS shown FROM i GROUP BY id)
  SELECT id, CAST(shown AS INTEGER) AS shown, CAST(d - shown AS INTEGER) AS hidden, CASE WHEN id % 3 > 0 THEN concat('Wyniki 1–', CAST(n AS VARCHAR), ' z ', CAST(n + id % 3 AS VARCHAR)) END AS range, CAST(id % 2 AS INTEGER) AS links FROM g""",
     "populated_products": f"{with_views('v_product', 'v_category')} SELECT p.id, c.name AS category_name, q.name AS parent_name FROM v_product p LEFT JOIN v_category c ON c.id = p.category_id LEFT JOIN v_category q ON q.id = c.parent_id",
 }

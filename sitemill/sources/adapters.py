@@ -43,11 +43,13 @@ SELECT p_partkey AS id, p_name AS name, p_brand AS manufacturer, concat(p_type,'
  CASE WHEN p_partkey % 4 = 0 THEN CAST(floor(p_retailprice*90) AS BIGINT) WHEN p_partkey % 9 = 0 THEN CAST(round(p_retailprice*100) AS BIGINT)+1 END AS sale_price_cents,
  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size % 5 AS BIGINT) END AS stock,
  100 + p_partkey % 25 AS category_id, p_partkey % 11 <> 0 AS published, p_partkey % 17 = 0 AS featured FROM {part}""",
-    "v_variant": """
-SELECT p_partkey AS product_id, n AS pos, concat('v',CAST(n AS VARCHAR(20))) AS variant_id, concat('size ',CAST(n AS VARCHAR(20))) AS label,
- CASE WHEN (p_partkey+n) % 5 = 0 THEN NULL ELSE (p_partkey+n) % 3 END AS stock,
- CASE WHEN n = 1 THEN CAST(round(p_retailprice*100) AS BIGINT) + 500 END AS price_cents
-FROM {part} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) s WHERE p_partkey % 3 > 0 AND n <= p_partkey % 3""",
+    # one scan per possible position; a product has none, two or three variants
+    "v_variant": "\nUNION ALL ".join(
+        f"""SELECT p_partkey AS product_id, {n} AS pos, 'v{n}' AS variant_id, 'size {n}' AS label,
+ CASE WHEN (p_partkey+{n}) % 5 = 0 THEN NULL ELSE (p_partkey+{n}) % 3 END AS stock,
+ CAST({'round(p_retailprice*100)' if n == 1 else 'NULL'} AS BIGINT) + 500 AS price_cents
+FROM {{part}} WHERE p_partkey % 3 > 0 AND {n} <= p_partkey % 3""" for n in range(3)
+    ),
     "v_order_item": """
 SELECT l_orderkey AS order_id, l_linenumber AS pos, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS qty FROM {lineitem}""",
     "v_schedule": """
