@@ -205,7 +205,9 @@ def _classified_nodes(paths: DataFrame, docs: DataFrame, redirects: DataFrame, d
     """paths(raw_path) -> what the site does at each distinct address, and its next address."""
     index = cut_lineage(route_index(docs))
     nodes = paths.select("raw_path").distinct().withColumn("path", P.decoded_request(F.col("raw_path")))
-    resolved = confirm_canonicals(with_canonical(resolve_addresses(nodes.select(_raw(F.col("raw_path")).alias("raw")), index), docs), index)
+    # used twice (as it is, and to look its canonical addresses up again), so it is computed once
+    resolved = cut_lineage(with_canonical(resolve_addresses(nodes.select(_raw(F.col("raw_path")).alias("raw")), index), docs))
+    resolved = confirm_canonicals(resolved, index)
     keyed = nodes.withColumn("raw", _raw(F.col("raw_path"))).join(resolved.drop("requested", "section_legacy"), "raw", "left").drop("raw")
     keyed = keyed.join(redirect_lookup(nodes.where("path is not null"), redirects), "raw_path", "left")
     if documents is None:
@@ -421,7 +423,7 @@ def sitemap_paths(docs: DataFrame) -> DataFrame:
     sections = [*K.SECTION_PATHS.values(), *[f"/{name}.html" for name in K.FIXED_SECTIONS]]
     fixed = spark.createDataFrame([(path,) for path in sections], "canonical string")
     candidates = record_canonicals(docs).select("canonical").unionByName(fixed).where("canonical is not null and canonical <> '/'").distinct()
-    resolved = with_canonical(resolve_addresses(candidates.select(_raw(F.col("canonical")).alias("raw")), index).where("kind is not null"), docs)
+    resolved = cut_lineage(with_canonical(resolve_addresses(candidates.select(_raw(F.col("canonical")).alias("raw")), index).where("kind is not null"), docs))
     confirmed = confirm_canonicals(resolved, index).where("canonical_ok and canonical is not null")
     home = spark.range(1).select(F.lit("/").alias("path"))
     return confirmed.select(F.col("canonical").alias("path")).unionByName(home).distinct()

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # address work is heavy per byte: small shuffles keep their parallelism instead of one task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
 }
 
 
