@@ -140,6 +140,20 @@ def foreign_collisions(claims: DataFrame, held: DataFrame) -> DataFrame:
     return held.join(wanted, "claim").where(~F.col("owner").eqNullSafe(F.col("wanted_by"))).select("claim", "wanted_by", F.col("owner").alias("held_by"))
 
 
+def settings_consensus(observed: DataFrame) -> DataFrame:
+    """observed(name, value) -> the value every capture agrees on, or a conflict."""
+    grouped = observed.groupBy("name").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("captures"))
+    same = F.col("low") == F.col("high")
+    return grouped.select("name", F.when(same, F.col("low")).alias("value"), (~same).alias("conflict"), "captures")
+
+
+def run_key(version: int, digests: DataFrame) -> DataFrame:
+    """digests(name, rows, digest) -> one row with the key of a run: equal input and importer version give
+    an equal key, whatever the order of the rows."""
+    parts = F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("rows").cast("string"), "digest")))
+    return digests.agg(F.concat(F.lit(f"v{version}-"), F.sha2(F.array_join(parts, "|"), 256)).alias("run_key"))
+
+
 def snapshot_changes(old: DataFrame, new: DataFrame, key: str, frozen: Sequence[str]) -> DataFrame:
     """Frozen columns that differ between two versions of a record: (key, field)."""
     before = old.select(key, *[F.col(name).alias(f"_o_{name}") for name in frozen])

@@ -193,6 +193,11 @@ def redirect_rules_from_captures(captures: DataFrame, live: DataFrame, stored: D
     return goal.select("source", verdict.alias("verdict"), F.when(verdict == "new-rule", F.col("final")).alias("to_route"))
 
 
+def unapproved_redirects(bundled: DataFrame, approved: DataFrame) -> DataFrame:
+    """bundled and approved(from_path, to_path) -> bundled redirects that no approved rule names exactly."""
+    return bundled.join(approved.select("from_path", "to_path").distinct(), ["from_path", "to_path"], "left_anti")
+
+
 # ------------------------------------------------------------------ migration map
 
 _BENIGN = ["served-alias-canonical-elsewhere", "stored-redirect-shadowed-by-published-content"]

@@ -158,10 +158,62 @@ def public_redirects(spark: SparkSession, sf: str) -> DataFrame:
     return R.public_redirects(_redirects(spark, sf), live).select("id", "src", "dst")
 
 
+def captured_redirect_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Redirects recorded by a crawl, one captured pair per customer; every fourth address has content."""
+    rows = view(spark, sf, "v_redirect")
+    host = "https://shop.example.com"
+    captures = rows.select(F.concat(F.lit(host), "src").alias("url"), F.concat(F.lit(host), "dst", F.when(F.col("id") % 31 == 0, F.lit("?q=1")).otherwise(F.lit(""))).alias("final_url"))
+    live = rows.where("id % 4 = 0").select(P.route_key(F.col("src")).alias("route"))
+    resolved, issues = R.captured_redirects(captures, live, host_pattern=OWN)
+    return resolved.select(F.col("src").alias("route"), "final", F.lit(None).cast("string").alias("code")).unionByName(
+        issues.select(F.regexp_replace("source", r"\A(?:https://[^/]+)?/", "").alias("route"), F.lit(None).cast("string").alias("final"), "code")
+    )
+
+
+def unapproved_redirects(spark: SparkSession, sf: str) -> DataFrame:
+    rules = view(spark, sf, "v_redirect").select(F.col("src").alias("from_path"), F.col("dst").alias("to_path"), "id")
+    return R.unapproved_redirects(rules, rules.where("id % 10 <> 0")).select("from_path", "to_path")
+
+
+def sitemap_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = view(spark, sf, "v_route")
+    paths = cut_lineage(R.sitemap_paths(docs))
+    crawl = paths.select(F.concat(F.lit("https://shop.example.com"), "path").alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit("captured").alias("capture_state"), F.lit(0).alias("position"))
+    return R.sitemap_audit(paths, R.migration_map(crawl, docs, _redirects(spark, sf), host_pattern=OWN))
+
+
+def sitemap_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return R.sitemap_entries(R.sitemap_paths(view(spark, sf, "v_route")), "https://shop.example.com")
+
+
+def address_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind, trap and measurement verdicts of the old addresses, spread over typical sections."""
+    k = F.col("c_custkey")
+    folder = F.element_at(F.array(*[F.lit(name) for name in _SECTIONS]), (k % len(_SECTIONS) + 1).cast("int"))
+    path = F.concat(F.lit("/"), folder, F.lit("/x-"), k.cast("string"), F.lit(".html"))
+    rows = table(spark, sf, "customer").select(k.alias("id"), path.alias("path"))
+    return rows.select("id", P.page_kind(F.col("path")).alias("kind"), G.calendar_navigation(F.col("path")).alias("trap"), P.measurement_path(F.concat("path", F.lit("?a=b"))).alias("measured"), G.crawl_priority(F.col("path")).alias("priority"))
+
+
+_SECTIONS = ["aktualnosci", "relacje-2020", "polityka-cookies", "kalendarz", "api", "sklep", "component/jevents", "kalendarz/eventdetail/12/-"]
+
+
+def media_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Image addresses of the parts in the spellings that sources use."""
+    k = F.col("p_partkey")
+    number = k.cast("string")
+    src = (
+        F.when(k % 8 == 0, F.concat(F.lit("https://shop.example.com/img/"), number, F.lit(".jpg"))).when(k % 8 == 1, F.concat(F.lit("https://shop.example.com/img/"), number, F.lit(".jpg?v=1")))
+        .when(k % 8 == 2, F.concat(F.lit("https://cdn.test/"), number, F.lit(".png"))).when(k % 8 == 3, F.lit("data:image/png;base64,AA")).when(k % 8 == 4, F.concat(F.lit("https://shop.example.com/templates/"), number, F.lit(".gif")))
+        .when(k % 8 == 5, F.concat(F.lit("https://shop.example.com/a/../"), number, F.lit(".jpg"))).when(k % 8 == 6, F.concat(F.lit("https://shop.example.com/doc/"), number, F.lit(".pdf"))).otherwise(F.lit(""))
+    )
+    return table(spark, sf, "part").select(k.alias("id"), P.media_verdict(src, host_pattern=OWN).alias("m")).select("id", "m.code", "m.path")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
-        page_route_keys, page_verdicts, page_prepare_dedup, page_preferred_address, page_claim_conflicts, issue_counts, preferred_captures,
+        captured_redirect_routes, unapproved_redirects, sitemap_audit, sitemap_entries, address_classes, media_verdicts, page_route_keys, page_verdicts, page_prepare_dedup, page_preferred_address, page_claim_conflicts, issue_counts, preferred_captures,
         candidate_identity_merge, alias_redirects, conflict_cascade, route_resolution, migration_map, migration_dispositions, migration_proposals,
         migration_decisions, migration_rule_audit, sitemap_paths, imported_routes, public_redirects,
     )
@@ -276,4 +328,19 @@ ORACLES = {
     "public_redirects": f"""{with_views('v_route', 'v_redirect')}, live AS (SELECT {_ROUTE.format('legacy_path')} AS r FROM v_route WHERE published AND legacy_path IS NOT NULL
  UNION SELECT slug FROM v_route WHERE published AND kind IN ('product','category') UNION SELECT {_ROUTE.format('path')} FROM v_route WHERE published AND kind = 'page')
  SELECT id, src, dst FROM v_redirect WHERE id % 6 <> 0 AND {_ROUTE.format('src')} NOT IN (SELECT r FROM live)""",
+    "captured_redirect_routes": f"""{with_views('v_redirect')}, c AS (SELECT id, substring(src, 2) AS s, {_ROUTE.format('dst')} AS d FROM v_redirect), ok AS (SELECT * FROM c WHERE id % 31 <> 0),
+ e AS (SELECT s, d FROM ok WHERE id % 4 <> 0), w AS (SELECT s, d AS spot, [s, d] AS seen, s = d AS cyc FROM e UNION ALL SELECT w.s, e.d, list_append(seen, e.d), list_contains(seen, e.d) FROM w JOIN e ON e.s = w.spot WHERE NOT cyc),
+ f AS (SELECT s, arg_max(spot, len(seen)) AS final, bool_or(cyc) AS cyc FROM w GROUP BY s)
+ SELECT s AS route, CASE WHEN NOT cyc THEN final END AS final, CASE WHEN cyc THEN 'captured-redirect-cycle' END AS code FROM f
+ UNION ALL SELECT s, NULL, 'captured-redirect-rejected' FROM c WHERE id % 31 = 0 UNION ALL SELECT s, NULL, 'captured-redirect-shadowed' FROM ok WHERE id % 4 = 0""",
+    "unapproved_redirects": f"{with_views('v_redirect')} SELECT src AS from_path, dst AS to_path FROM v_redirect WHERE id % 10 = 0",
+    "address_classes": """WITH s AS (SELECT c_custkey AS id, ['aktualnosci','relacje-2020','polityka-cookies','kalendarz','api','sklep','component/jevents','kalendarz/eventdetail/12/-'][c_custkey % 8 + 1] AS f FROM customer)
+ SELECT id, CASE WHEN f = 'polityka-cookies' THEN 'legal' WHEN f = 'aktualnosci' THEN 'news' WHEN f = 'relacje-2020' THEN 'report' ELSE 'page' END AS kind, f IN ('kalendarz', 'component/jevents') AS trap,
+ CASE WHEN f <> 'api' THEN concat('/', f, '/x-', CAST(id AS VARCHAR), '.html') END AS measured, CASE WHEN f IN ('api', 'sklep', 'component/jevents') THEN 1 ELSE 0 END AS priority FROM s""",
+    "media_verdicts": """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'media-query' WHEN 2 THEN 'media-external-host' WHEN 3 THEN 'media-inline-data' WHEN 4 THEN 'media-template-asset' WHEN 5 THEN 'media-traversal' WHEN 6 THEN 'media-extension' ELSE 'media-empty' END AS code,
+ CASE WHEN p_partkey % 8 = 0 THEN concat('img/', CAST(p_partkey AS VARCHAR), '.jpg') END AS path FROM part""",
 }
+ORACLES["sitemap_entries"] = f"SELECT 'https://shop.example.com' || path AS url, '  <url><loc>https://shop.example.com' || path || '</loc></url>' AS entry FROM ({ORACLES['sitemap_paths']})"
+# sections have no record of their own in the adapter tables, so the map keeps them as they are
+ORACLES["sitemap_audit"] = f"""{_map_sql("SELECT 'https://shop.example.com' || path AS url, CAST(NULL AS VARCHAR) AS final_url, 'captured' AS capture_state FROM (" + ORACLES['sitemap_paths'] + f") WHERE path NOT IN ({', '.join(repr(x) for x in _FIXED_PATHS + ['/'])})")}
+ SELECT old_path AS path, 'sitemap-not-public-canonical-200' AS code FROM mig WHERE NOT (disposition = 'retained200' AND new_path = canonical_path AND len(issues) = 0)"""

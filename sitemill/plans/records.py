@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitemill.functions.hashing import text_digest
 from sitemill.operators import cdc as D, files as FS, media as M, validate as V
-from sitemill.operators.pages import capped_list
+from sitemill.operators.pages import capped_list, text_limit_issues
 from sitemill.sources.adapters import table, view, with_views
 
 
@@ -226,10 +226,69 @@ def coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
     return FS.coverage_summary(e.select(F.col("event_type").alias("kind"), outcome.alias("outcome")))
 
 
+def settings_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as captures of a setting per customer: some customers always show one value."""
+    o = table(spark, sf, "orders")
+    return D.settings_consensus(o.select(F.concat(F.lit("s-"), (F.col("o_custkey") % 500).cast("string")).alias("name"), F.when(F.col("o_custkey") % 500 < 250, F.lit("same")).otherwise(F.col("o_orderstatus")).alias("value")))
+
+
+def document_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Linked PDF addresses against the files at hand."""
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("/docs/"), (F.col("doc_id") % 300).cast("string"))
+    links = d.select(F.concat(name, F.when(F.col("doc_id") % 3 == 0, F.lit(".html")).otherwise(F.lit(".PDF"))).alias("path"))
+    files = d.where("doc_id < 300 and doc_id % 4 <> 0").select(F.concat(name, F.lit(".PDF")).alias("path"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), F.col("n_chars").alias("size"))
+    return FS.document_inventory(links, files)
+
+
+def cache_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    part = table(spark, sf, "part").select(k, F.concat(F.lit("m-"), k.cast("string")).alias("media_key"), F.sha2(F.encode("p_name", "utf-8"), 256).alias("sha256"))
+    cache = part.where("p_partkey % 2 = 0").select("media_key", F.when(k % 6 == 0, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))
+    return M.reuse_cache(part.select("media_key", F.when(k % 5 > 0, F.col("sha256")).alias("sha256")), cache, part.where("p_partkey % 3 = 0").select("media_key", "sha256"))
+
+
+def media_staging(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    part = table(spark, sf, "part").select(k, F.concat(F.lit("m-"), k.cast("string")).alias("media_key"))
+    wanted = part.select("media_key", F.concat(F.lit("img/"), F.when(k % 10 == 0, k + 1).otherwise(k).cast("string")).alias("path"))
+    return M.staging_plan(wanted, part.where("p_partkey % 3 = 0"), part.where("p_partkey % 4 = 0")).select("media_key", "state")
+
+
+def document_attachment(spark: SparkSession, sf: str) -> DataFrame:
+    files = _files(spark, sf)
+    descriptors = files.select(F.col("path").alias("key"), "sha256", F.when(F.col("doc_id") % 6 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    ready, rejected = M.attach_documents(descriptors, files)
+    return ready.select("key", F.lit("ready").alias("status")).unionByName(rejected.select("key", F.lit("rejected").alias("status")))
+
+
+def home_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as page contents: a third of them repeats the home page's."""
+    d = table(spark, sf, "documents")
+    path = F.when(F.col("doc_id") == 0, F.lit("/")).otherwise(F.concat(F.lit("/strona-glowna/"), F.col("doc_id").cast("string")))
+    mains = d.select(path.alias("path"), F.when(F.col("doc_id") % 3 == 0, F.lit("home")).otherwise(F.sha2(F.encode("text", "utf-8"), 256)).alias("main_hash"))
+    live = d.where("doc_id % 9 = 0").select(F.concat(F.lit("strona-glowna/"), F.col("doc_id").cast("string")).alias("route"))
+    return M.home_aliases(mains, live).select("from_path", "to_path")
+
+
+def text_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole document texts against the title and body limits: a required field drops the row."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"), F.regexp_extract("text", r"\A([^\n]*)", 1).alias("title"))
+    return text_limit_issues(d, {"title": 300, "body": 1_000_000}, optional=["title"])[1].select("key", "code", "field")
+
+
+def formatted_prices(spark: SparkSession, sf: str) -> DataFrame:
+    from sitemill.functions.money import format_cents, parse_pln_cents
+
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    text = format_cents(cents)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), parse_pln_cents(text).alias("cents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
-        cdc_decisions, cdc_plan_counts, cdc_reconcile, missing_and_extra, unresolved_list, variant_merge, foreign_collisions, settings_changes, snapshot_changes,
+        settings_consensus, document_inventory, cache_reuse, media_staging, document_attachment, home_aliases, text_limits, formatted_prices, cdc_decisions, cdc_plan_counts, cdc_reconcile, missing_and_extra, unresolved_list, variant_merge, foreign_collisions, settings_changes, snapshot_changes,
         table_digests, entity_field_rejects, entity_missing_refs, relation_issues, redirect_rule_issues, session_rule_issues, media_attach, media_inventory,
         content_refs, manifest_diff, file_states, file_set_issues, file_totals, table_statistics, metric_summary, coverage_summary,
     )
@@ -291,4 +350,17 @@ ORACLES = {
     "metric_summary": "SELECT event_type AS route, median(value) AS median, max(value) AS maximum, count(*) FILTER (value < 25) AS under, count(*) AS samples FROM events GROUP BY 1",
     "coverage_summary": """WITH c AS (SELECT event_type AS kind, CASE WHEN event_id % 10 = 0 THEN 'skipped' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'passed' END AS o FROM events)
  SELECT kind, count(*) FILTER (o <> 'skipped') AS checked, count(*) FILTER (o = 'passed') AS passed, count(*) FILTER (o = 'failed') AS failed, count(*) FILTER (o = 'skipped') AS skipped FROM c GROUP BY 1""",
+    "settings_consensus": """WITH o AS (SELECT concat('s-', CAST(o_custkey % 500 AS VARCHAR)) AS name, CASE WHEN o_custkey % 500 < 250 THEN 'same' ELSE o_orderstatus END AS value FROM orders)
+ SELECT name, CASE WHEN min(value) = max(value) THEN min(value) END AS value, min(value) <> max(value) AS conflict, count(*) AS captures FROM o GROUP BY name""",
+    "document_inventory": """WITH l AS (SELECT doc_id % 300 AS k, count(*) AS links FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+ SELECT concat('/docs/', CAST(k AS VARCHAR), '.PDF') AS path, links, sha256(d.text) AS sha256, d.n_chars AS size, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'ready' END AS status FROM l LEFT JOIN (SELECT * FROM documents WHERE doc_id < 300 AND doc_id % 4 <> 0) d ON d.doc_id = l.k""",
+    "cache_reuse": """SELECT concat('m-', CAST(p_partkey AS VARCHAR)) AS media_key, CASE WHEN p_partkey % 2 = 0 AND (p_partkey % 6 <> 0 OR p_partkey % 5 = 0) THEN 'cache' WHEN p_partkey % 3 = 0 THEN 'archive' ELSE 'fetch' END AS source FROM part""",
+    "media_staging": """WITH w AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN p_partkey + 1 ELSE p_partkey END AS p FROM part), c AS (SELECT p, count(*) n FROM w GROUP BY p)
+ SELECT concat('m-', CAST(k AS VARCHAR)) AS media_key, CASE WHEN n > 1 THEN 'path-conflict' WHEN k % 3 = 0 THEN 'reuse' WHEN k % 4 = 0 THEN 'known-failure' ELSE 'missing' END AS state FROM w JOIN c USING (p)""",
+    "document_attachment": f"WITH {_FILES} SELECT path AS key, CASE WHEN doc_id % 6 = 0 THEN 'rejected' ELSE 'ready' END AS status FROM f",
+    "home_aliases": "SELECT concat('/strona-glowna/', CAST(doc_id AS VARCHAR)) AS from_path, '/' AS to_path FROM documents WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0",
+    "text_limits": r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '\A([^\n]*)', 1) AS t FROM documents)
+ SELECT doc_id AS key, 'field-omitted' AS code, 'title' AS field FROM d WHERE length(t) + len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')) > 300 OR regexp_matches(t, '[\x00-\x1f\x7f-\x{9f}]')
+ UNION ALL SELECT doc_id, 'field-invalid', 'body' FROM d WHERE length(text) > 1000000 OR regexp_matches(text, '[\x00-\x1f\x7f-\x{9f}]')""",
+    "formatted_prices": """WITH c AS (SELECT p_partkey AS id, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part) SELECT id, concat(CAST(cents // 100 AS VARCHAR), ',', lpad(CAST(cents % 100 AS VARCHAR), 2, '0'), ' zł') AS text, cents FROM c""",
 }
