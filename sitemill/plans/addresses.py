@@ -313,7 +313,7 @@ ORACLES = {
  SELECT m.old_path AS from_path, g.new_path AS to_path, g.resolved_kind AS target_kind FROM mig m JOIN good g ON g.old_path = regexp_extract(m.final_url,'^https://[^/]*(.*)$',1)
  WHERE m.disposition = 'unresolved404' AND m.capture_state = 'captured' AND g.new_path <> m.old_path""",
     "migration_decisions": f"""{_MAP}, si AS (SELECT concat('https://shop.example.com/r-', CAST(c_custkey AS VARCHAR)) AS old_url, CASE WHEN c_custkey % 8 = 0 THEN 'missing-title' ELSE 'shop-component-missing' END AS code FROM customer WHERE c_custkey % 4 = 0)
- SELECT m.old_url, disposition, reason, coalesce(si.code, reason) AS primary_cause, CASE WHEN si.code IS NULL THEN 0 ELSE 1 END AS issue_codes,
+ SELECT m.old_url, disposition, reason, coalesce(si.code, reason) AS primary_cause, CAST(CASE WHEN si.code IS NULL THEN 0 ELSE 1 END AS BIGINT) AS issue_codes,
  CASE WHEN capture_state <> 'captured' THEN 'retained-source-or-current-source-database' ELSE 'current-source-database-or-exact-retained-source-evidence' END AS required_evidence
  FROM mig m LEFT JOIN si USING (old_url) WHERE disposition IN ('unresolved404','review')""",
     "migration_rule_audit": f"""{_map_sql(_RULES)}, g AS (SELECT src, count(*) n, min(dst) <> max(dst) AS clash FROM red GROUP BY src)

@@ -171,7 +171,7 @@ ORACLES = {
  SELECT l.order_id, lines, subtotal_cents FROM l JOIN b USING (order_id) WHERE NOT l.bad AND NOT b.bad AND subtotal_cents <= 100000000""",
     "delivery_totals": """WITH o AS (SELECT o_orderkey AS order_id, CAST(round(o_totalprice * 100) AS BIGINT) AS subtotal_cents, o_custkey % 12 AS m, CASE o_orderkey % 3 WHEN 0 THEN 'cod' WHEN 1 THEN 'online' ELSE 'bank_transfer' END AS payment FROM orders),
  r AS (SELECT *, CASE WHEN m >= 10 THEN 'delivery-unknown' WHEN payment = 'cod' AND m % 2 = 1 OR payment = 'bank_transfer' AND m % 2 = 0 THEN 'payment-not-offered' END AS reject, CASE WHEN subtotal_cents >= 20000000 THEN 0 ELSE m * 150 END AS d, CASE WHEN payment = 'cod' THEN 500 ELSE 0 END AS x FROM o)
- SELECT order_id, concat('m-', CAST(m AS VARCHAR)) AS method, payment, subtotal_cents, CASE WHEN reject IS NULL THEN d END AS delivery_cents, CASE WHEN reject IS NULL THEN x END AS surcharge_cents, CASE WHEN reject IS NULL THEN subtotal_cents + d + x END AS total_cents, reject FROM r""",
+ SELECT order_id, concat('m-', CAST(m AS VARCHAR)) AS method, payment, subtotal_cents, CASE WHEN reject IS NULL THEN d END AS delivery_cents, CAST(CASE WHEN reject IS NULL THEN x END AS BIGINT) AS surcharge_cents, CASE WHEN reject IS NULL THEN subtotal_cents + d + x END AS total_cents, reject FROM r""",
     "quote_line_match": f"""{with_views('v_order_item')}, cart AS (SELECT order_id, pos, product_id, qty, CASE WHEN product_id % 3 > 0 AND pos % 2 = 0 THEN concat('id:v', CAST(order_id % 3 AS VARCHAR)) WHEN product_id % 3 > 0 THEN concat('label:size ', CAST(order_id % 2 AS VARCHAR)) ELSE 'label:' END AS k FROM v_order_item),
  q AS (SELECT order_id, product_id, k, min(qty * 100) AS line_total_cents FROM cart WHERE order_id % 5 <> 0 GROUP BY ALL) SELECT order_id, pos, line_total_cents FROM cart LEFT JOIN q USING (order_id, product_id, k)""",
     "cart_rule_issues": """SELECT l_orderkey * 10 + l_linenumber AS key, 'product_id' AS field, 'product-id-invalid' AS code FROM lineitem WHERE l_partkey % 41 = 0 OR l_partkey < 1
