@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitemill import constants as K
 from sitemill.functions import paths as P
-from sitemill.functions.unicode import nfc, utf16_length
+from sitemill.functions.unicode import nfc, text_problem
 from sitemill.operators.graph import cascade_drop
 
 # charsets whose bytes Spark can reproduce, with the characters each one can hold
@@ -234,8 +234,6 @@ def category_rollup(seen: DataFrame) -> DataFrame:
 def text_limit_issues(records: DataFrame, limits: dict[str, int], optional: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(records within limits, issues). A required text over its limit drops the row, an optional one
     becomes null; nothing is ever cut."""
-    from sitemill.functions.unicode import text_problem
-
     checks = F.array_compact(
         F.array(*[
             F.when(text_problem(F.col(name), size).isNotNull(), F.struct(

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
 
 from sitemill.operators import graph as G
 

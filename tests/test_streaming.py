@@ -4,8 +4,6 @@ import random
 import tempfile
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
 
 from sitemill.operators import commerce as C
 from sitemill.streaming import desks as D, sinks
