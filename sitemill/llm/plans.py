@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitemill.llm import jaccard_join, mixing, quality_rules, url_filter
+from sitemill.llm import html_extract, jaccard_join, kneser_ney, mixing, neighbours, preference_format, quality_rules, sentence_pieces, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,28 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair's prompt and completions, the masks as start-end lists."""
+    def spans(mask: str) -> Column:
+        return F.array_join(F.transform(mask, lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+
+    pairs = preference_format.format_pairs(*preference_format.pairs_of_table(_table(spark, sf_dir, "conversations")))
+    return pairs.select(F.col("pair").alias("conv_id"), F.col("n_common").cast("long"), "prompt", "chosen", spans("chosen_mask").alias("chosen_mask"), "rejected", spans("rejected_mask").alias("rejected_mask"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search_table(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without the sentences that repeat earlier documents, and the words removed."""
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="removed_words")
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -28,10 +51,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_preference_format": op2_preference_format,
+    "op3_neighbours": op3_neighbours,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extract": op5_html_extract,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_sentence_pieces": op9_sentence_pieces,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 ORACLES: dict[str, str] = {}
