@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sitemill.llm import jaccard_join, mixing, quality_rules
+from sitemill.llm import jaccard_join, mixing, quality_rules, sentence_pieces, substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +24,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.unionByName(kept.where("doc_id IS NULL"))
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the sentences of passages that an earlier document or place has."""
+    return substring_dedup.dedup_substrings(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' words in the mix, a row for each pass over a document."""
     return mixing.mixed_documents(docs)
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, ids (SentencePiece ids of the text) and n_tokens of every row of the mix."""
+    rows = sentence_pieces.encode(docs.select("doc_id", "source", "lang", "text"))
+    return rows.selectExpr("doc_id", "source", "lang", "ids", "cast(size(ids) as long) AS n_tokens")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
     ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
     ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", encoded),
 ]
 
 #: The cuts of several stages need programs, not SQL: tests compare run() with a plain version.

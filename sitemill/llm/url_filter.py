@@ -3,8 +3,8 @@
 Rules: (host, path) pairs that fit a host with its subdomains and paths that begin with the rule's; the
 longest that fits wins. Hosts are matched by their suffixes through a join, so rule lists may be long.
 
-Method for hosts without a rule: hosts all of whose ruled pages are allowed are trusted seeds, hosts all of
-whose ruled pages are blocked are distrusted seeds. Personalised PageRank spreads trust along host links, and
+Method for pages without a rule: hosts with allowed and no blocked pages are trusted seeds, hosts all of whose
+pages are blocked are distrusted seeds (a rule for one path does not condemn a host). Personalised PageRank spreads trust along host links, and
 distrust against them (who links to a blocked host gets its distrust). A host is blocked if its distrust is at
 least SHARE of trust and distrust together; a host that neither reaches is allowed.
 
@@ -52,7 +52,6 @@ def host_links(pages: DataFrame) -> DataFrame:
     """Links between different hosts with their number: src, dst, weight. pages: host, html."""
     link = F.regexp_extract_all("html", F.lit(r"""(?i)<(?:a|area|link)\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
     found = pages.select(F.col("host").alias("src"), F.explode(link).alias("url"))
-    dst, _ = host_and_path(F.concat(F.lit("x://"), F.substring_index("url", "//", -1)))
     dst = F.translate(F.regexp_extract("url", r"//([^/?#]*)", 1), _CAPITALS, _SMALL)
     return found.select("src", dst.alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
@@ -84,12 +83,12 @@ def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = DAMPI
 
 def host_scores(pages: DataFrame) -> DataFrame:
     """host, trust, distrust. pages: host, html, ruled (the rule's verdict or null)."""
-    ruled = pages.where("ruled IS NOT NULL AND host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    ruled = pages.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"), F.count(F.lit(1)).alias("pages"))
     ruled = cut_lineage(ruled)
     links = cut_lineage(host_links(pages))
-    trust = personalised_rank(links, ruled.where("blocked = 0"))
+    trust = personalised_rank(links, ruled.where("allowed > 0 AND blocked = 0"))
     against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(against, ruled.where("allowed = 0"))
+    distrust = personalised_rank(against, ruled.where("blocked = pages"))
     both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
