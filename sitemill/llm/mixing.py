@@ -62,8 +62,8 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
     out = out.withColumn("_base", F.least(F.col(most), F.greatest(F.lit(0), F.floor(F.col("_share") - F.col("_slack")))))
     out = out.withColumn("_top", F.least(F.col(most), F.ceil(F.col("_share") + F.col("_slack"))))
     out = out.withColumn("_left", F.col(seats) - F.sum("_base").over(whole))
-    bids = out.where("_top > _base").select(*group, key, votes, "_left", F.explode(F.sequence(F.col("_base"), F.col("_top") - 1)).alias("k"))
-    ranked = bids.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy((F.col(votes) / (2 * F.col("k") + 1)).desc(), "k", key)))
+    bids = out.where("_top > _base").select(*group, key, votes, "_left", F.explode(F.sequence(F.col("_base"), F.col("_top") - 1)).alias("_k"))
+    ranked = bids.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), "_k", key)))
     won = ranked.where(F.col("_rank") <= F.col("_left")).groupBy(*group, key).agg(F.count(F.lit(1)).alias("_won"))
     out = out.join(won, [*group, key], "left").withColumn("quota", (F.col("_base") + F.coalesce("_won", F.lit(0))).cast("long"))
     return out.drop("_share", "_slack", "_base", "_top", "_left", "_won")

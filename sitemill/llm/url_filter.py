@@ -57,27 +57,25 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
-    """host, rank: share of walks from the seeds (host) that are at the host; hosts that no walk reaches are absent.
-
-    Walks end at hosts without links and begin anew at a seed. Every round is written to the checkpoint folder."""
+    """host, rank: share of walks from the seeds (host) that end at the host, where a walk goes on with probability
+    damping if there is a link to follow; hosts that no walk reaches are absent. Every round is written to the
+    checkpoint folder; every fifth compares it with the one before."""
     seeds = seeds.select("host").distinct()
     count = seeds.count()
-    start = seeds.withColumn("rank", F.lit(1.0 / max(count, 1)))
+    start = seeds.withColumn("rank", F.lit((1 - damping) / max(count, 1)))
     if not count or links.isEmpty():
         return start
     outward = links.groupBy("src").agg(F.sum("weight").alias("total"))
-    moves = cut_lineage(links.join(outward, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    moves = cut_lineage(links.join(outward, "src").select("src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
     rank = start
-    for _ in range(rounds):
-        moved = moves.join(rank.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(damping * F.col("rank") * F.col("share")).alias("rank"))
-        kept = cut_lineage(moved)
-        lost = 1.0 - (kept.agg(F.sum("rank")).first()[0] or 0.0)
-        again = kept.unionByName(seeds.withColumn("rank", F.lit(lost / count))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        again = cut_lineage(again)
-        change = again.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+    for k in range(1, rounds + 1):
+        moved = moves.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        again = cut_lineage(moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
+        if k % 5 == 0:
+            change = again.join(rank.withColumnRenamed("rank", "old"), "host", "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0]
+            if change < settled:
+                return again
         rank = again
-        if change < settled:
-            break
     return rank
 
 

@@ -92,3 +92,77 @@ def seats(votes: dict, total: int, most: dict) -> dict:
         best = max(votes[p] / (2 * won[p] + 1) for p in free)
         won[min(p for p in free if votes[p] / (2 * won[p] + 1) == best)] += 1
     return won
+
+
+def sentences(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    found = list(WORD.finditer(text))
+    out, begin = [], 0
+    for k, m in enumerate(found):
+        word, last = m[0], k + 1 == len(found)
+        stop = word[-1] in ".!?" or (len(word) > 1 and word[-1] in "\"')]" and word[-2] in ".!?")
+        if stop or last or "\n" in text[m.end() : found[k + 1].start()] or k + 1 - begin == 12:
+            out.append((begin, k + 1))
+            begin = k + 1
+    return [m[0] for m in found], out
+
+
+def without_repeats(rows: list[tuple[int, str]]) -> dict[int, list[str]]:
+    """The words that substring dedup leaves of each document."""
+    places, words = defaultdict(list), {}
+    for doc, text in rows:
+        words[doc], found = sentences(text)
+        spans = set()
+        for i in range(len(found)):
+            for j in range(i + 2, len(found)):
+                if found[j][1] - found[i][0] >= 20:
+                    spans.add((found[i][0], found[j][1]))
+                    break
+            for j in range(i - 2, -1, -1):
+                if found[i][1] - found[j][0] >= 20:
+                    spans.add((found[j][0], found[i][1]))
+                    break
+        for a, b in spans:
+            places[tuple(map(lower, words[doc][a:b]))].append((doc, a, b))
+    gone = defaultdict(set)
+    for held in places.values():
+        for doc, a, b in sorted(held)[1:]:
+            gone[doc] |= set(range(a, b))
+    return {doc: [w for k, w in enumerate(words[doc]) if k not in gone[doc]] for doc in words}
+
+
+class Bigrams:
+    """The interpolated modified Kneser-Ney model over dictionaries."""
+
+    def __init__(self, texts: list[str | None]):
+        self.words, pairs = Counter(), Counter()
+        for text in texts:
+            tokens = self.tokens(text)
+            self.words.update(tokens)
+            pairs.update(zip(["<s>", *tokens[:-1]], tokens, strict=True))
+        self.pairs, self.total, self.follows = pairs, Counter(), Counter()
+        self.kinds = defaultdict(lambda: [0, 0, 0])
+        for (a, b), c in pairs.items():
+            self.total[a] += c
+            self.kinds[a][min(c, 3) - 1] += 1
+            self.follows[b] += 1
+        self.upper, self.lower = self.discounts(pairs.values()), self.discounts(self.follows.values())
+        self.kept = sum(self.lower[min(c, 3)] for c in self.follows.values()) / len(pairs) if pairs else 1.0
+
+    @staticmethod
+    def tokens(text: str | None) -> list[str | None]:
+        return [*WORD.findall(lower(text or "")), None]
+
+    @staticmethod
+    def discounts(counts) -> list[float]:
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        return [0.0, *(min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3))]
+
+    def word(self, w) -> float:
+        k = self.follows[w]
+        return (k - self.lower[min(k, 3)]) / max(len(self.pairs), 1) + self.kept / (len(self.words) + 1)
+
+    def probability(self, v, w) -> float:
+        c, total = self.pairs[v, w], self.total[v]
+        back = sum(self.upper[k + 1] * n for k, n in enumerate(self.kinds[v])) / total if total else 1.0
+        return (c - self.upper[min(c, 3)]) / max(total, 1) + back * self.word(w)
