@@ -229,7 +229,9 @@ class Model:
         place = ids // self.per
         for p in np.unique(place[known]):
             a, b = np.searchsorted(place, [p, p + 1])
-            out[a:b] = map_array(self.vocabulary.folder, f"{name}-{p}", np.int64)[ids[a:b] - p * self.per]
+            table = map_array(self.vocabulary.folder, f"{name}-{p}", np.int64)
+            if len(table):  # a model without any training text has no tables
+                out[a:b] = table[ids[a:b] - p * self.per]
         return out
 
     def _seen(self, keys: np.ndarray) -> np.ndarray:

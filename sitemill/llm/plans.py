@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import html_extract, jaccard_join, kneser_ney, mixing, neighbours, preference_format, quality_rules, sentence_pieces, substring_dedup, url_filter
+from sitemill.llm import html_extract, jaccard_join, kneser_ney, mixing, neighbours, preference_format, quality_rules, sentence_pieces, sql, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +71,4 @@ QUERIES = {
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_kneser_ney": op10_kneser_ney,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = sql.ORACLES

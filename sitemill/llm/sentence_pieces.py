@@ -292,7 +292,7 @@ def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int =
     """docs with ids, the encoding of text; a column ids of docs is replaced."""
     rest = [c for c in docs.columns if c not in ("text", "ids")]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string").alias("text"))
-    schema = packed.withColumn("ids", F.array().cast("array<int>")).schema
+    schema = packed.withColumn("ids", F.lit(None).cast("array<int>")).schema
     large = F.coalesce(F.length("text") > giant, F.lit(False))
     whole = packed.where(~large).mapInArrow(_encode_whole(path), schema)
     keyed = packed.where(large).withColumn("key", F.sha2("text", 256))
@@ -320,7 +320,7 @@ def decode(rows: DataFrame, path: str = MODEL, into: str = "decoded") -> DataFra
     """rows with the texts of their ids in the column into."""
     rest = [c for c in rows.columns if c != into]
     packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "ids")
-    out = packed.mapInArrow(_decode(path), packed.select("rest", F.lit("").alias("text")).schema)
+    out = packed.mapInArrow(_decode(path), packed.select("rest", F.lit(None).cast("string").alias("text")).schema)
     return out.select(*(F.col("rest").getField(c).alias(c) for c in rest), F.col("text").alias(into))
 
 

@@ -73,6 +73,6 @@ def test_repeated_ids_nulls_and_empty_tables(spark):
 
 def test_boundary_by_cost():
     assert jj.choose_boundary({}, 5.0) == 0
-    few, many = jj.choose_boundary({5: 10, 18: 1000}, 2.0), jj.choose_boundary({5: 10, 18: 1000}, 1e6)
+    few, many = jj.choose_boundary({5: 10, 18: 1000}, 5.0), jj.choose_boundary({5: 10, 18: 1000}, 1e6)
     assert 5 <= few < 18 <= many
     assert jj.needed(5, 5) == 5 and jj.needed(9, 9) == 8 and jj.subset_sizes(9, 20) == [8, 9]

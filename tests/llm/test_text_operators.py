@@ -30,7 +30,7 @@ def test_substring_dedup(spark):
         texts.append("".join(parts))
     texts += texts[5:8] + [passages[0] + "\n" + passages[0]]
     rows = [(k * 3 % 1009, t) for k, t in enumerate(texts)]
-    docs = spark.createDataFrame([(*r, r[1] and len(r[1]), "x") for r in rows], "doc_id long, text string, n_chars long, removed string").repartition(5)
+    docs = spark.createDataFrame([(*r, len(r[1]), "x") for r in rows], "doc_id long, text string, n_chars long, removed string").repartition(5)
     out = substring_dedup.dedup_substrings(docs, count="gone")
     assert out.columns == [*docs.columns, "gone"]
     want, before = brute.without_repeats(rows), dict(rows)
