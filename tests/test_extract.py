@@ -108,3 +108,49 @@ def test_gallery_company_and_classes(parsed):
     got = {r.name: r["class"] for r in X.page_class(ready.withColumn("path", path), F.col("path")).collect()}
     assert got == {"article": "content", "old": "content", "two": "content", "product": "product", "badproduct": "product", "listing": "listing", "event": "event", "calendar": "content", "gallery": "album",
                    "error": "source-error", "company": "home", "account": "account", "blog": "blog", "broken": "content", "none": "content"}
+
+
+def columns(html):
+    return X._Columns(SITE + "/x.html", html)
+
+
+def test_nesting_has_no_limit():
+    page = columns("<div>" * 5000 + "<p id='in'>deep" + "</div>" * 4999 + "<i>after</i>")
+    inner = page.id.index("in")
+    assert page.tag[page.last[inner]] == "#end" and page.text[page.last[inner]] == "p" and page.last[inner] == inner + 2
+    assert page.parent[page.tag.index("i")] == 0
+
+
+def test_implied_ends():
+    page = columns("<table><tr><td>a<td><p>b<table><tr><td>c</table>d<tr><td>e</table><ul><li>f<ul><li>g</ul>h<li>i</ul>")
+    at = {text: k for k, text in enumerate(page.text) if page.tag[k] == "#text"}
+    depth = lambda k: 0 if page.parent[k] < 0 else 1 + depth(page.parent[k])
+    assert depth(at["a"]) == depth(at["e"]) == 3 and depth(at["c"]) == 6 and page.tag[page.parent[at["d"]]] == "td"
+    assert page.parent[page.parent[at["f"]]] == page.parent[page.parent[at["i"]]] and page.parent[at["f"]] == page.parent[at["h"]]
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    def seconds(links):
+        html = "<div class='x'><ul>" + "<li><a href='/a'>one <b>two</b></a>" * links + "</ul></div>"
+        start = time.process_time()
+        assert columns(html).labels().count("one two") == links
+        return time.process_time() - start
+
+    seconds(200)
+    assert seconds(20_000) < 40 * max(seconds(2_000), 0.02)
+
+
+@pytest.mark.parametrize(("html", "chrome"), [
+    ('<div class="portal-real-content"><div class="fr right-sitebar"><div><div class="article-content">TEXT</div></div></div></div>', False),
+    ('<div class="portal-real-content"><div class="right-sitebar"><div class="moduletable"><div class="article-content">TEXT</div></div></div></div>', True),
+    ('<div class="right-sitebar"><div class="item-page">TEXT</div></div>', True),
+    ('<div class="sidebar-left"><h2 class="contentheading">T</h2><div class="article-content">TEXT</div></div>', False),
+    ('<div class="sidebar-left"><div class="article-content">TEXT</div><h2 class="contentheading">T</h2></div>', True),
+    ('<section class="sidebar-left"><h2 class="contentheading">T</h2><div class="article-content">TEXT</div></section>', True),
+    ('<div class="center-sitebar"><p>TEXT</p></div>', False),
+])
+def test_columns_named_by_side(html, chrome):
+    page = columns(html)
+    assert page.chrome[page.text.index("TEXT")] is chrome
