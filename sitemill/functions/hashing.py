@@ -17,16 +17,20 @@ def text_digest(*parts: Column) -> Column:
 
 
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a over UTF-16 code units below the surrogates, 8 hex digits."""
-    step = lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    value = F.aggregate(F.split(c, ""), F.lit(2166136261).cast("long"), step)
-    return F.lpad(F.lower(F.hex(F.when(F.length(c) == 0, F.lit(2166136261)).otherwise(value))), 8, "0")
+    """FNV-1a over UTF-16 code units, 8 hex digits."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    unit = lambda i: F.conv(F.substr(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
+    step = lambda h, i: (h.bitwiseXOR(unit(i)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    start = F.lit(2166136261).cast("long")
+    value = F.aggregate(F.sequence(F.lit(0), F.length(units) / 4 - 1).cast("array<int>"), start, step)
+    return F.lpad(F.lower(F.hex(F.when(F.length(c) == 0, start).otherwise(value))), 8, "0")
 
 
 def file_digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def row_digest_sum(*fields: Column) -> Column:
-    """One number per row whose sum does not depend on row order (see table_digest)."""
-    return F.conv(F.substring(text_digest(*fields), 1, 15), 16, 10).cast("decimal(38,0)")
+def digest_lanes(*fields: Column) -> list[Column]:
+    """All 256 bits of a row's digest as eight numbers, whose sums do not depend on row order (see table_digest)."""
+    digest = text_digest(*fields)
+    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)") for k in range(8)]

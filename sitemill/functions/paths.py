@@ -65,8 +65,8 @@ def bundle_path(c: Column) -> Column:
 
 
 def route_key(c: Column) -> Column:
-    """'/x', '/x/' and '/x.HTML' are one address."""
-    return F.regexp_replace(F.regexp_replace(c, r"\A/+|/+\z", ""), r"(?i)\.html\z", "")
+    """'/x', '/x/' and '/x.HTML' are one address, and so are composed and decomposed spellings."""
+    return F.regexp_replace(F.regexp_replace(nfc(c), r"\A/+|/+\z", ""), r"(?i)\.html\z", "")
 
 
 def page_stem(c: Column) -> Column:
@@ -123,7 +123,7 @@ def url_parts(c: Column) -> Column:
     part = lambda shape, group: f"regexp_extract(v, r'{shape}', {group})"
     return apply_sql(c, "v", f"""CASE WHEN v RLIKE r'{_URL}' THEN named_struct(
  'scheme', lower({part(_URL, 1)}), 'host', lower({part(_AUTHORITY + '([^/?#:@]*)', 1)}),
- 'port', {part(_AUTHORITY + '[^/?#:@]*:([0-9]+)(?:[/?#]|' + chr(92) + 'z)', 1)}, 'has_user', contains({part(_URL, 2)}, '@'),
+ 'port', {part(_AUTHORITY + r'[^/?#:@]*:([0-9]+)(?:[/?#]|\z)', 1)}, 'has_user', contains({part(_URL, 2)}, '@'),
  'path', {part(_URL, 3)}, 'query', {part(_URL, 4)}, 'fragment', {part(_URL, 5)}) END""")
 
 
@@ -155,9 +155,9 @@ def plain_own_path(c: Column, hosts: Sequence[str] | None = None, host_pattern:
 
 
 def public_url(c: Column) -> Column:
-    """Reportable form of an address: no query, fragment or credentials, 300 characters."""
+    """Reportable form of an address: no query, fragment or credentials."""
     return let(
-        url_parts(F.trim(c)), lambda url: F.substring(F.concat(url["scheme"], F.lit("://"), url["host"], url["path"]), 1, 300)
+        url_parts(F.trim(c)), lambda url: F.concat(url["scheme"], F.lit("://"), url["host"], url["path"])
     )
 
 
@@ -263,8 +263,8 @@ def parse_page(c: Column, maximum: int = 1000) -> Column:
 
 @once
 def search_query(c: Column) -> Column:
-    """Trimmed, single spaces, at most 80 characters; shorter than 2 is no search."""
-    text = F.substring(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1F\s]+", " ")), 1, 80)
+    """Trimmed, single spaces; shorter than 2 is no search."""
+    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1F\s]+", " "))
     return F.when(F.length(text) >= 2, text).otherwise(F.lit(""))
 
 

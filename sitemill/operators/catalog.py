@@ -19,8 +19,9 @@ def published(df: DataFrame) -> DataFrame:
 
 
 def scan_page(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = K.PAGE_SIZE) -> DataFrame:
-    """One page of published rows in a total order; the page is bounded like the public list."""
-    size, page = max(1, min(size, 500)), max(1, min(page, 100_000))
+    """One page of published rows in a total order."""
+    if size < 1 or page < 1:
+        raise ValueError("page and size start at 1")
     return published(df).orderBy(*order).offset((page - 1) * size).limit(size)
 
 
@@ -87,15 +88,12 @@ MAX_VARIANTS = 500
 def product_facts(products: DataFrame, variants: DataFrame) -> DataFrame:
     """Products with their variants nested in position order.
 
-    A product may have at most 500 variants. Before anything is nested each task keeps at most 501
-    rows per product, so one with more is recognised (too_many_variants, its list stays empty)
-    without ever being gathered."""
-    near = top_k(variants, ["product_id"], [F.col("pos")], MAX_VARIANTS + 1)
-    nested = near.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("pos", "variant_id", "label", "stock", "price_cents"))).alias("variants"))
-    empty = F.array().cast(_VARIANTS)
+    All variants are kept, as a product with many has offers like any other; too_many_variants marks those
+    beyond the 500 that the source allows."""
+    nested = variants.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("pos", "variant_id", "label", "stock", "price_cents"))).alias("variants"))
     joined = products.join(nested.withColumnRenamed("product_id", "id"), "id", "left")
-    over = F.coalesce(F.size("variants") > MAX_VARIANTS, F.lit(False))
-    return joined.withColumn("too_many_variants", over).withColumn("variants", F.when(over, empty).otherwise(F.coalesce(F.col("variants").cast(_VARIANTS), empty)))
+    listed = F.coalesce(F.col("variants").cast(_VARIANTS), F.array().cast(_VARIANTS))
+    return joined.withColumn("variants", listed).withColumn("too_many_variants", F.size("variants") > MAX_VARIANTS)
 
 
 def variant_totals(products: DataFrame, variants: DataFrame) -> DataFrame:

@@ -163,10 +163,11 @@ def snapshot_changes(old: DataFrame, new: DataFrame, key: str, frozen: Sequence[
 
 def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(rows, digest) that do not depend on row order: row hashes are added, never sorted or collected."""
-    from sitemill.functions.hashing import row_digest_sum
+    from sitemill.functions.hashing import digest_lanes
 
-    value = row_digest_sum(*[F.col(name) for name in columns])
-    return df.agg(F.count("*").alias("rows"), F.sum(value).cast("string").alias("digest"))
+    lanes = digest_lanes(*[F.col(name) for name in columns])
+    total = F.concat_ws(":", *[F.coalesce(F.sum(lane), F.lit(0)).cast("string") for lane in lanes])
+    return df.agg(F.count("*").alias("rows"), total.alias("digest"))
 
 
 def attempt_history(runs: DataFrame) -> DataFrame:

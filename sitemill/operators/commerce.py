@@ -382,7 +382,7 @@ def newsletter_states(commands: DataFrame) -> DataFrame:
     return joined.select("address", state.alias("state"))
 
 
-def clean_page_views(views: DataFrame, tail: int | None = K.TAIL_EVENTS) -> DataFrame:
+def clean_page_views(views: DataFrame, tail: int | None = None) -> DataFrame:
     """views(visitor, chunk, at, id, path) -> views that differ from the visitor's previous one, the
     newest `tail` per visitor (null keeps all)."""
     order = [F.col("at"), F.col("id")]

@@ -54,13 +54,29 @@ def chain_outcome(src: Column, chain: Column, max_hops: int = K.MAX_HOPS) -> Col
     )
 
 
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) with one edge per src -> (src, final, hops, cycle): where each chain ends and after how many
+    steps, however long it is; a chain that runs into a loop has no end.
+
+    Only (src, position, steps) is carried. Reach doubles per round and chains that ended leave, so what is still
+    open once the reach has passed the number of nodes runs in a loop."""
+    step = cut_lineage(edges.select("src", F.col("dst").alias("at"), F.lit(1).cast("long").alias("hops"), F.lit(True).alias("open")))
+    reach, nodes = 1, step.count()
+    while reach <= nodes and _has_rows(step.where("open")):
+        ahead = step.select(F.col("src").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("open").alias("more_open"))
+        grown = step.where("open").join(ahead, "at", "left").select(
+            "src", F.coalesce("next", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("more_open", F.lit(False)).alias("open"),
+        )
+        step = cut_lineage(step.where("not open").unionByName(grown))
+        reach *= 2
+    return step.select("src", F.when(~F.col("open"), F.col("at")).alias("final"), F.when(~F.col("open"), F.col("hops")).alias("hops"), F.col("open").alias("cycle"))
+
+
 def redirect_closure(edges: DataFrame, live: DataFrame | None = None, max_hops: int = K.MAX_HOPS) -> DataFrame:
-    """edges(src, dst), live(route) -> (src, final, hops, cycle). Live addresses are never followed;
-    loops and chains over max_hops are flagged and not resolved."""
+    """edges(src, dst), live(route) -> (src, final, hops, cycle, too_long). Live addresses are never followed. Loops
+    have no final; a chain over max_hops has one and is marked too_long."""
     hops = edges if live is None else edges.join(live.select(F.col("route").alias("src")), "src", "left_anti")
-    return walk_chains(hops, max_hops).select("src", chain_outcome(F.col("src"), F.col("chain"), max_hops).alias("r")).select(
-        "src", "r.final", "r.hops", "r.cycle"
-    )
+    return chain_ends(hops).withColumn("too_long", F.coalesce(F.col("hops") > max_hops, F.lit(False)))
 
 
 def conflicting_targets(edges: DataFrame) -> DataFrame:

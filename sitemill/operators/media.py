@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 
 def attach_media(targets: DataFrame, available: DataFrame) -> DataFrame:
     """targets(entity_id, pos, media_key), available(media_key) -> (entity_id, media_key, pos): each
-    available medium once per entity, at its first source position. Rows stay long; a list is built
-    only where a field allows at most 500 (see ordered_lists)."""
+    available medium once per entity, at its first source position. Rows stay long; lists
+    are built on request (see ordered_lists)."""
     usable = targets.join(available.select("media_key").distinct(), "media_key", "left_semi")
     return usable.groupBy("entity_id", "media_key").agg(F.min("pos").alias("pos"))
 
 
-def ordered_lists(attached: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(entity_id, media list in order) for entities within the limit, and (entity_id, n) of those over
-    it; sizes are known before any list is built."""
+def ordered_lists(attached: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, media list in order) for entities within the limit (all, if there is none), and
+    (entity_id, n) of those over it; sizes are known before any list is built."""
     sizes = attached.groupBy("entity_id").agg(F.count("*").alias("n"))
+    if limit is None:
+        limit = (1 << 31) - 1  # the longest list that Spark can hold
     over = sizes.where(F.col("n") > limit)
     fitting = attached.join(sizes.where(F.col("n") <= limit).select("entity_id"), "entity_id", "left_semi")
     lists = fitting.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("pos", "media_key"))).alias("_items"))

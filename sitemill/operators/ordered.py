@@ -55,9 +55,10 @@ def previous_value(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequen
 def next_marked(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[Column], marked: Column, value: Column, name: str) -> DataFrame:
     """Value of the nearest later row of the key for which marked holds; null when there is none."""
     found = F.when(marked, value)
-    inside = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    rows = df.withColumn("_near", F.first(found, ignorenulls=True).over(inside))
+    # in descending order the next marked row is the last one before: a frame that only grows
+    inside = W.partitionBy(*keys, chunk).orderBy(*[column.desc() for column in order]).rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_near", F.last(found, ignorenulls=True).over(inside))
     heads = df.groupBy(*keys, chunk).agg(F.min_by(found, F.when(marked, F.struct(*order))).alias("_head"))
-    later = W.partitionBy(*keys).orderBy(chunk).rowsBetween(1, W.unboundedFollowing)
-    carry = heads.select(*keys, chunk, F.first("_head", ignorenulls=True).over(later).alias("_far"))
+    later = W.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(W.unboundedPreceding, -1)
+    carry = heads.select(*keys, chunk, F.last("_head", ignorenulls=True).over(later).alias("_far"))
     return rows.join(carry, [*keys, chunk]).withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far")

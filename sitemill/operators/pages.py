@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sitemill import constants as K
 from sitemill.functions import paths as P
 from sitemill.functions.unicode import nfc, text_problem
 from sitemill.operators.graph import cascade_drop
+from sitemill.session import cut_lineage
 
 # charsets whose bytes Spark can reproduce, with the characters each one can hold
 _CHARSETS = {"utf-8": None, "utf8": None, "iso-8859-1": r"[^\x00-\xFF]", "latin-1": r"[^\x00-\xFF]", "us-ascii": r"[^\x00-\x7F]", "ascii": r"[^\x00-\x7F]"}
@@ -51,7 +52,6 @@ def judge_pages(pages: DataFrame, hosts: Sequence[str] | None = None, host_patte
     path = P.site_path(F.col("url"), hosts, host_pattern)
     code = (
         F.when(~valid, F.lit("invalid-page-record"))
-        .when(F.length("html") > K.MAX_HTML_CHARS, F.lit("page-too-large"))
         .when(digest.isNull() | (digest != F.col("sha256")), F.lit("integrity-mismatch"))
         .when(F.col("path").isNull(), F.lit("out-of-scope-url"))
     )
@@ -184,9 +184,9 @@ def preferred_captures(addresses: DataFrame) -> DataFrame:
     return best.select("url", "row.*", "rows")
 
 
-def issue_report(issues: DataFrame, detail_limit: int = 500) -> DataFrame:
-    """issues(code, url, key, detail) -> a set with cut details."""
-    return issues.withColumn("detail", F.substring(F.coalesce("detail", F.lit("")), 1, detail_limit)).select("code", "url", "key", "detail").distinct()
+def issue_report(issues: DataFrame) -> DataFrame:
+    """issues(code, url, key, detail) -> a set."""
+    return issues.withColumn("detail", F.coalesce("detail", F.lit(""))).select("code", "url", "key", "detail").distinct()
 
 
 def issue_order() -> list[Column]:
@@ -198,12 +198,16 @@ def issue_counts(issues: DataFrame, code: str = "code") -> DataFrame:
     return issues.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"))
 
 
-def capped_list(items: DataFrame, column: str, cap: int = K.MAX_UNRESOLVED) -> DataFrame:
-    """Distinct sorted items up to the cap, then one 'truncated:n' row."""
-    distinct = items.select(F.col(column).alias("item")).distinct()
-    kept = distinct.orderBy("item").limit(cap)
-    more = distinct.agg(F.count("*").alias("n")).where(F.col("n") > cap).select(F.concat(F.lit("truncated:"), (F.col("n") - cap).cast("string")).alias("item"))
-    return kept.unionByName(more)
+def numbered_list(items: DataFrame, column: str) -> DataFrame:
+    """All distinct items in order: (item, position). Positions are counted per range of the sorted items; only one
+    row a range meets in one task."""
+    ordered = items.select(F.col(column).alias("item")).distinct().orderBy("item").withColumn("_part", F.spark_partition_id())
+    ordered = cut_lineage(ordered)
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy("item"))
+    return ordered.join(sizes, "_part").select("item", (inside + F.col("_before")).alias("position"))
 
 
 # ------------------------------------------------------------------ category observations

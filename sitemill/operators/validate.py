@@ -220,11 +220,11 @@ def missing_references(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def redirect_rule_issues(rules: DataFrame, live: DataFrame, chains: DataFrame) -> DataFrame:
-    """rules(id, from_path, to_path), live(route), chains(src, cycle) -> (id, code)."""
+    """rules(id, from_path, to_path), live(route), chains(src, cycle, too_long) -> (id, code)."""
     local, issues = row_rules(rules, redirect_rules(), "id")
     routed = local.withColumn("route", P.route_key(F.col("from_path")))
     over_live = routed.join(live.select("route").distinct(), "route", "left_semi").select("id", F.lit("redirect-over-content").alias("code"))
-    looping = routed.join(chains.where("cycle").select(F.col("src").alias("route")), "route", "left_semi").select("id", F.lit("redirect-chain-does-not-end").alias("code"))
+    looping = routed.join(chains.where("cycle or too_long").select(F.col("src").alias("route")), "route", "left_semi").select("id", F.lit("redirect-chain-does-not-end").alias("code"))
     return issues.select(F.col("key").alias("id"), "code").unionByName(over_live).unionByName(looping)
 
 

@@ -123,8 +123,7 @@ def listing_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listing_views(spark: SparkSession, sf: str) -> DataFrame:
-    """Shown members, hidden count and range text per listing page; a page lists at most 500 members, and
-    their number is checked before the list is built."""
+    """Shown members, hidden count and range text per listing page, for pages of any length."""
     items = view(spark, sf, "v_order_item")
     members = items.groupBy(F.col("order_id").alias("entity_id"), F.col("product_id").alias("media_key")).agg(F.min("pos").alias("pos"))
     lists, _ = ordered_lists(members)

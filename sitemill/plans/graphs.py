@@ -118,9 +118,9 @@ _OBS = """obs AS (SELECT concat('c-', CAST(l_partkey % 97 AS VARCHAR)) AS slug,
 ORACLES = {
     "redirect_closure": f"""{_RED}, e AS (SELECT src, dst FROM v_redirect WHERE src NOT IN (SELECT concat('/r-', CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_custkey % 4 = 0)),
  w AS (SELECT src, dst AS spot, 1 AS hops, [src, dst] AS seen, src = dst AS cyc FROM e
-  UNION ALL SELECT w.src, e.dst, hops + 1, list_append(seen, e.dst), list_contains(seen, e.dst) FROM w JOIN e ON e.src = w.spot WHERE NOT cyc AND hops < 21),
- f AS (SELECT src, arg_max(spot, hops) AS final, max(hops) AS hops, bool_or(cyc) OR max(hops) > 20 AS cycle FROM w GROUP BY src)
- SELECT src, CASE WHEN NOT cycle THEN final END AS final, CASE WHEN NOT cycle THEN hops END AS hops, cycle FROM f""",
+  UNION ALL SELECT w.src, e.dst, hops + 1, list_append(seen, e.dst), list_contains(seen, e.dst) FROM w JOIN e ON e.src = w.spot WHERE NOT cyc),
+ f AS (SELECT src, arg_max(spot, hops) AS final, max(hops) AS hops, bool_or(cyc) AS cycle FROM w GROUP BY src)
+ SELECT src, CASE WHEN NOT cycle THEN final END AS final, CASE WHEN NOT cycle THEN hops END AS hops, cycle, NOT cycle AND hops > 20 AS too_long FROM f""",
     "redirect_cycles": f"""{_RED}, w AS (SELECT src, dst AS spot, 1 AS n, [dst] AS seen FROM v_redirect
   UNION ALL SELECT w.src, e.dst, n + 1, list_append(seen, e.dst) FROM w JOIN v_redirect e ON e.src = w.spot WHERE w.spot <> w.src AND NOT list_contains(seen, e.dst))
  SELECT DISTINCT src AS node FROM w WHERE spot = src""",

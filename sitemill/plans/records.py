@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitemill.functions.hashing import text_digest
 from sitemill.operators import cdc as D, files as FS, media as M, validate as V
-from sitemill.operators.pages import capped_list, text_limit_issues
+from sitemill.operators.pages import numbered_list, text_limit_issues
 from sitemill.sources.adapters import table, view, with_views
 
 
@@ -42,9 +42,9 @@ def missing_and_extra(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unresolved_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Sorted distinct notes, cut after 200 with a count of the rest."""
+    """All distinct notes with their place in the report."""
     notes = _decisions(spark, sf).where("action = 'conflicts'").select(F.concat_ws(":", "reason", F.col("key").cast("string")).alias("note"))
-    return capped_list(notes, "note", 200)
+    return numbered_list(notes, "note")
 
 
 def variant_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +65,7 @@ def variant_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def foreign_collisions(spark: SparkSession, sf: str) -> DataFrame:
     claims = view(spark, sf, "v_incoming").select(F.concat(F.lit("/n-"), (F.col("legacy_key") % 700).cast("string")).alias("claim"), F.col("legacy_key").alias("owner"))
-    held = view(spark, sf, "v_stored").where("legacy_key < 900").select(
+    held = view(spark, sf, "v_stored").select(
         F.concat(F.lit("/n-"), F.col("legacy_key").cast("string")).alias("claim"), F.when(F.col("legacy_key") % 17 > 0, F.col("legacy_key")).alias("owner")
     )
     return D.foreign_collisions(claims, held)
@@ -152,7 +152,7 @@ def session_rule_issues(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ media and files
 
 def media_attach(spark: SparkSession, sf: str) -> DataFrame:
-    available = table(spark, sf, "part").where("p_partkey < 40 and p_partkey % 6 <> 0").select(F.concat(F.lit("m-"), F.col("p_partkey").cast("string")).alias("media_key"))
+    available = table(spark, sf, "part").where("p_partkey % 6 <> 0").select(F.concat(F.lit("m-"), F.col("p_partkey").cast("string")).alias("media_key"))
     return M.attach_media(view(spark, sf, "v_media_target"), available)
 
 
@@ -174,7 +174,7 @@ def content_refs(spark: SparkSession, sf: str) -> DataFrame:
         number.alias("ref_id"), F.when(number % 11 == 0, F.lit("external")).when(number % 13 == 0, F.lit("unsafe")).otherwise(F.lit("path")).alias("kind"),
         F.concat(F.lit("/img/"), "media_key", F.lit(".jpg")).alias("path"),
     )
-    part = table(spark, sf, "part").where("p_partkey < 40")
+    part = table(spark, sf, "part")
     key = F.concat(F.lit("m-"), F.col("p_partkey").cast("string"))
     media = part.where("p_partkey % 4 <> 0").select(F.concat(F.lit("/img/"), key, F.lit(".jpg")).alias("path"), key.alias("media_key"))
     return M.reference_outcomes(refs, media, part.where("p_partkey % 5 <> 0").select(key.alias("media_key"))).select("ref_id", "outcome", "media_key")
@@ -235,9 +235,9 @@ def settings_consensus(spark: SparkSession, sf: str) -> DataFrame:
 def document_inventory(spark: SparkSession, sf: str) -> DataFrame:
     """Linked PDF addresses against the files at hand."""
     d = table(spark, sf, "documents")
-    name = F.concat(F.lit("/docs/"), (F.col("doc_id") % 300).cast("string"))
+    name = F.concat(F.lit("/docs/"), (F.col("doc_id") - F.col("doc_id") % 7).cast("string"))
     links = d.select(F.concat(name, F.when(F.col("doc_id") % 3 == 0, F.lit(".html")).otherwise(F.lit(".PDF"))).alias("path"))
-    files = d.where("doc_id < 300 and doc_id % 4 <> 0").select(F.concat(name, F.lit(".PDF")).alias("path"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), F.col("n_chars").alias("size"))
+    files = d.where("doc_id % 7 = 0 and doc_id % 4 <> 0").select(F.concat(name, F.lit(".PDF")).alias("path"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), F.col("n_chars").alias("size"))
     return FS.document_inventory(links, files)
 
 
@@ -299,7 +299,8 @@ _CDC = f"""{with_views('v_stored', 'v_incoming')}, j AS (SELECT i.legacy_key AS
 a AS (SELECT key, below, CASE WHEN fresh THEN 'created' WHEN untraced THEN 'conflicts' WHEN edited AND same THEN 'preserved' WHEN edited THEN 'conflicts' WHEN same THEN 'unchanged' ELSE 'updated' END AS act FROM j),
 dec AS (SELECT key, CASE WHEN act = 'updated' AND below THEN 'conflicts' ELSE act END AS action, CASE WHEN act = 'updated' AND below THEN 'capacity-below-reserved' WHEN act = 'conflicts' THEN 'manual-edit' END AS reason FROM a)"""
 _FILES = "f AS (SELECT doc_id, concat('docs/', lang, '/', CAST(doc_id AS VARCHAR), '.txt') AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents)"
-_DIGEST = lambda t, cols: f"SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substring(sha256(concat_ws(chr(31), {cols})), 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest, '{t}' AS name FROM {t}"
+_LANES = " || ':' || ".join(f"CAST(sum(CAST('0x' || h[{8 * k + 1}:{8 * k + 8}] AS HUGEINT)) AS VARCHAR)" for k in range(8))
+_DIGEST = lambda t, cols: f"SELECT count(*) AS rows, {_LANES} AS digest, '{t}' AS name FROM (SELECT sha256(concat_ws(chr(31), {cols})) AS h FROM {t})"
 
 ORACLES = {
     "cdc_decisions": f"{_CDC} SELECT * FROM dec",
@@ -308,7 +309,7 @@ ORACLES = {
  SELECT concat('c', CAST(k % 3 AS VARCHAR)) AS collection, count(e) AS expected, count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) AS found, count(*) FILTER (e IS NULL) AS not_in_bundle FROM b GROUP BY 1""",
     "missing_and_extra": f"""{with_views('v_stored', 'v_incoming')} SELECT legacy_key, 'missing' AS side FROM (SELECT legacy_key FROM v_incoming EXCEPT SELECT legacy_key FROM v_stored) UNION ALL SELECT legacy_key, 'extra' FROM (SELECT legacy_key FROM v_stored EXCEPT SELECT legacy_key FROM v_incoming)""",
     "unresolved_list": f"""{_CDC}, n AS (SELECT DISTINCT concat(reason, ':', CAST(key AS VARCHAR)) AS item FROM dec WHERE action = 'conflicts')
- SELECT item FROM (SELECT item FROM n ORDER BY item LIMIT 200) UNION ALL SELECT concat('truncated:', CAST(c - 200 AS VARCHAR)) FROM (SELECT count(*) c FROM n) WHERE c > 200""",
+ SELECT item, row_number() OVER (ORDER BY item) AS position FROM n""",
     "variant_merge": f"""{with_views('v_variant')}, o AS (SELECT product_id AS p, product_id * 10 + pos AS row_id, CASE WHEN product_id % 2 = 0 THEN concat('k', CAST(pos AS VARCHAR)) END AS k, CASE WHEN product_id % 3 = 1 THEN concat('sku-', CAST(pos AS VARCHAR)) END AS s, concat('size ', CAST(pos AS VARCHAR)) AS l, stock FROM v_variant WHERE NOT (product_id % 7 = 0 AND pos = 1)),
  n AS (SELECT product_id AS p, pos, CASE WHEN product_id % 4 = 0 THEN concat('k', CAST(pos AS VARCHAR)) END AS k, CASE WHEN product_id % 3 = 1 THEN concat('sku-', CAST(pos AS VARCHAR)) END AS s, CASE WHEN product_id % 11 = 0 THEN 'size 0' ELSE concat('size ', CAST(pos AS VARCHAR)) END AS l FROM v_variant WHERE NOT (product_id % 5 = 0 AND pos = 2)),
  m AS (SELECT n.p, n.pos, o.row_id, o.stock FROM n JOIN o ON o.p = n.p AND CASE WHEN n.k IS NOT NULL AND o.k IS NOT NULL THEN n.k = o.k WHEN n.s IS NOT NULL AND o.s IS NOT NULL THEN n.s = o.s ELSE n.l = o.l END),
@@ -316,7 +317,7 @@ ORACLES = {
  t AS (SELECT p, (SELECT count(*) FROM o WHERE o.p = x.p) AS no, (SELECT count(*) FROM n WHERE n.p = x.p) AS nn, (SELECT max(c) FROM pn WHERE pn.p = x.p) AS mn, (SELECT max(c) FROM po WHERE po.p = x.p) AS mo, (SELECT count(*) FROM po WHERE po.p = x.p) AS ro FROM (SELECT DISTINCT p FROM n) x)
  SELECT n.p AS product_id, n.pos, pn.row_id, CASE WHEN pn.c IS NOT NULL THEN CAST(pn.stock AS BIGINT) ELSE 9 END AS stock, ((no > 0) <> (nn > 0)) OR coalesce(mn, 0) > 1 OR coalesce(mo, 0) > 1 OR coalesce(ro, 0) <> no AS conflict FROM n LEFT JOIN pn ON pn.p = n.p AND pn.pos = n.pos JOIN t ON t.p = n.p""",
     "foreign_collisions": f"""{with_views('v_stored', 'v_incoming')} SELECT concat('/n-', CAST(s.legacy_key AS VARCHAR)) AS claim, i.legacy_key AS wanted_by, CASE WHEN s.legacy_key % 17 > 0 THEN s.legacy_key END AS held_by
- FROM v_stored s JOIN v_incoming i ON i.legacy_key % 700 = s.legacy_key WHERE s.legacy_key < 900 AND (CASE WHEN s.legacy_key % 17 > 0 THEN s.legacy_key END) IS DISTINCT FROM i.legacy_key""",
+ FROM v_stored s JOIN v_incoming i ON i.legacy_key % 700 = s.legacy_key WHERE (CASE WHEN s.legacy_key % 17 > 0 THEN s.legacy_key END) IS DISTINCT FROM i.legacy_key""",
     "settings_changes": "SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'fill' WHEN 1 THEN 'keep' ELSE 'conflict' END AS change FROM nation",
     "snapshot_changes": "SELECT o_orderkey, 'o_totalprice' AS field FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'o_orderstatus' FROM orders WHERE o_orderkey % 15 = 0",
     "table_digests": _DIGEST("orders", "o_orderkey, o_custkey, o_orderstatus") + " UNION ALL " + _DIGEST("customer", "c_custkey, c_name"),
@@ -334,7 +335,7 @@ ORACLES = {
  SELECT id, 'redirect-over-content' AS code FROM v_redirect WHERE id IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT id, 'redirect-chain-does-not-end' FROM v_redirect JOIN c USING (src)""",
     "session_rule_issues": f"""{with_views('v_schedule')}, s AS (SELECT * FROM v_schedule WHERE kind = 'course') SELECT id AS key, 'capacity' AS field, 'capacity-below-one' AS code FROM s WHERE capacity < 1
  UNION ALL SELECT id, 'reserved', 'reserved-out-of-range' FROM s WHERE reserved > capacity UNION ALL SELECT id, 'ends_at', 'end-before-start' FROM s WHERE id % 9 = 0""",
-    "media_attach": f"""{with_views('v_media_target')} SELECT entity_id, media_key, min(pos) AS pos FROM v_media_target WHERE media_key IN (SELECT concat('m-', CAST(p_partkey AS VARCHAR)) FROM part WHERE p_partkey < 40 AND p_partkey % 6 <> 0) GROUP BY ALL""",
+    "media_attach": f"""{with_views('v_media_target')} SELECT entity_id, media_key, min(pos) AS pos FROM v_media_target WHERE media_key IN (SELECT concat('m-', CAST(p_partkey AS VARCHAR)) FROM part WHERE p_partkey % 6 <> 0) GROUP BY ALL""",
     "media_inventory": f"""{with_views('v_media_target')}, r AS (SELECT concat('img/', media_key, '.jpg') AS path, concat('https://shop.example.com/img/', media_key, CASE WHEN pos % 3 = 0 THEN '%2Ejpg' ELSE '.jpg' END) AS url, CASE WHEN pos % 2 = 0 THEN concat('alt ', CAST(entity_id % 10 AS VARCHAR)) ELSE '' END AS alt, entity_id * 10 + pos AS pos FROM v_media_target)
  SELECT path, arg_min(url, pos) AS url, coalesce(arg_min(alt, pos) FILTER (alt <> ''), '') AS alt, count(*) AS uses, count(DISTINCT url) - 1 AS other_spellings FROM r GROUP BY path""",
     "content_refs": f"""{with_views('v_media_target')}, r AS (SELECT entity_id * 10 + pos AS n, CAST(substring(media_key, 3) AS INTEGER) AS m, media_key FROM v_media_target),
@@ -352,8 +353,8 @@ ORACLES = {
  SELECT kind, count(*) FILTER (o <> 'skipped') AS checked, count(*) FILTER (o = 'passed') AS passed, count(*) FILTER (o = 'failed') AS failed, count(*) FILTER (o = 'skipped') AS skipped FROM c GROUP BY 1""",
     "settings_consensus": """WITH o AS (SELECT concat('s-', CAST(o_custkey % 500 AS VARCHAR)) AS name, CASE WHEN o_custkey % 500 < 250 THEN 'same' ELSE o_orderstatus END AS value FROM orders)
  SELECT name, CASE WHEN min(value) = max(value) THEN min(value) END AS value, min(value) <> max(value) AS conflict, count(*) AS captures FROM o GROUP BY name""",
-    "document_inventory": """WITH l AS (SELECT doc_id % 300 AS k, count(*) AS links FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
- SELECT concat('/docs/', CAST(k AS VARCHAR), '.PDF') AS path, links, sha256(d.text) AS sha256, d.n_chars AS size, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'ready' END AS status FROM l LEFT JOIN (SELECT * FROM documents WHERE doc_id < 300 AND doc_id % 4 <> 0) d ON d.doc_id = l.k""",
+    "document_inventory": """WITH l AS (SELECT doc_id - doc_id % 7 AS k, count(*) AS links FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+ SELECT concat('/docs/', CAST(k AS VARCHAR), '.PDF') AS path, links, sha256(d.text) AS sha256, d.n_chars AS size, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'ready' END AS status FROM l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 = 0 AND doc_id % 4 <> 0) d ON d.doc_id = l.k""",
     "cache_reuse": """SELECT concat('m-', CAST(p_partkey AS VARCHAR)) AS media_key, CASE WHEN p_partkey % 2 = 0 AND (p_partkey % 6 <> 0 OR p_partkey % 5 = 0) THEN 'cache' WHEN p_partkey % 3 = 0 THEN 'archive' ELSE 'fetch' END AS source FROM part""",
     "media_staging": """WITH w AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN p_partkey + 1 ELSE p_partkey END AS p FROM part), c AS (SELECT p, count(*) n FROM w GROUP BY p)
  SELECT concat('m-', CAST(k AS VARCHAR)) AS media_key, CASE WHEN n > 1 THEN 'path-conflict' WHEN k % 3 = 0 THEN 'reuse' WHEN k % 4 = 0 THEN 'known-failure' ELSE 'missing' END AS state FROM w JOIN c USING (p)""",

@@ -29,7 +29,7 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calendar_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return _entries(spark, sf).orderBy(*C.calendar_order())
+    return _entries(spark, sf)
 
 
 def calendar_month(spark: SparkSession, sf: str) -> DataFrame:

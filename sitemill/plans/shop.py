@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sitemill.constants import TAIL_EVENTS
 from sitemill.functions.paths import measurement_path
 from sitemill.operators import commerce as C, validate as V
 from sitemill.sources.adapters import table, view, with_views
@@ -141,7 +142,7 @@ def page_views_clean(spark: SparkSession, sf: str) -> DataFrame:
     e = view(spark, sf, "v_event")
     path = F.when(F.col("command") == "error", F.lit("/api/x")).otherwise(F.concat(F.lit("/"), F.col("command"), F.lit("/"), (F.col("event_id") % 2).cast("string"), F.lit("?q=1")))
     rows = e.where("state_key % 4 <> 0").select(F.col("state_key").alias("visitor"), F.col("ts").cast("date").alias("chunk"), F.col("ts").alias("at"), F.col("event_id").alias("id"), measurement_path(path).alias("path"))
-    return C.clean_page_views(rows.where("path is not null")).select("visitor", "id", "path")
+    return C.clean_page_views(rows.where("path is not null"), tail=TAIL_EVENTS).select("visitor", "id", "path")
 
 
 QUERIES = {

@@ -18,7 +18,7 @@ SELECT page_id, url, html,
  CASE page_id % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'captured' END AS capture_state
 FROM {pages}""",
     "v_candidate": """
-SELECT doc_id AS id, lang AS collection, substring(lower(text),1,40) AS key_text, text AS body,
+SELECT doc_id AS id, lang AS collection, md5(lower(text)) AS key_text, text AS body,
  concat('/d/',CAST(doc_id AS VARCHAR(20)),CASE WHEN doc_id % 2 = 0 THEN '.html' ELSE '' END) AS path,
  concat('t-',CAST(length(text) % 3 AS VARCHAR(20))) AS seo
 FROM {documents}""",

@@ -15,10 +15,9 @@ def append_once(path: str, key: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         unique = batch.dropDuplicates([key])
-        try:
-            written = spark.read.parquet(path).where(F.col("batch") < number).select(key)
-        except Exception:  # nothing written yet
-            written = None
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        begun = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        written = spark.read.parquet(path).where(F.col("batch") < number).select(key) if begun else None
         fresh = unique if written is None else unique.join(written, key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -26,13 +26,17 @@ def test_closure_matches_brute_force(spark):
     assert set(got) == set(hops) - live
     for src, row in got.items():
         expected = follow(hops, src, live)
-        assert (row.final, row.hops) == expected if expected else row.cycle, src
+        end = follow(hops, src, live, limit=10**6)
+        assert (row.final, row.hops) == end if end else row.cycle, src
+        assert row.too_long == bool(end and not expected), src
 
 
 def test_chain_limits(spark):
-    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)], "src string, dst string")
-    got = {r.src: r.cycle for r in G.redirect_closure(edges).collect()}
-    assert got["n11"] is False and got["n10"] is False and got["n9"] is True
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)] + [(f"c{i}", f"c{(i + 1) % 60}") for i in range(60)], "src string, dst string")
+    got = {r.src: r for r in G.redirect_closure(edges).collect()}
+    assert got["n0"].final == "n60" and got["n0"].hops == 60 and got["n0"].too_long and not got["n0"].cycle
+    assert not got["n40"].too_long and got["n39"].too_long
+    assert all(got[f"c{i}"].cycle and got[f"c{i}"].final is None for i in range(60))
 
 
 def test_cycle_members(spark):
