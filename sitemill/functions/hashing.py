@@ -22,7 +22,7 @@ def fnv1a32(c: Column) -> Column:
     unit = lambda i: F.conv(F.substr(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
     step = lambda h, i: (h.bitwiseXOR(unit(i)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
     start = F.lit(2166136261).cast("long")
-    value = F.aggregate(F.sequence(F.lit(0), F.length(units) / 4 - 1).cast("array<int>"), start, step)
+    value = F.aggregate(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), start, step)
     return F.lpad(F.lower(F.hex(F.when(F.length(c) == 0, start).otherwise(value))), 8, "0")
 
 
