@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitemill.llm import jaccard_join, mixing, quality_rules, sentence_pieces, substring_dedup
+from sitemill.session import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn over documents; what a stage gives is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir).checkpoint()
+        docs = cut_lineage(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
