@@ -12,8 +12,7 @@ c(n, m) = ceil(4 (n + m) / 9) shingles.
    to its smallest holder, without pairs.
 4. Heavy sets: inverted lists of the rarest shingles (no more than a linked pair can leave unshared) are
    scanned. All holders on a list are compared with its leader; where a list still holds several components,
-   the remaining pairs across components are compared, except those that sizes, positions or the triangle
-   inequality of the Jaccard distance rule out.
+   the remaining pairs across components are compared, except those that sizes or positions rule out.
 5. The boundary is the size at which enumerating costs as much as scanning, from counts of all sets.
 
 Nulls and empty texts give an empty set, linked with nothing. Rows with one doc_id are one node: any of
@@ -27,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.llm import words
@@ -41,8 +40,6 @@ PER_BUCKET = 3_000_000
 PACK_BYTES = 8 << 20
 #: Sizes that may be light; above it the subsets of a set outnumber any list.
 LARGEST_LIGHT = 20
-#: The Jaccard distance of a link, and a bin slightly wider than it.
-DISTANCE, BIN = 0.2, 0.2 + 1e-6
 
 
 def set_id(found: np.ndarray) -> int:
@@ -126,28 +123,45 @@ def _ship(size: int, buckets: int):
     return run
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """How many shingles of each set in this bucket occur elsewhere too."""
-    def joined(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.empty(0, kind)] + [np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
+def _joined(group: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind)] + [np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
+
+
+def _answer(parts: int):
+    """How many shingles of each set in a bucket occur elsewhere too, as one row for each part of the sets."""
+    def run(group: pa.Table) -> pa.Table:
+        sids, counts, once, often = _joined(group, "sids", np.int64), _joined(group, "counts", np.int32), _joined(group, "once", np.uint32), _joined(group, "often", np.uint32)
+        owner = np.repeat(np.arange(len(sids)), counts)
+        # a set that came in several packs, as copies do, counts once
+        names, who = np.unique(sids, return_inverse=True)
+        order = np.lexsort((who[owner], once))
+        shingle, holder = once[order], who[owner][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (holder[1:] != holder[:-1])
+        shingle, holder = shingle[new], holder[new]
+        _, inverse, count = np.unique(np.concatenate([shingle, often, often]), return_inverse=True, return_counts=True)
+        many = np.bincount(holder, weights=count[inverse[: len(shingle)]] > 1, minlength=len(names)).astype(np.int32)
+        sids = np.concatenate([names[many > 0], _joined(group, "held_by", np.int64)])
+        many = np.concatenate([many[many > 0], _joined(group, "held", np.int32)])
+        order, found, at = words.by_bucket(sids.view(np.uint64), parts)
+        cut = [order[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"part": pa.array(found, pa.int64()), "sids": pa.array([sids[c].tobytes() for c in cut], pa.binary()), "many": pa.array([many[c].tobytes() for c in cut], pa.binary())})
 
-    sids, counts, once, often = joined("sids", np.int64), joined("counts", np.int32), joined("once", np.uint32), joined("often", np.uint32)
-    values, inverse, count = np.unique(np.concatenate([once, often, often]), return_inverse=True, return_counts=True)
-    again = count[inverse[: len(once)]] > 1
-    owner = np.repeat(np.arange(len(sids)), counts)
-    many = np.bincount(owner, weights=again, minlength=len(sids)).astype(np.int64) if len(sids) else np.empty(0, np.int64)
-    keep = many > 0
-    sids = np.concatenate([sids[keep], joined("held_by", np.int64)])
-    many = np.concatenate([many[keep], joined("held", np.int32)])
-    return pa.table({"sid": pa.array(sids, pa.int64()), "repeated": pa.array(many, pa.int64())})
+    return run
+
+
+def _total(group: pa.Table) -> pa.Table:
+    """The sums of a part's sets over all buckets."""
+    names, who = np.unique(_joined(group, "sids", np.int64), return_inverse=True)
+    return pa.table({"sid": pa.array(names, pa.int64()), "repeated": pa.array(np.bincount(who, _joined(group, "many", np.int32), len(names)).astype(np.int64))})
 
 
 def repeated_counts(docs: DataFrame, total: int, size: int = SHINGLE) -> DataFrame:
     """sid and repeated: at least the number of the set's shingles that other sets have too."""
     buckets = max(1, math.ceil(total / PER_BUCKET))
     sent = docs.select(F.col("text").cast("string")).mapInArrow(_ship(size, buckets), "bucket long, sids binary, counts binary, once binary, often binary, held_by binary, held binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "sid long, repeated long")
-    return answers.groupBy("sid").agg(F.sum("repeated").alias("repeated"))
+    answers = sent.groupBy("bucket").applyInArrow(_answer(buckets), "part long, sids binary, many binary")
+    return answers.groupBy("part").applyInArrow(_total, "sid long, repeated long")
 
 
 def needed(n: int, m: int) -> int:
@@ -191,21 +205,21 @@ def _subsets(boundary: int):
 
 def light_links(sets: DataFrame, boundary: int) -> DataFrame:
     """Links among sets of at most boundary shingles, each to the smallest holder of a common subset."""
-    keys = sets.where(F.col("n") <= boundary).select("sid", "n", F.transform("items", lambda x: x["h"]).alias("shingles")).mapInArrow(_subsets(boundary), "c long, key long, sid long, n long")
+    keys = sets.where(F.col("n") <= boundary).select("sid", "n", F.col("items").alias("shingles")).mapInArrow(_subsets(boundary), "c long, key long, sid long, n long")
     leaders = keys.groupBy("c", "key").agg(F.min(F.struct("n", "sid")).alias("lead"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
     return keys.join(leaders, ["c", "key"]).where("sid <> lead.sid AND 9 * c >= 4 * (n + lead.n)").select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b with their exact Jaccard distance and whether they are linked."""
-    side = sets.select("sid", "n", F.transform("items", lambda x: x["h"]).alias("s"))
+    """The pairs a, b that are linked, by their whole sets."""
+    side = sets.select("sid", "n", F.col("items").alias("s"))
     both = pairs.join(side.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(side.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"), (9 * F.col("common") >= 4 * (F.col("na") + F.col("nb"))).alias("linked"))
+    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def reduced_sets(docs: DataFrame, described: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Sets that can have a partner: sid, n, items (shingles that other such sets hold too, rarest first, with their holders)."""
+    """Sets that can have a partner: sid, n, items (shingles that other such sets hold too,
+    rarest first) and mean, the mean number of holders of these."""
     sets = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     some = repeated_counts(docs, total, size).join(sets, "sid").where("5 * repeated >= 4 * n").select("sid", "doc_id")
@@ -216,40 +230,60 @@ def reduced_sets(docs: DataFrame, described: DataFrame, size: int = SHINGLE) ->
     held = full.select("sid", "n", F.explode("shingles").alias("h"))
     often = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     items = held.join(often, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("items"))
-    return cut_lineage(items.where("5 * size(items) >= 4 * n"))
+    items = items.where("5 * size(items) >= 4 * n")
+    mean = F.aggregate("items", F.lit(0.0), lambda total, x: total + x["df"]) / F.size("items")
+    return cut_lineage(items.select("sid", "n", mean.alias("mean"), F.transform("items", lambda x: x["h"]).alias("items")))
+
+
+def possible(x: str, y: str) -> Column:
+    """Whether two entries of a list, numbered x and y, may be linked if the list is their first in common: the smaller
+    has it among the shingles it may lack in common with a set not smaller, the larger is at most 1.25 times as
+    large, and what follows the list's shingle in both is enough."""
+    small_first = F.struct(f"n{x}", f"sid{x}") < F.struct(f"n{y}", f"sid{y}")
+    n1, n2 = F.least(f"n{x}", f"n{y}"), F.greatest(f"n{x}", f"n{y}")
+    rest = F.least(F.col(f"r{x}") - F.col(f"pos{x}"), F.col(f"r{y}") - F.col(f"pos{y}"))
+    return F.when(small_first, F.col(f"in_short{x}")).otherwise(F.col(f"in_short{y}")) & (4 * n2 <= 5 * n1) & (9 * rest >= 4 * (n1 + n2)) & (F.col(f"root{x}") != F.col(f"root{y}"))
 
 
 def heavy_links(sets: DataFrame, boundary: int, known: DataFrame) -> DataFrame:
     """Links of pairs with a set above the boundary, enough of them to join all that belong together.
 
     known: links found so far. A list holds a set's rarest shingles: those it may lack in common with a linked
-    set of 0.8 to 1.25 times its size; in_short marks those it may lack with one not smaller than itself."""
+    set of 0.8 to 1.25 times its size; in_short marks those it may lack with one not smaller than itself. Two
+    rounds tie lists to a leader, the member with the fewest rarer shingles (the middle of a group of near copies),
+    then that of the members the first left apart; the last round compares what is still apart. Pairs within one component are never compared."""
     n, r = F.col("n"), F.size("items")
     unshared = n - r  # the set's own shingles come first in the order of rareness
     entries = sets.where(5 * n > 4 * F.lit(boundary)).select(
         "sid", "n", r.alias("r"), (n - F.ceil(8 * n / 9) + 1 - unshared).alias("short"),
-        F.posexplode(F.slice("items", F.lit(1), F.greatest(F.lit(0), (n - F.ceil(4 * n / 5) + 1 - unshared).cast("int")))).alias("pos", "item"),
+        F.posexplode(F.slice("items", F.lit(1), F.greatest(F.lit(0), (n - F.ceil(4 * n / 5) + 1 - unshared).cast("int")))).alias("pos", "h"),
     )
-    entries = entries.select(F.col("item.h").alias("h"), "sid", "n", "r", "pos", (F.col("pos") < F.col("short")).alias("in_short"))
-    entries = cut_lineage(entries)
-    leads = entries.groupBy("h").agg(F.min(F.struct("n", "sid")).alias("lead"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    leads = leads.select("h", F.col("lead.sid").alias("lead"))
-    entries = entries.join(leads, "h")
-    stars = entries.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    stars = cut_lineage(compared(stars, sets))
-    links = known.unionByName(stars.where("linked").select("a", "b"))
+    entries = entries.withColumns({"in_short": F.col("pos") < F.col("short"), "rarer": F.col("n") - F.col("r") + F.col("pos")}).drop("short")
+    lists = entries.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("h")
+    entries = cut_lineage(entries.join(lists, "h", "left_semi"))
+    fields = ["sid", "n", "r", "pos", "in_short", "root"]
+    links = known
+    for apart in (False, True):
+        placed = placed_entries(entries, links)
+        leads = placed.groupBy("h").agg(F.min(F.struct("rarer", *fields)).alias("lead"))
+        if apart:
+            others = placed.join(leads.select("h", F.col("lead.root").alias("main")), "h").where("root <> main")
+            leads = others.groupBy("h").agg(F.min(F.struct("rarer", *fields)).alias("lead"))
+        numbered = placed.select("h", *(F.col(x).alias(f"{x}1") for x in fields)).join(leads.select("h", *(F.col("lead")[x].alias(f"{x}2") for x in fields)), "h")
+        pairs = numbered.where(possible("1", "2")).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
+        links = cut_lineage(links.unionByName(compared(pairs, sets)))
+    placed = placed_entries(entries, links)
+    left, right = (placed.select("h", *(F.col(x).alias(f"{x}{k}") for x in fields)) for k in "12")
+    rest = left.join(right, "h").where((F.col("sid1") < F.col("sid2")) & possible("1", "2")).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
+    return links.unionByName(compared(rest, sets))
+
+
+def placed_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries of lists that still hold several components, with each set's component (root)."""
     roots = components(links)
-    placed = entries.join(stars.select(F.col("a").alias("lead"), F.col("b").alias("sid"), "d"), ["lead", "sid"], "left")
-    placed = placed.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("d", F.coalesce("d", F.lit(0.0)))
+    placed = entries.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("h")
-    placed = placed.join(mixed, "h", "left_semi").withColumn("bin", F.floor(F.col("d") / BIN))
-    placed = cut_lineage(placed.select("h", "sid", "n", "r", "pos", "in_short", "root", "d", "bin"))
-    left = placed.where("in_short").select("h", *(F.col(x).alias(f"{x}1") for x in ("sid", "n", "r", "pos", "root", "d")), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    right = placed.select("h", "bin", *(F.col(x).alias(f"{x}2") for x in ("sid", "n", "r", "pos", "root", "d")))
-    most = F.least("pos1", "pos2") + F.least(F.col("r1") - F.col("pos1"), F.col("r2") - F.col("pos2"))
-    rest = left.join(right, ["h", "bin"]).where((F.col("root1") != F.col("root2")) & (F.struct("n1", "sid1") < F.struct("n2", "sid2")) & (4 * F.col("n2") <= 5 * F.col("n1")) & (9 * most >= 4 * (F.col("n1") + F.col("n2"))) & (F.abs(F.col("d1") - F.col("d2")) <= DISTANCE + 1e-9))
-    rest = compared(rest.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct(), sets)
-    return links.unionByName(rest.where("linked").select("a", "b"))
+    return cut_lineage(placed.join(mixed, "h", "left_semi"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -257,7 +291,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     described = cut_lineage(describe(docs, size))
     sets = reduced_sets(docs, described, size)
     sizes = {row["n"]: row["count"] for row in sets.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
-    mean = sets.select(F.explode("items").alias("item")).agg(F.avg("item.df")).first()[0] or 0.0
+    mean = sets.agg(F.avg("mean")).first()[0] or 0.0
     boundary = choose_boundary(sizes, mean)
     known = light_links(sets, boundary)
     # rows that repeat a doc_id with another text are one node
