@@ -28,7 +28,8 @@ def price_lines(cart: DataFrame, products: DataFrame, variants: DataFrame) -> Da
     keyed = cart.withColumn("_by", F.when(F.col("variant_id").isNotNull(), F.lit("key")).when(F.col("variant").isNotNull(), F.lit("label")))
     keyed = keyed.withColumn("_value", F.coalesce("variant_id", "variant"))
     offer = lambda by, column: variants.where(F.col(column).isNotNull()).select(
-        "product_id", F.lit(by).alias("_by"), F.col(column).alias("_value"), "variant_id", "stock", "price_cents"
+        "product_id", F.lit(by).alias("_by"), F.col(column).alias("_value"), "variant_id", "stock", "price_cents",
+        F.struct(*(name for name in ("variant_id", "sku", "label") if name in variants.columns)).alias("_variant"),
     )
     names = [offer("key", "variant_id"), offer("label", "label")]
     if "sku" in variants.columns:
@@ -39,7 +40,7 @@ def price_lines(cart: DataFrame, products: DataFrame, variants: DataFrame) -> Da
     # one row per name: how many distinct variants carry it, and the only one when there is one
     lookup = lookup.groupBy("product_id", "_by", "_value").agg(
         F.min("variant_id").alias("v_id"), F.max("variant_id").alias("v_last"), F.min("stock").alias("v_stock"), F.min("price_cents").alias("v_price"),
-        F.count_distinct("variant_id").alias("v_matches"),
+        F.count_distinct("_variant").alias("v_matches"),  # a variant without an id counts too
     )
     has_variants = variants.groupBy("product_id").agg(F.count("*").alias("n_variants"))
     catalogue = products.where("published").select(
@@ -75,16 +76,21 @@ def merge_lines(priced: DataFrame) -> DataFrame:
 
 
 def quote_orders(priced: DataFrame) -> DataFrame:
-    """Subtotal per order in which every line is priced and the merged quantities hold. Lines are priced
-    once: the rejected ones are counted beside the merged ones."""
+    """(order_id, lines, subtotal_cents, reject) of every order: lines with one product and variant add up, and an
+    order that breaks a rule has its code instead of numbers. Lines are priced once."""
     merged = priced.groupBy("order_id", "product_id", "variant_id").agg(
         F.sum("qty").alias("qty"), F.min("unit_price_cents").alias("unit_price_cents"), F.min("stock").alias("stock"), F.count("*").alias("n"), F.count("reject").alias("bad"),
     )
-    bad = (F.col("bad") > 0) | (F.col("qty") > K.MAX_QTY) | (F.col("stock") < F.col("qty"))
     orders = merged.groupBy("order_id").agg(
-        F.count("*").alias("lines"), F.sum(F.col("qty") * F.col("unit_price_cents")).alias("subtotal_cents"), F.count_if(bad).alias("bad"), F.sum("n").alias("raw")
+        F.count("*").alias("lines"), F.sum(F.col("qty") * F.col("unit_price_cents")).alias("subtotal_cents"), F.sum("bad").alias("bad"), F.sum("n").alias("raw"),
+        F.count_if(F.col("qty") > K.MAX_QTY).alias("large"), F.count_if(F.col("stock") < F.col("qty")).alias("short"),
     )
-    return orders.where((F.col("bad") == 0) & (F.col("raw") <= K.MAX_CART_LINES) & (F.col("subtotal_cents") <= K.MAX_CENTS)).select("order_id", "lines", "subtotal_cents")
+    reject = (
+        F.when(F.col("bad") > 0, F.lit("line-rejected")).when(F.col("raw") > K.MAX_CART_LINES, F.lit("too-many-lines")).when(F.col("large") > 0, F.lit("quantity-out-of-range"))
+        .when(F.col("short") > 0, F.lit("stock-insufficient")).when(F.col("subtotal_cents") > K.MAX_CENTS, F.lit("total-too-large"))
+    )
+    number = lambda name: F.when(F.col("reject").isNull(), F.col(name)).alias(name)
+    return orders.withColumn("reject", reject).select("order_id", number("lines"), number("subtotal_cents"), "reject")
 
 
 def add_delivery(quotes: DataFrame, methods: DataFrame, threshold: int | None, surcharge: dict[str, int] | None = None) -> DataFrame:

@@ -168,8 +168,9 @@ _MOVE = "CASE " + " ".join(
 ORACLES = {
     "cart_rejects": f"{_PRICED} SELECT order_id, pos, reject FROM pr WHERE reject IS NOT NULL",
     "cart_quote": f"""{_PRICED}, m AS (SELECT order_id, product_id, vid, sum(qty) AS q, min(unit) AS unit, min(st) AS st FROM pr WHERE reject IS NULL GROUP BY ALL),
- l AS (SELECT order_id, count(*) AS lines, CAST(sum(q * unit) AS BIGINT) AS subtotal_cents, bool_or(q > 99 OR st < q) AS bad FROM m GROUP BY 1), b AS (SELECT order_id, bool_or(reject IS NOT NULL) OR count(*) > 50 AS bad FROM pr GROUP BY 1)
- SELECT l.order_id, lines, subtotal_cents FROM l JOIN b USING (order_id) WHERE NOT l.bad AND NOT b.bad AND subtotal_cents <= 100000000""",
+ l AS (SELECT order_id, count(*) AS lines, CAST(sum(q * unit) AS BIGINT) AS subtotal_cents, bool_or(q > 99) AS large, bool_or(st < q) AS short FROM m GROUP BY 1), b AS (SELECT order_id, bool_or(reject IS NOT NULL) AS bad, count(*) AS n FROM pr GROUP BY 1),
+ c AS (SELECT order_id, lines, subtotal_cents, CASE WHEN bad THEN 'line-rejected' WHEN n > 50 THEN 'too-many-lines' WHEN large THEN 'quantity-out-of-range' WHEN short THEN 'stock-insufficient' WHEN subtotal_cents > 100000000 THEN 'total-too-large' END AS reject FROM b LEFT JOIN l USING (order_id))
+ SELECT order_id, CASE WHEN reject IS NULL THEN lines END AS lines, CASE WHEN reject IS NULL THEN subtotal_cents END AS subtotal_cents, reject FROM c""",
     "delivery_totals": """WITH o AS (SELECT o_orderkey AS order_id, CAST(round(o_totalprice * 100) AS BIGINT) AS subtotal_cents, o_custkey % 12 AS m, CASE o_orderkey % 3 WHEN 0 THEN 'cod' WHEN 1 THEN 'online' ELSE 'bank_transfer' END AS payment FROM orders),
  r AS (SELECT *, CASE WHEN m >= 10 THEN 'delivery-unknown' WHEN payment = 'cod' AND m % 2 = 1 OR payment = 'bank_transfer' AND m % 2 = 0 THEN 'payment-not-offered' END AS reject, CASE WHEN subtotal_cents >= 20000000 THEN 0 ELSE m * 150 END AS d, CASE WHEN payment = 'cod' THEN 500 ELSE 0 END AS x FROM o)
  SELECT order_id, concat('m-', CAST(m AS VARCHAR)) AS method, payment, subtotal_cents, CASE WHEN reject IS NULL THEN d END AS delivery_cents, CAST(CASE WHEN reject IS NULL THEN x END AS BIGINT) AS surcharge_cents, CASE WHEN reject IS NULL THEN subtotal_cents + d + x END AS total_cents, reject FROM r""",

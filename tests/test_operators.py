@@ -103,7 +103,15 @@ def test_cart_variants(spark):
         (1, 1): (900, None), (1, 2): (700, None), (2, 1): (500, None), (3, 1): (None, "variant-not-matched"), (4, 1): (None, "price-unconfirmed"), (5, 1): (None, "product-unavailable"),
         (6, 1): (None, "product-has-no-variants"), (7, 1): (None, "stock-insufficient"), (8, 1): (None, "quantity-out-of-range"), (9, 1): (900, None), (9, 2): (900, None),
     }
-    assert rows_of(C.quote_orders(priced)) == {(1, 2, 2500), (2, 1, 1000)}
+    quoted = rows_of(C.quote_orders(priced))
+    assert {row for row in quoted if row[3] is None} == {(1, 2, 2500, None), (2, 1, 1000, None)}
+    assert {row[0] for row in quoted} == {order for order, _ in got} and (3, None, None, "line-rejected") in quoted
+
+
+def test_no_order_is_lost(spark):
+    schema = "order_id long, product_id long, variant_id string, qty long, unit_price_cents long, stock long, reject string"
+    rows = [(1, k, None, 1, 5, 9, None) for k in range(51)] + [(2, 1, None, 60, 5, 500, None)] * 2 + [(3, 1, None, 6, 5, 9, None)] * 2 + [(4, 1, None, 99, 10**9, 500, None)]
+    assert rows_of(C.quote_orders(spark.createDataFrame(rows, schema))) == {(1, None, None, "too-many-lines"), (2, None, None, "quantity-out-of-range"), (3, None, None, "stock-insufficient"), (4, None, None, "total-too-large")}
 
 
 def test_conflict_cascade_drops_all_claimants(spark):
