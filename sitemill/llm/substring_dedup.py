@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a word ending in . ! or ? (closing quotes and brackets after it count to it), at a line
-break, or after SENTENCE_WORDS words. A span is a run of at least SPAN consecutive sentences that has at least SPAN_WORDS
+A sentence ends at a word ending in . ! or ? (closing quotes and brackets after it count to it) or at a line
+break; one of more than SENTENCE_WORDS words is divided at words ending in , ; or : and after SENTENCE_WORDS words. A span is a run of at least SPAN consecutive sentences that has at least SPAN_WORDS
 words: from each sentence on, and up to each sentence, the shortest such run. Spans are compared by a 64-bit
 hash of their words (A-Z folded, white space ignored). The first place of a span is the smallest (doc_id, place
 in the text); every sentence covered by a span that is not in its first place is removed, within a document too.
@@ -31,6 +31,8 @@ PER_BUCKET = 32 << 20
 _LAST_ID = (1 << 63) - 1
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
+_CLAUSES = np.zeros(256, bool)
+_CLAUSES[list(b",;:")] = True
 _CLOSES = np.zeros(256, bool)
 _CLOSES[list(b"\"')]")] = True
 
@@ -46,6 +48,10 @@ def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     begins[first[first < len(starts)]] = True
     begins[1:] |= stop[:-1]
     at = np.flatnonzero(begins)
+    sizes = np.diff(np.append(at, len(starts)))
+    # long sentences end at their clause marks too, so that copies changed in one place meet again soon after it
+    begins[1:] |= (_CLAUSES[last] & np.repeat(sizes > SENTENCE_WORDS, sizes))[:-1]
+    at = np.flatnonzero(begins)
     since = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
     return np.flatnonzero(since % SENTENCE_WORDS == 0)
 

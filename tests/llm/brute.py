@@ -96,13 +96,20 @@ def seats(votes: dict, total: int, most: dict) -> dict:
 
 def sentences(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = list(WORD.finditer(text))
-    out, begin = [], 0
+    whole, begin = [], 0
     for k, m in enumerate(found):
         word, last = m[0], k + 1 == len(found)
         stop = word[-1] in ".!?" or (len(word) > 1 and word[-1] in "\"')]" and word[-2] in ".!?")
-        if stop or last or "\n" in text[m.end() : found[k + 1].start()] or k + 1 - begin == 12:
-            out.append((begin, k + 1))
+        if stop or last or "\n" in text[m.end() : found[k + 1].start()]:
+            whole.append((begin, k + 1))
             begin = k + 1
+    out = []
+    for a, b in whole:
+        begin = a
+        for k in range(a, b):
+            if k + 1 == b or (b - a > 12 and found[k][0][-1] in ",;:") or k + 1 - begin == 12:
+                out.append((begin, k + 1))
+                begin = k + 1
     return [m[0] for m in found], out
 
 

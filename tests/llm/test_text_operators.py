@@ -16,7 +16,7 @@ from tests.llm import brute
 def prose(rng: random.Random, sentences: int) -> str:
     out = []
     for _ in range(sentences):
-        out.append(" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 3))) for _ in range(rng.choice([1, 3, 9, 20, 40]))) + rng.choice([".", "!", '."', "", "?\n", "\n\n"]))
+        out.append(" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 3))) + rng.choice([""] * 9 + [","]) for _ in range(rng.choice([1, 3, 9, 20, 40]))) + rng.choice([".", "!", '."', "", "?\n", "\n\n"]))
     return " ".join(out)
 
 
