@@ -49,7 +49,7 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """Links between different hosts with their number: src, dst, weight. pages: host, html."""
+    """Links between different hosts with their number: src, dst, weight. pages: host, html. Only hosts are shuffled."""
     link = F.regexp_extract_all("html", F.lit(r"""(?i)<(?:a|area|link)\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
     found = pages.select(F.col("host").alias("src"), F.explode(link).alias("url"))
     dst = F.translate(F.regexp_extract("url", r"//([^/?#]*)", 1), _CAPITALS, _SMALL)
@@ -79,9 +79,9 @@ def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = DAMPI
     return rank
 
 
-def host_scores(pages: DataFrame) -> DataFrame:
-    """host, trust, distrust. pages: host, html, ruled (the rule's verdict or null)."""
-    ruled = pages.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"), F.count(F.lit(1)).alias("pages"))
+def host_scores(ruled: DataFrame, pages: DataFrame) -> DataFrame:
+    """host, trust, distrust. ruled: host and rule verdict (or null) of each page; pages: host, html."""
+    ruled = ruled.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"), F.count(F.lit(1)).alias("pages"))
     ruled = cut_lineage(ruled)
     links = cut_lineage(host_links(pages))
     trust = personalised_rank(links, ruled.where("allowed > 0 AND blocked = 0"))
@@ -98,14 +98,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, share: fl
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     fit = cut_lineage(host_rules(split.select("host").distinct(), rule_table(spark, rules)))
 
-    def with_rule(rows: DataFrame) -> DataFrame:
-        best = F.get(F.filter("rules", lambda r: F.startswith("path", r["rule_path"])), F.lit(0))
-        return rows.join(fit, "host", "left").withColumn("best", best).drop("rules")
-
-    linked = pages.select(host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    links_only = with_rule(linked).select("host", "html", F.col("best.verdict").alias("ruled"))
-    scores = host_scores(links_only)
+    best = F.get(F.filter("rules", lambda r: F.startswith("path", r["rule_path"])), F.lit(0))
+    ruled = split.join(fit, "host", "left").withColumn("best", best).drop("rules")
+    scores = host_scores(ruled.select("host", F.col("best.verdict").alias("ruled")), pages.select(host.alias("host"), F.col("html").cast("string").alias("html")))
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= share * (F.col("trust") + F.col("distrust")))
-    judged = with_rule(split).join(scores, "host", "left")
+    judged = ruled.join(scores, "host", "left")
     method = F.when(F.coalesce(bad, F.lit(False)), F.lit("block")).otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
