@@ -81,17 +81,20 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(counted: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by share rejected per second, estimated on at most rows rows of counted."""
-    sample = counted.limit(rows).persist()
+def order_rules(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by share rejected per second, estimated on the first rows rows of docs(text) that Spark finds: it
+    reads no more partitions than these need, and nothing is shuffled."""
+    texts = docs.select("text").take(rows)
+    if not texts:
+        return list(rules)
+    sample = base_counts(docs.sparkSession.createDataFrame(texts, docs.select("text").schema)).persist()
     try:
         def timed(condition: Column) -> tuple[float, int]:
             began = time.monotonic()
             hits = sample.agg(F.count_if(condition)).first()[0]
             return time.monotonic() - began, hits
 
-        if not sample.count():
-            return list(rules)
+        sample.count()
         idle = min(timed(F.col("n_words") < 0)[0] for _ in range(2))
         rate = {}
         for rule in rules:
@@ -113,7 +116,7 @@ def cascade(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the base counts, rejected_by (the first rejecting rule in the order chosen, else null) and kept."""
     counted = base_counts(docs)
-    ordered = order_rules(counted, default_rules() if rules is None else rules, sample_rows)
+    ordered = order_rules(docs, default_rules() if rules is None else rules, sample_rows)
     return counted.withColumn("rejected_by", cascade(ordered)).withColumn("kept", F.col("rejected_by").isNull()).drop("_text", "_words")
 
 
