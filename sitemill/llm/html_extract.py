@@ -386,6 +386,9 @@ def _extract(trees: Trees):
 def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages(page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    sample = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("mark")).orderBy("mark").limit(sample_pages).collect()
+    marked = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("mark"))
+    # the hashes decide first, so that tasks send the driver numbers and only the chosen pages
+    bound = marked.select("mark").distinct().orderBy("mark").limit(sample_pages).agg(F.max("mark")).first()[0]
+    sample = marked.where(F.col("mark") <= F.lit(bound)).dropDuplicates(["mark"]).orderBy("mark").collect() if bound is not None else []
     trees = fit([row["html"] for row in sample])
     return pages.mapInArrow(_extract(trees), "page_id long, url string, text string, n_chars long")
