@@ -242,16 +242,16 @@ def possible(x: str, y: str) -> Column:
     small_first = F.struct(f"n{x}", f"sid{x}") < F.struct(f"n{y}", f"sid{y}")
     n1, n2 = F.least(f"n{x}", f"n{y}"), F.greatest(f"n{x}", f"n{y}")
     rest = F.least(F.col(f"r{x}") - F.col(f"pos{x}"), F.col(f"r{y}") - F.col(f"pos{y}"))
-    return F.when(small_first, F.col(f"in_short{x}")).otherwise(F.col(f"in_short{y}")) & (4 * n2 <= 5 * n1) & (9 * rest >= 4 * (n1 + n2)) & (F.col(f"root{x}") != F.col(f"root{y}"))
+    return F.when(small_first, F.col(f"in_short{x}")).otherwise(F.col(f"in_short{y}")) & (4 * n2 <= 5 * n1) & (9 * rest >= 4 * (n1 + n2)) & (F.col(f"sid{x}") != F.col(f"sid{y}"))
 
 
 def heavy_links(sets: DataFrame, boundary: int, known: DataFrame) -> DataFrame:
     """Links of pairs with a set above the boundary, enough of them to join all that belong together.
 
     known: links found so far. A list holds a set's rarest shingles: those it may lack in common with a linked
-    set of 0.8 to 1.25 times its size; in_short marks those it may lack with one not smaller than itself. Two
-    rounds tie lists to a leader, the member with the fewest rarer shingles (the middle of a group of near copies),
-    then that of the members the first left apart; the last round compares what is still apart. Pairs within one component are never compared."""
+    set of 0.8 to 1.25 times its size; in_short marks those it may lack with one not smaller than itself. A first
+    round ties lists to a leader, the member with the fewest rarer shingles (the middle of a group of near copies);
+    the second compares what is still apart, on lists that hold several components."""
     n, r = F.col("n"), F.size("items")
     unshared = n - r  # the set's own shingles come first in the order of rareness
     entries = sets.where(5 * n > 4 * F.lit(boundary)).select(
@@ -262,19 +262,13 @@ def heavy_links(sets: DataFrame, boundary: int, known: DataFrame) -> DataFrame:
     lists = entries.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("h")
     entries = cut_lineage(entries.join(lists, "h", "left_semi"))
     fields = ["sid", "n", "r", "pos", "in_short", "root"]
-    links = known
-    for apart in (False, True):
-        placed = placed_entries(entries, links)
-        leads = placed.groupBy("h").agg(F.min(F.struct("rarer", *fields)).alias("lead"))
-        if apart:
-            others = placed.join(leads.select("h", F.col("lead.root").alias("main")), "h").where("root <> main")
-            leads = others.groupBy("h").agg(F.min(F.struct("rarer", *fields)).alias("lead"))
-        numbered = placed.select("h", *(F.col(x).alias(f"{x}1") for x in fields)).join(leads.select("h", *(F.col("lead")[x].alias(f"{x}2") for x in fields)), "h")
-        pairs = numbered.where(possible("1", "2")).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
-        links = cut_lineage(links.unionByName(compared(pairs, sets)))
+    leads = entries.groupBy("h").agg(F.min(F.struct("rarer", *fields[:-1])).alias("lead"))
+    numbered = entries.select("h", *(F.col(x).alias(f"{x}1") for x in fields[:-1])).join(leads.select("h", *(F.col("lead")[x].alias(f"{x}2") for x in fields[:-1])), "h")
+    pairs = numbered.where(possible("1", "2")).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
+    links = cut_lineage(known.unionByName(compared(pairs, sets)))
     placed = placed_entries(entries, links)
     left, right = (placed.select("h", *(F.col(x).alias(f"{x}{k}") for x in fields)) for k in "12")
-    rest = left.join(right, "h").where((F.col("sid1") < F.col("sid2")) & possible("1", "2")).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
+    rest = left.join(right, "h").where((F.col("sid1") < F.col("sid2")) & (F.col("root1") != F.col("root2")) & possible("1", "2")).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
     return links.unionByName(compared(rest, sets))
 
 
