@@ -21,6 +21,8 @@ from sitemill.session import cut_lineage
 #: The contract's rules: text of the rule, verdict.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING, ROUNDS, SETTLED, SHARE = 0.85, 30, 1e-6, 0.5
+#: A reached host has at least the smallest rank a double holds; walks with less than NOTHING no longer count as a change.
+_SMALLEST, NOTHING = 5e-324, 1e-300
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,8 +60,10 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """host, rank: share of walks from the seeds (host) that end at the host, where a walk goes on with probability
-    damping if there is a link to follow; hosts that no walk reaches are absent. Every round is written to the
-    checkpoint folder; every fifth compares it with the one before."""
+    damping if there is a link to follow; hosts that no walk reaches are absent. A round adds the walks that are one link
+    longer and is written to the checkpoint folder. It ends when a round reaches no new host and either adds less than
+    settled of its rank to every host, or is the last of rounds rounds and of twice those that the farthest host took; this
+    depends neither on the number of seeds nor on a longest path."""
     seeds = seeds.select("host").distinct()
     count = seeds.count()
     start = seeds.withColumn("rank", F.lit((1 - damping) / max(count, 1)))
@@ -67,16 +71,21 @@ def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = DAMPI
         return start
     outward = links.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = cut_lineage(links.join(outward, "src").select("src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
-    rank = start
-    for k in range(1, rounds + 1):
-        moved = moves.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-        again = cut_lineage(moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
-        if k % 5 == 0:
-            change = again.join(rank.withColumnRenamed("rank", "old"), "host", "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0]
-            if change < settled:
-                return again
-        rank = again
-    return rank
+    state = cut_lineage(start.select("host", "rank", F.col("rank").alias("added"), F.lit(True).alias("fresh")))
+    k = farthest = 0
+    while True:
+        k += 1
+        onward = state.where("added IS NOT NULL").select(F.col("host").alias("src"), F.col("added").alias("walks"))
+        moved = moves.join(onward, "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("walks") * F.col("share")).alias("more"))
+        known = state.select("host", F.col("rank").alias("old"))
+        fresh = F.col("old").isNull()
+        added = F.when(fresh, F.greatest("more", F.lit(_SMALLEST))).otherwise(F.col("more"))
+        state = cut_lineage(known.join(moved, "host", "full").select("host", (F.coalesce("old", F.lit(0.0)) + F.coalesce(added, F.lit(0.0))).alias("rank"), added.alias("added"), fresh.alias("fresh")))
+        reached, change = state.where("added IS NOT NULL").agg(F.max("fresh"), F.max(F.when(F.col("added") > NOTHING, F.col("added") / F.col("rank")).otherwise(0.0))).first()
+        if reached:
+            farthest = k
+        elif change is None or change < settled or k >= max(rounds, 2 * farthest):
+            return state.select("host", "rank")
 
 
 def host_scores(ruled: DataFrame, pages: DataFrame) -> DataFrame:

@@ -94,6 +94,23 @@ def test_propagation(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seeds", [1, 200_000])
+def test_propagation_to_the_end_of_a_long_chain(spark, seeds):
+    links = spark.createDataFrame([(f"c{k}", f"c{k + 1}", 1) for k in range(40)], "src string, dst string, weight long").repartition(2)
+    many = spark.range(1, seeds).selectExpr("concat('s', id) AS host").unionByName(spark.createDataFrame([("c0",)], "host string"))
+    found = {r["host"]: r["rank"] for r in url_filter.personalised_rank(links, many).where("host LIKE 'c%'").collect()}
+    assert set(found) == {f"c{k}" for k in range(41)}
+    for k in range(41):
+        assert found[f"c{k}"] * seeds == pytest.approx(0.15 * 0.85**k, rel=1e-9)
+
+
+def test_rank_of_a_loop_settles_under_many_seeds(spark):
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, weight long")
+    seeds = spark.range(1, 200_000).selectExpr("concat('s', id) AS host").unionByName(spark.createDataFrame([("a",)], "host string"))
+    found = {r["host"]: r["rank"] * 200_000 for r in url_filter.personalised_rank(links, seeds).where("host IN ('a', 'b')").collect()}
+    assert found["a"] == pytest.approx(0.15 / (1 - 0.85**2), rel=0.01) and found["b"] == pytest.approx(0.85 * found["a"], rel=0.01)
+
+
 def mixture_rows(seed: int):
     rng = random.Random(seed)
     rows = []
