@@ -4,7 +4,8 @@ Every vector gets, for each of TREES trees, a string of BITS bits: the signs of
 directions. Vectors are dealt to shards of about SHARD rows by a hash of their id; a shard keeps each tree as a sorted array of
 strings. A query descends in all trees at once to its longest matching prefixes (two binary searches a length)
 and then ascends in all trees together, one bit a step, until the ranges of the current length hold CANDIDATES
-of the shard's vectors (counted over all trees); all members of these ranges are compared exactly. A query's nearest
+of the shard's vectors and as many as are asked for, each counted once and the query's own vector not; all members of these
+ranges are compared exactly. In a shard of up to WHOLE vectors all are. A query's nearest
 of all shards are then merged, so the share of vectors compared, and with it the recall, does not fall as the
 table grows.
 
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, BITS, SEED = 96, 48, 5
-#: Vectors of a shard; share of them that a query's ranges hold, over all trees, before it stops to ascend.
-SHARD, CANDIDATES = 16_384, 0.5
+#: Vectors of a shard; share of them that a query's ranges hold before it stops to ascend; vectors of a shard in which all are compared.
+SHARD, CANDIDATES, WHOLE = 16_384, 0.5, 1_024
 QUERY_BLOCK = 20_000
 K = 10
 
@@ -47,34 +48,41 @@ class Forest:
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, 1)
 
-    def ranges(self, strings: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and tree the range of sorted places with the query's prefix, of the longest length at
-        which all trees together hold wanted places (or of length 0). strings: (trees, queries)."""
-        trees, queries = strings.shape
-        low, high = np.zeros((trees, queries), np.int64), np.full((trees, queries), self.keys.shape[1])
-        climbing = np.arange(queries)
+    def members(self, strings: np.ndarray, queries: np.ndarray, wanted: int) -> list[np.ndarray]:
+        """For each query the places in the ranges of the longest length (or length 0) at which all trees together hold wanted
+        vectors other than the query. strings: (trees, queries)."""
+        trees, count = len(self.order), len(self.vectors)
+        out = [np.arange(count)] * len(queries)
+        if wanted >= count or count <= WHOLE:
+            return out
+        climbing = np.arange(len(queries))
         for length in range(BITS, 0, -1):
             rest = np.uint64((1 << (BITS - length)) - 1)
             begin, end = strings[:, climbing] & ~rest, strings[:, climbing] | rest
             a = np.stack([np.searchsorted(self.keys[t], begin[t]) for t in range(trees)])
             b = np.stack([np.searchsorted(self.keys[t], end[t], "right") for t in range(trees)])
-            enough = (b - a).sum(0) >= wanted
-            low[:, climbing[enough]], high[:, climbing[enough]] = a[:, enough], b[:, enough]
-            climbing = climbing[~enough]
+            done = np.zeros(len(climbing), bool)
+            for k in np.flatnonzero((b - a).sum(0) >= wanted):  # only then can so many different vectors be held
+                mark = np.zeros(count, bool)
+                for t in range(trees):
+                    mark[self.order[t, a[t, k] : b[t, k]]] = True
+                found = np.flatnonzero(mark)
+                # vectors differ from each other, so one at most is the query
+                own = len(found) == wanted and (self.vectors[found] == queries[climbing[k]]).all(1).any()
+                if len(found) - own >= wanted:
+                    out[climbing[k]], done[k] = found, True
+            climbing = climbing[~done]
             if not len(climbing):
                 break
-        return low, high
+        return out
 
-    def search(self, queries: np.ndarray, strings: np.ndarray, wanted: float):
+    def search(self, queries: np.ndarray, strings: np.ndarray, wanted: int):
         """For each query the places of its candidates and their distances."""
-        low, high = self.ranges(strings, wanted)
-        for q in range(len(queries)):
-            mark = np.zeros(len(self.vectors), bool)
-            for t in range(len(self.order)):
-                mark[self.order[t, low[t, q] : high[t, q]]] = True
-            found = np.flatnonzero(mark)
-            difference = self.vectors[found] - queries[q]
-            yield found, np.sqrt((difference * difference).sum(1))
+        for start in range(0, len(queries), 256):
+            part = slice(start, start + 256)
+            for query, found in zip(queries[part], self.members(strings[:, part], queries[part], wanted), strict=True):
+                difference = self.vectors[found] - query
+                yield found, np.sqrt((difference * difference).sum(1))
 
 
 def directions_of(size: int, trees: int = TREES, seed: int = SEED) -> np.ndarray:
@@ -106,7 +114,7 @@ def _search(k: int, trees: int, candidates: float):
             directions = directions_of(vectors.shape[1], trees)
             forest = Forest(vectors[first], directions)
             asked = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-            found = forest.search(asked, hash_strings(asked, directions), candidates * len(first))
+            found = forest.search(asked, hash_strings(asked, directions), max(k, math.ceil(candidates * len(first))))
             for own, (places, distance) in zip(queries["query_id"], found, strict=True):
                 if len(places) > 2 * k + 2:
                     bound = np.partition(distance, k)[k]  # k others at least lie within, one may be the query

@@ -96,6 +96,27 @@ def test_decoding_never_contradicts():
         assert all(taken[p] for k, p in enumerate(page.parents) if k and taken[k])
 
 
+@pytest.mark.parametrize("count", [5, 15, 150, 900, 3000])
+def test_neighbours_of_small_groups_of_near_copies(spark, count):
+    rng = np.random.default_rng(count)
+    vectors = rng.standard_normal((count, 16))
+    for k in range(0, count - 4, 100):  # a query and up to 4 near copies
+        vectors[k + 1 : k + 5] = vectors[k] + 1e-9 * rng.standard_normal((4, 16))
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found: dict[int, list] = {}
+    for r in neighbours.search_table(table).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, count, 100):
+        distance = ((vectors - vectors[q]) ** 2).sum(1)
+        best = [int(k) for k in np.argsort(distance, kind="stable") if k != q][:10]
+        assert len(set(found[q])) == len(found[q]) == min(10, count - 1)
+        hits += len(set(best) & set(found[q]))
+        if count <= 900:
+            assert set(best) == set(found[q])
+    assert hits >= 0.95 * min(10, count - 1) * len(range(0, count, 100))
+
+
 def test_neighbours_recall_and_order(spark):
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((3000, 24)) + 2 * rng.standard_normal((20, 24))[rng.integers(0, 20, 3000)]
