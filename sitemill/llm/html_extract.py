@@ -54,7 +54,10 @@ BOILERPLATE = re.compile(
     r"copyright|legal|contentinfo|complementary|dialog|hidden|button|select|option|fieldset|tags|toc)(?:$|[-_ ]|\d)",
 )
 CONTENT = re.compile(r"(?:^|[-_ ])(?:article|main|content|post|entry|story|articlebody|body-text|text|prose)(?:$|[-_ ]|\d)")
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+# an attribute's name, and its value if there is one; quotes open a value only after =, elsewhere they are characters like others
+_NAME, _VALUE = r"(?:=[^\s/>=]*+|[^\s/>=]++)", r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>))"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ODD = re.compile(r"<(?:!--(?:.*?--!?>|.*)|[!?/][^>]*>?)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -120,14 +123,16 @@ def read_page(source: str | None) -> Page:
             if links > 0:
                 linked += len(piece)
 
-    at, size = 0, len(source)
+    at, size, tags = 0, len(source), _TAG
     while at < size:
         spot = source.find("<", at)
         if spot < 0:
             add(source[at:])
             break
         add(source[at:spot])
-        found = _TAG.match(source, spot)
+        found = tags.match(source, spot)
+        if not found and tags is _TAG and (found := _LOOSE_TAG.match(source, spot)):
+            tags = _LOOSE_TAG  # a value that is open at the end of the page: from here on tags end at the first >
         if not found:
             odd = _ODD.match(source, spot)
             if odd:

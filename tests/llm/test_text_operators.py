@@ -88,6 +88,25 @@ def test_extraction_of_odd_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+STRAY = [
+    "<p title=it's>", '<img alt="5" tall"><p>', "<p title='it's'>", '<p ="x>', '<p class=a"b>', "<p title=a='b>", "<p it's>", '<p title="it\'s > 1">', "<p title= 'a > b' id=x>", "<p title=>", '<p title="5>',
+]
+
+
+@pytest.mark.parametrize("tag", STRAY)
+def test_stray_quotes_take_no_text(tag):
+    for rest in ("tail words</p><p>last words</p>", "tail words</p><p>it's said last words</p>"):
+        read = " ".join(text for _, text, _ in html_extract.read_page(f"<div>first words{tag}{rest}").blocks)
+        assert read.startswith("first words tail words") and read.endswith("last words"), read
+
+
+def test_tags_end_where_browsers_end_them():
+    words = lambda source: [text for _, text, _ in html_extract.read_page(source).blocks]
+    assert words('<p>a</p><p alt="5" tall">b</p><p title="x">c</p>') == ["a", "b", "c"]
+    assert words("<p>a</p><p title=it's>b</p><p>it's c</p>") == ["a", "b", "it's c"]
+    assert words('<p>a</p><p title="x > y">b</p><p') == ["a", "b"]
+
+
 def test_decoding_never_contradicts():
     rng = np.random.default_rng(1)
     page = html_extract.read_page("<div><p>a</p><div><p>b<p>c</div></div><nav>d</nav>" * 5)
