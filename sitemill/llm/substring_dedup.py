@@ -6,6 +6,11 @@ words: from each sentence on, and up to each sentence, the shortest such run. Sp
 hash of their words (A-Z folded, white space ignored). The first place of a span is the smallest (doc_id, place
 in the text); every sentence covered by a span that is not in its first place is removed, within a document too.
 
+Where sentences begin depends on what stands around a passage, so texts are divided a second time, wherever a hash of two
+adjacent words is the least of those up to NEAR words away: the words of a passage alone decide this, except for NEAR words
+at its ends. From each such place to the first one SPAN_WORDS words on is a span too. So a repeated passage is found wherever
+it stands, without marks as well, but for some words at its ends.
+
 Spans meet in buckets of their hash. A pack of texts sends a span once, so a passage in a third of all
 documents gives a bucket one row a pack. Removals come back as word ranges and are cut from the whole text.
 
@@ -29,6 +34,10 @@ PACK_BYTES = 8 << 20
 #: Bytes of text for a bucket; they give about a million spans.
 PER_BUCKET = 32 << 20
 _LAST_ID = (1 << 63) - 1
+#: Words on either side that decide whether a text is divided at a place.
+NEAR = 2
+#: Sentence marks of other scripts: Devanagari, Arabic, Urdu, Chinese and Japanese, Ethiopic, Armenian, Khmer, Burmese, Tibetan.
+_MARKS = "।॥؟۔。！？．｡።፧։។៕။།"
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _CLAUSES = np.zeros(256, bool)
@@ -41,6 +50,12 @@ def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     """The index of each sentence's first word."""
     last = data[ends - 1]
     stop = _ENDS[last] | (_CLOSES[last] & _ENDS[data[np.maximum(ends - 2, 0)]] & (ends - starts > 1))
+    for mark in _MARKS:
+        code = mark.encode()
+        at = np.flatnonzero((last == code[-1]) & (ends - starts >= len(code)))
+        for k in range(1, len(code)):
+            at = at[data[ends[at] - 1 - k] == code[-1 - k]]
+        stop[at] = True
     lines = np.flatnonzero(data == 10)
     if len(starts) > 1:
         stop[:-1] |= np.searchsorted(lines, ends[:-1]) < np.searchsorted(lines, starts[1:])
@@ -71,6 +86,30 @@ def spans(at: np.ndarray, count: int, first: np.ndarray) -> tuple[np.ndarray, np
     return both // (count + 1), both % (count + 1)
 
 
+def content_spans(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the spans between places chosen by their words. hashes: words' hashes; first: texts' first words (one more at the end)."""
+    count = len(hashes)
+    pairs = np.zeros(count + 2 * NEAR, np.uint64)
+    if count:
+        pairs[NEAR + 1 : NEAR + count] = words.mix(words.mix(hashes[:-1]) + hashes[1:]) | np.uint64(1)
+        pairs[NEAR + first[first < count]] = 0  # a text has no place at its first word
+    own = pairs[NEAR : NEAR + count]
+    least = own > 0
+    for k in range(1, NEAR + 1):
+        least &= (own < pairs[NEAR - k : NEAR - k + count]) | (pairs[NEAR - k : NEAR - k + count] == 0)
+        least &= (own <= pairs[NEAR + k : NEAR + k + count]) | (pairs[NEAR + k : NEAR + k + count] == 0)
+    return _onward(np.flatnonzero(least), first)
+
+
+def _onward(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From each place to the first SPAN_WORDS words on, within a text."""
+    to = np.searchsorted(at, at + SPAN_WORDS)
+    inside = to < len(at)
+    a, b = at[inside], at[to[inside]]
+    same = np.searchsorted(first, a, "right") == np.searchsorted(first, b, "right")
+    return a[same], b[same]
+
+
 def run_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the words of each run a..b."""
     up, down = words._power_tables(len(hashes) + 1)
@@ -101,7 +140,7 @@ def _ranges(rows: np.ndarray, begins: np.ndarray, lengths: np.ndarray, ids: np.n
     return [{"id": int(ids[r]), "mark": int(marks[r]), "ranges": part.tobytes()} for r, part in zip(found, np.split(pairs, at[1:]), strict=True)] if len(found) else []
 
 
-def _ship(buckets: int):
+def _ship(buckets: int, anywhere: bool):
     def send(pack: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids, marks = np.array([p[0] for p in pack], np.int64), np.array([p[1] for p in pack], np.int64)
         rows = np.repeat(np.arange(len(pack)), [len(p[2]) for p in pack])
@@ -130,6 +169,10 @@ def _ship(buckets: int):
             for data, starts, ends, first in grouped_words(batch.column("text")):
                 hashes = words.word_hashes(data, starts, ends)
                 a, b = spans(sentences(data, starts, ends, first), len(starts), first)
+                if anywhere:
+                    more, to = content_spans(hashes, first)
+                    both = np.unique(np.concatenate([a, more]) * (len(starts) + 1) + np.concatenate([b, to]))
+                    a, b = both // (len(starts) + 1), both % (len(starts) + 1)
                 keys = run_hashes(hashes, a, b)
                 at = np.searchsorted(a, first)
                 for k in range(len(first) - 1):
@@ -188,11 +231,11 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(found, pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.binary())]))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     """id (doc_id, or the largest long), mark (hash of the text) and ranges: pieces of word ranges to remove, by document."""
     keyed = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shipped = keyed.mapInArrow(_ship(max(1, math.ceil(size / PER_BUCKET))), _SHIPPED)
+    shipped = keyed.mapInArrow(_ship(max(1, math.ceil(size / PER_BUCKET)), anywhere), _SHIPPED)
     answers = shipped.groupBy("bucket").applyInArrow(_answer, "id long, mark long, ranges binary")
     return answers.groupBy("id", "mark").agg(F.collect_list("ranges").alias("ranges"))  # a document's own spans
 
@@ -222,9 +265,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["rest", "text", "removed"])
 
 
-def dedup_substrings(docs: DataFrame, count: str | None = None) -> DataFrame:
-    """docs without its repeated sentences; n_chars, if there, is made anew. count: a column for the words removed."""
-    found = removals(docs)
+def dedup_substrings(docs: DataFrame, count: str | None = None, anywhere: bool = True) -> DataFrame:
+    """docs without its repeated sentences; n_chars, if there, is made anew. count: a column for the words removed.
+    anywhere: whether texts are divided by their words as well; without it only spans of sentences are found."""
+    found = removals(docs, anywhere)
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("mark"))
     joined = packed.join(found, ["id", "mark"], "left").select("rest", "text", "ranges")

@@ -48,6 +48,23 @@ def test_substring_dedup_of_odd_rows(spark):
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substring_dedup_finds_passages_without_marks_at_all_offsets(spark):
+    rng = random.Random(4)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+    passage = say(60)
+    rows = [(0, " ".join(say(30) + passage + say(30)))] + [(k + 1, " ".join(say(k) + passage + say(25))) for k in range(40)]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), count="gone").collect()
+    for r in out:
+        left = set(r["text"].split())
+        assert r["gone"] == 0 if r["doc_id"] == 0 else r["gone"] >= 40 and left >= set(dict(rows)[r["doc_id"]].split()) - set(passage), r["doc_id"]
+
+
+def test_sentences_end_at_marks_of_other_scripts():
+    for text in ("एक दो। तीन चार॥ पाँच", "واحد اثنان؟ ثلاثة أربعة۔ خمسة", "一 二。 三 四！ 五"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert list(substring_dedup.sentences(data, *substring_dedup.word_spans_of(data, np.array([0, len(data)])))) == [0, 2, 4]
+
+
 def layout(rng: random.Random, number: int) -> tuple[str, str]:
     """A page and its main text."""
     say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
