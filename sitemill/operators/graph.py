@@ -72,6 +72,27 @@ def chain_ends(edges: DataFrame) -> DataFrame:
     return step.select("src", F.when(~F.col("open"), F.col("at")).alias("final"), F.when(~F.col("open"), F.col("hops")).alias("hops"), F.col("open").alias("cycle"))
 
 
+def chain_walks(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) with one edge per src -> (src, end, hops, loop): where each chain ends and after how many steps,
+    however long it is. A chain that runs into a loop ends at the first address it meets again."""
+    edges = cut_lineage(edges.select("src", "dst"))
+    on_loop = cut_lineage(cycle_members(edges).select(F.col("node").alias("src")))
+    straight = chain_ends(edges.join(on_loop, "src", "left_anti")).select("src", F.col("final").alias("end"), "hops")
+    if not _has_rows(on_loop):
+        return straight.withColumn("loop", F.lit(False))
+    # every member learns the smallest address of its loop
+    step = cut_lineage(edges.join(on_loop, "src", "left_semi").select("src", F.col("dst").alias("at"), F.least("src", "dst").alias("least")))
+    reach, nodes = 1, step.count()
+    while reach < nodes:
+        ahead = step.select(F.col("src").alias("at"), F.col("at").alias("next"), F.col("least").alias("other"))
+        step = cut_lineage(step.join(ahead, "at").select("src", F.col("next").alias("at"), F.least("least", "other").alias("least")))
+        reach *= 2
+    sizes = step.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
+    members = cut_lineage(step.join(sizes, "least").select(F.col("src").alias("end"), "size"))
+    walked = straight.join(members, "end", "left").select("src", "end", (F.col("hops") + F.coalesce("size", F.lit(0))).alias("hops"), F.col("size").isNotNull().alias("loop"))
+    return walked.unionByName(members.select(F.col("end").alias("src"), "end", F.col("size").alias("hops"), F.lit(True).alias("loop")))
+
+
 def redirect_closure(edges: DataFrame, live: DataFrame | None = None, max_hops: int = K.MAX_HOPS) -> DataFrame:
     """edges(src, dst), live(route) -> (src, final, hops, cycle, too_long). Live addresses are never followed. Loops
     have no final; a chain over max_hops has one and is marked too_long."""

@@ -17,7 +17,7 @@ from sitemill.functions.documents import seo_url
 from sitemill.functions.text import xml_escape
 from sitemill.functions.unicode import nfc
 from sitemill.operators.files import one_row
-from sitemill.operators.graph import chain_outcome, walk_chains
+from sitemill.operators.graph import chain_ends, chain_walks
 from sitemill.operators.pages import preferred_captures
 from sitemill.session import cut_lineage
 
@@ -141,8 +141,8 @@ def redirect_lookup(addresses: DataFrame, redirects: DataFrame) -> DataFrame:
 def captured_redirects(captures: DataFrame, live: DataFrame, hosts: Sequence[str] | None = None, host_pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """captures(url, final_url) -> (route -> final route, issues(code, source)).
 
-    Only plain own addresses count; several targets for one source, captured content at the source,
-    loops and chains over 20 hops are reported and not followed."""
+    Only plain own addresses count; several targets for one source, captured content at the source
+    and loops are reported and not followed. Chains over 20 hops are followed to their end and reported."""
     moved = captures.where("final_url is not null and final_url <> url")
     pairs = moved.select(
         "url", P.plain_own_path(F.col("url"), hosts, host_pattern).alias("source"), P.plain_own_path(F.col("final_url"), hosts, host_pattern).alias("target")
@@ -157,9 +157,10 @@ def captured_redirects(captures: DataFrame, live: DataFrame, hosts: Sequence[str
     routes = live.select(F.col("route").alias("src")).distinct()
     shadowed = single.join(routes, "src", "left_semi").select(F.lit("captured-redirect-shadowed").alias("code"), "source")
     hops = single.join(routes, "src", "left_anti")
-    walked = walk_chains(hops.select("src", "dst")).select("src", chain_outcome(F.col("src"), F.col("chain")).alias("r"))
-    cycles = walked.where("r.cycle").join(hops.select("src", "source"), "src").select(F.lit("captured-redirect-cycle").alias("code"), "source")
-    resolved = walked.where("not r.cycle").select("src", F.col("r.final").alias("final"))
+    walked = chain_ends(hops.select("src", "dst"))
+    code = F.when(F.col("cycle"), F.lit("captured-redirect-cycle")).when(F.col("hops") > K.MAX_HOPS, F.lit("captured-redirect-too-long"))
+    cycles = walked.withColumn("code", code).where("code is not null").join(hops.select("src", "source"), "src").select("code", "source")
+    resolved = walked.where("not cycle").select("src", "final")
     return resolved, rejected.unionByName(conflict).unionByName(shadowed).unionByName(cycles)
 
 
@@ -171,7 +172,7 @@ def redirect_rules_from_captures(captures: DataFrame, live: DataFrame, stored: D
     alive = live.select("route").distinct()
     edges = stored.select(P.route_key(F.col("src")).alias("src"), P.route_key(F.col("dst")).alias("dst")).groupBy("src").agg(F.min("dst").alias("dst"))
     hops = edges.join(alive.select(F.col("route").alias("src")), "src", "left_anti")
-    ends = walk_chains(hops).select("src", chain_outcome(F.col("src"), F.col("chain"))["final"].alias("end"))
+    ends = chain_ends(hops).select("src", F.col("final").alias("end"))
     ends = ends.join(alive.select(F.col("route").alias("end"), F.lit(True).alias("_live")), "end", "left").where("_live").select("src", "end")
     mark = alive.withColumn("_t_live", F.lit(True))
     goal = per.withColumn("t_route", P.route_key(F.col("target"))).join(mark.withColumnRenamed("route", "t_route"), "t_route", "left")
@@ -260,14 +261,10 @@ def migration_map(crawl: DataFrame, docs: DataFrame, redirects: DataFrame, docum
     home = crawl.sparkSession.range(1).select(F.lit("/").alias("raw_path"))
     nodes = _classified_nodes(starts.unionByName(targets).unionByName(home), docs, redirects, documents)
 
-    chains = walk_chains(nodes.where("next is not null").select(F.col("raw_path").alias("src"), F.col("next").alias("dst")))
-    path = F.concat(F.array("src"), "chain")
-    repeat = F.filter(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.array_position(F.col("path"), F.element_at("path", i + 1)) <= i)
-    walked = chains.withColumn("path", path).withColumn("repeat", F.try_element_at(repeat, F.lit(1))).select(
-        F.col("src").alias("raw_path"),
-        F.when(F.coalesce("repeat", F.lit(99)) <= K.MAX_HOPS, F.lit("redirect-loop")).when(F.size("path") - 1 > K.MAX_HOPS, F.lit("redirect-chain-too-long")).alias("broken"),
-        F.coalesce(F.when(F.col("repeat") <= K.MAX_HOPS, F.col("repeat")), F.least(F.size("path") - 1, F.lit(K.MAX_HOPS + 1))).alias("hops"),
-        F.element_at("path", -1).alias("end"),
+    chains = chain_walks(nodes.where("next is not null").select(F.col("raw_path").alias("src"), F.col("next").alias("dst")))
+    walked = chains.select(
+        F.col("src").alias("raw_path"), F.when(F.col("loop"), F.lit("redirect-loop")).alias("broken"),
+        (~F.col("loop") & (F.col("hops") > K.MAX_HOPS)).alias("too_long"), F.col("hops").cast("int").alias("hops"), "end",
     )
     own = nodes.select("raw_path", F.col("redirect_id").alias("own_redirect"))
     ends = nodes.select(
@@ -289,6 +286,7 @@ def migration_map(crawl: DataFrame, docs: DataFrame, redirects: DataFrame, docum
     issues = F.array_compact(F.array(
         issue((safe | F.col("early").startswith("legacy-account") | F.col("early").startswith("private-or")) & ~F.col("capture_state").isin("captured", "document"), F.concat(F.lit("source-capture-"), F.col("capture_state"))),
         issue(safe, F.col("broken")),
+        issue(safe & F.col("too_long"), "redirect-chain-too-long"),
         issue(safe & F.col("broken").isNull() & F.col("role").isin("unsafe", "unsafe-target"), "unsafe-redirect-target"),
         issue(safe & F.col("broken").isNull() & (F.col("role") == "application"), "application-route-destination"),
         issue(is_live & F.col("canonical_path").isNull(), "invalid-public-canonical"),

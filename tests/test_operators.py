@@ -223,6 +223,29 @@ def test_captured_redirects(spark):
                    "/k": ("source-http-redirect-conflict", None), "/st": ("already-stored", None), "/via": ("new-rule", "live")}
 
 
+def test_redirect_chains_beyond_20_hops(spark):
+    o = "https://shop.example.com"
+    chain = [(f"/c{k}", f"/c{k + 1}") for k in range(30)] + [("/c30", "/p.html")]
+    ring = [("/t", "/r0")] + [(f"/r{k}", f"/r{(k + 1) % 25}") for k in range(25)]
+    captures = spark.createDataFrame([(o + a, o + b) for a, b in chain + ring], "url string, final_url string")
+    resolved, issues = R.captured_redirects(captures, spark.createDataFrame([("p",)], "route string"), ["shop.example.com"])
+    assert rows_of(resolved) == {(f"c{k}", "p") for k in range(31)}
+    assert rows_of(issues) == {("captured-redirect-cycle", a) for a, _ in ring} | {("captured-redirect-too-long", f"/c{k}") for k in range(11)}
+
+    pairs = spark.createDataFrame([("/n", "/c0")], "source string, target string")
+    verdicts = R.redirect_rules_from_captures(pairs, spark.createDataFrame([("p",)], "route string"), spark.createDataFrame(chain, "src string, dst string"))
+    assert [(r.verdict, r.to_route) for r in verdicts.collect()] == [("new-rule", "p")]
+
+    docs = spark.createDataFrame([("product", 1, "/p.html", "p", None, True)], "kind string, id long, legacy_path string, slug string, path string, published boolean")
+    redirects = spark.createDataFrame([(k, True, a, b) for k, (a, b) in enumerate(chain + ring)], "id long, published boolean, src string, dst string")
+    crawl = spark.createDataFrame([(o + a, None, "captured", k) for k, (a, _) in enumerate(chain + ring)], "url string, final_url string, capture_state string, position long")
+    got = {r.old_path: r for r in R.migration_map(crawl, docs, redirects, None, hosts=["shop.example.com"]).collect()}
+    for k in range(31):
+        row = got[f"/c{k}"]
+        assert (row.new_path, row.redirect_hops, "redirect-chain-too-long" in row.issues) == ("/p.html", 31 - k, 31 - k > 20), row
+    assert all(got[a].issues == ["redirect-loop"] and got[a].redirect_hops == (26 if a == "/t" else 25) for a, _ in ring)
+
+
 def test_media_and_files(spark):
     mains = spark.createDataFrame([("/", "h"), ("/strona-glowna/a", "h"), ("/strona-glowna/b", "x"), ("/strona-glowna/c", "h")], "path string, main_hash string")
     assert rows_of(M.home_aliases(mains, spark.createDataFrame([("strona-glowna/c",)], "route string"))) == {("/strona-glowna/a", "/", "h")}
