@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import html_extract, jaccard_join, kneser_ney, mixing, neighbours, preference_format, quality_rules, sentence_pieces, sql, substring_dedup, url_filter
+from sitemill.llm import collocations, filter_audit, html_extract, jaccard_join, kneser_ney, mixing, neighbours, preference_format, quality_rules, sentence_pieces, sql, substring_dedup, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,22 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' places, numbers and sums of ids, read from files written for the purpose."""
+    import public_tokenizers
+
+    written = token_files.write_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.digests(spark, written)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_preference_format": op2_preference_format,
@@ -70,5 +86,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_token_files": op11_token_files,
+    "op12_collocations": op12_collocations,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = sql.ORACLES

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
@@ -64,3 +67,20 @@ def forget(folder: str) -> None:
     """Closes what this worker has mapped from other folders than folder."""
     for key in [k for k in _mapped if os.path.dirname(k) != folder]:
         del _mapped[key]
+
+
+@contextmanager
+def replace_file(folder: str, name: str) -> Iterator[pa.NativeFile]:
+    """A stream whose file takes its name when it is whole; see write_array."""
+    system, path = _open(folder)
+    system.create_dir(path, recursive=True)
+    part = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        yield out
+    system.move(part, f"{path}/{name}")
+
+
+def open_array(folder: str, name: str) -> pa.NativeFile:
+    """The file for reading at any place."""
+    system, path = _open(folder)
+    return system.open_input_file(f"{path}/{name}")

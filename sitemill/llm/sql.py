@@ -53,4 +53,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-ORACLES = {"op1_jaccard_join": JACCARD_JOIN, "op2_preference_format": PREFERENCE_FORMAT, "op6_quality_rules": QUALITY_RULES}
+COLLOCATIONS = rf"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM
+  (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+f AS (SELECT lang, w[i:i + k - 1] AS x, count(*) AS f FROM i, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY 1, 2),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(x) = 1 GROUP BY lang),
+c AS (SELECT lang, x, f AS a FROM f WHERE len(x) > 1 AND f >= 10),
+k AS (SELECT c.lang, c.x, c.a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(x))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.x = c.x[1:k] JOIN f r ON r.lang = c.lang AND r.x = c.x[k + 1:]),
+m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+g AS (SELECT lang, x[1:2] AS x, max(a) AS a FROM c WHERE len(x) = 3 GROUP BY 1, 2 UNION ALL SELECT lang, x[2:3], max(a) FROM c WHERE len(x) = 3 GROUP BY 1, 2),
+s AS (SELECT m.lang, array_to_string(m.x, ' ') AS phrase, m.a, m.l, m.r, m.score FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.lang = m.lang AND g.x = m.x AND 100 * g.a >= 50 * m.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM s)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+b AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+  FROM d JOIN e USING (t)),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [p.k, q.k, r.k, s.k, 15 - p.k - q.k - r.k - s.k] AS o FROM x p, x q, x r, x s WHERE len(list_distinct([p.k, q.k, r.k, s.k])) = 4),
+s AS (SELECT o, array_to_string(list_transform(o, lambda i: chr(64 + i::INT)), '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+z AS (SELECT part, filter_order, step, o[step] AS filter, fails[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], lambda i: fails[i]), true) AS here,
+  list_contains(list_transform(o[1:step], lambda i: fails[i]), true) AS gone, fails[o[step]] AS failing, len(list_filter(fails, lambda v: v)) = 1 AS one, n, good, toxic FROM c, s),
+y AS (SELECT part, filter_order, step, any_value(filter) AS filter, coalesce(sum(n) FILTER (WHERE NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE here), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE failing AND NOT here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE failing AND one), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE here), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE here), 0)::BIGINT AS toxic_lost FROM z GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM y
+"""
+
+ORACLES = {"op1_jaccard_join": JACCARD_JOIN, "op2_preference_format": PREFERENCE_FORMAT, "op6_quality_rules": QUALITY_RULES, "op12_collocations": COLLOCATIONS, "op13_filter_audit": FILTER_AUDIT}
