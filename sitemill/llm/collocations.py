@@ -62,7 +62,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 held.append((data[a:stop], lang))
                 many += stop - a
                 a = stop
-                if many > 2 * GROUP_BYTES:
+                if many > GROUP_BYTES:
                     yield _joined(held)
                     held, many = [], 0
     if held:
@@ -97,6 +97,14 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, many
 
 
+def _spelled(spans: Spans, which: np.ndarray) -> pa.StringArray:
+    """The texts of some spans."""
+    lengths = spans.lengths[which]
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    places = np.repeat(spans.starts[which] - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(spans.data[places].tobytes()))
+
+
 def _ship(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, offsets, run_langs in _packs(batches):
@@ -109,18 +117,21 @@ def _ship(buckets: int):
             spans = Spans(data, starts, ends)
             hashes = spans.hashes()
             known, word = np.unique(spans.first_equal(hashes, lang), return_inverse=True)
-            word = word + 1  # 0: no word
+            codes, word_lang = np.concatenate((np.zeros(1, np.uint64), hashes[known])), lang[known]
+            names = _spelled(spans, known)
+            word = (word + 1).astype(np.int32)  # 0: no word
             second, third = np.zeros_like(word), np.zeros_like(word)
             near = piece[:-1] == piece[1:]
+            del hashes, lang, text, piece, spans
             second[:-1][near] = word[1:][near]
             third[:-1][near] = second[1:][near]
             at, counts = _distinct(word, second, third)
             windows = np.stack([word[at], second[at], third[at]], 1)
-            codes = np.concatenate((np.zeros(1, np.uint64), hashes[known]))
+            del word, second, third, near
             context = mix(codes[windows[:, 0]] + mix(codes[windows[:, 1]] + np.uint64(1)))
-            window_lang = lang[at]
-            texts = [None, *(spans.text(k).decode() for k in known)]
+            window_lang = word_lang[windows[:, 0] - 1]
             out: list[tuple] = []
+            lists: list[np.ndarray] = []
             for code in np.unique(window_lang):
                 mine = np.flatnonzero(window_lang == code)
                 order, found, cuts = by_bucket(context[mine], buckets)
@@ -132,10 +143,15 @@ def _ship(buckets: int):
                     local = local.reshape(-1, 3)
                     small = np.uint16 if len(used) <= 1 << 16 else np.uint32
                     many = counts[rows]
-                    out.append((langs[code], int(bucket), [texts[k] for k in used[1:]], np.ascontiguousarray(local.T.astype(small)).tobytes(), many.astype(np.uint8 if many.max() < 256 else np.int64).tobytes(), len(rows)))
-            columns = list(zip(*out, strict=True))
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "bucket", "words", "windows", "counts", "many"])
+                    lists.append(used[1:] - 1)
+                    out.append((langs[code], int(bucket), np.ascontiguousarray(local.T.astype(small)).tobytes(), many.astype(np.uint8 if many.max() < 256 else np.int64).tobytes(), len(rows)))
+            lang_column, bucket_column, windows_column, counts_column, many_column = zip(*out, strict=True)
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
+            words = pa.ListArray.from_arrays(offsets, names.take(pa.array(np.concatenate(lists))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang_column, pa.string()), pa.array(bucket_column, pa.int64()), words, pa.array(windows_column, pa.binary()), pa.array(counts_column, pa.binary()), pa.array(many_column, pa.int64())],
+                ["lang", "bucket", "words", "windows", "counts", "many"],
+            )
 
     return run
 
