@@ -5,14 +5,15 @@ and a trailer with the two tables' lengths and a mark. Documents are dealt to fi
 hold ascending doc_ids (null first; rows that share one by a hash of their text, and alike rows in any order). A task
 writes under another name and renames at the end, so a task that runs again leaves the same file.
 
-Texts are cut before a space or line break that follows a visible ASCII character: the vocabulary's pieces never reach over
+Texts are cut before a space or line break that follows a visible ASCII character, and between a letter and a mark: the vocabulary's pieces never reach over
 such a place, so the ids of the parts, joined, are those of the text. Each distinct part of some megabytes of text is given to
-the tokenizer once. Very long texts are worked on in runs of parts, so memory follows GROUP_BYTES, not the text
+the tokenizer once, and a worker keeps what it has met (KEPT parts at most, which changes no id). Very long texts are worked on in runs of parts, so memory follows GROUP_BYTES, not the text
 (unless it has no such place). Null and empty texts have the end id alone. Strings of special tokens in a text are ordinary text."""
 
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,7 @@ TRAILER = np.dtype([("blocks", "<u8"), ("documents", "<u8"), ("mark", "S8")])
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -49,27 +51,128 @@ def _tokenizer(path: str):
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where texts or parts begin: text starts, and a space or line break after a visible ASCII character."""
+    """Places where texts or parts begin: text starts, a space or line break after a visible ASCII character, such a character
+    after a line break that is one, and a mark after an ASCII letter."""
     here = np.zeros(len(data) + 1, bool)
-    here[1:-1] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+    here[1:-1] = _LETTER[data[:-1]] & _POINT[data[1:]]
+    seen = (data > 0x20) & (data < 0x7F)
+    here[1:-1] |= ((data[1:] == 0x20) | (data[1:] == 0x0A)) & seen[:-1]
+    here[2:-1] |= seen[2:] & (data[1:-1] == 0x0A) & seen[:-2]
     here[offsets] = True
     here[-1] = False
     return np.flatnonzero(here)
 
 
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_POINT[list(b".,;:!?\"()")] = True
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+# bytes that begin a character which is surely no white space
+_OPENS = _VISIBLE.copy()
+_OPENS[0xC3:0xF5] = True
+_OPENS[[0xE1, 0xE2, 0xE3]] = False
+# bytes of ASCII letters and of characters from U+00C0 to U+027F
+_LATIN = _LETTER.copy()
+_LATIN[0x80:0xC0] = _LATIN[0xC3:0xCA] = True
+WORD, WIDE, JOINT, OTHER = range(4)
+#: Parts that are given to the tokenizer in one text, with line breaks between them.
+JOINED = 4096
+#: Parts whose ids a worker keeps for the texts that follow; when there are more it starts anew.
+KEPT = 1_000_000
+
+
+def _encoded(path: str, parts: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all parts, joined, and each part's number of ids. plain: a line break beside any of the parts is an id of its own that
+    stands in none of them, so they are encoded many at a time and told apart by it."""
+    tokenizer = _tokenizer(path)
+    mark = tokenizer.encode("\n", add_special_tokens=False).ids
+    plain &= len(mark) == 1
+    texts = [b"\n".join([*parts[k : k + JOINED], b""]).decode() for k in range(0, len(parts), JOINED)] if plain else [part.decode() for part in parts]
+    encoded = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    flat = np.concatenate([np.empty(0, np.uint32), *encoded])
+    if not plain:
+        return flat, np.array([len(e) for e in encoded], np.int64)
+    at = np.flatnonzero(flat == mark[0])
+    return flat[flat != mark[0]], np.diff(at, prepend=-1) - 1
+
+
+# how byte-level vocabularies write the bytes of a text: printable ones as themselves, the rest as the characters from 256 on
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_WRITTEN = {byte: 256 + n for n, byte in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
+def _words(path: str, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As _encoded, for parts that are letters after at most one space: each is one piece of the vocabulary's pattern, so the model
+    merges it without looking for pieces first."""
+    merge = _tokenizer(path).model.tokenize
+    together = b"\n".join(parts)
+    written = together.decode("latin-1").translate(_WRITTEN | {10: "\n"}) if not together.isascii() else together.decode().replace(" ", chr(_WRITTEN[0x20]))
+    ids = [[token.id for token in merge(part)] for part in written.split("\n")]
+    return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+
+class _Known:
+    """The ids of the parts that this worker has met, by the parts themselves."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.begins, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, parts: list[bytes], kinds: np.ndarray) -> np.ndarray:
+        """The places of distinct parts in begins and sizes; kinds: WORD, WIDE (a word not all ASCII), JOINT (may be joined by
+        line breaks) or OTHER."""
+        if len(self.place) + len(parts) > KEPT:
+            self.forget()
+        get = self.place.get
+        found = np.array([get(part, -1) for part in parts], np.int64)
+        for kind in (WORD, WIDE, JOINT, OTHER):
+            new = np.flatnonzero((found < 0) & (kinds == kind))
+            if not len(new):
+                continue
+            fresh = [parts[k] for k in new.tolist()]
+            ids, sizes = _words(self.path, fresh) if kind in (WORD, WIDE) else _encoded(self.path, fresh, kind == JOINT)
+            found[new] = len(self.place) + np.arange(len(new))
+            self.place.update(zip(fresh, found[new].tolist(), strict=True))
+            self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, ids))
+        return found
+
+
+_known = cache(_Known)
+
+
 def _ids(path: str, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all parts of data, joined, and each part's number of ids."""
     if not len(starts):
         return np.empty(0, np.uint32), np.empty(0, np.int64)
-    spans = Spans(data, starts, np.append(starts[1:], len(data)))
-    known, which = np.unique(spans.first_equal(spans.hashes()), return_inverse=True)
-    encoded = [e.ids for e in _tokenizer(path).encode_batch_fast([spans.text(k).decode() for k in known], add_special_tokens=False)]
-    lengths = np.array([len(e) for e in encoded], np.int64)
-    flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
-    begins = np.cumsum(lengths) - lengths
-    sizes = lengths[which]
-    place = np.repeat(begins[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return flat[place], sizes
+    ends = np.append(starts[1:], len(data))
+    spans = Spans(data, starts, ends)
+    owner = spans.first_equal(spans.hashes())
+    own = owner == np.arange(len(owner))
+    first, which = np.flatnonzero(own), (np.cumsum(own) - 1)[owner]
+    a, b = starts[first], ends[first]
+    # a line break beside these stays an id of its own: they have none, end visibly, and begin so but for one space
+    sums = lambda where: np.concatenate((np.zeros(1, np.int32), np.cumsum(where, dtype=np.int32)))
+    breaks = sums(data == 0x0A)
+    begin = a + ((data[a] == 0x20) & (a < b - 1))
+    kinds = np.where((breaks[b] == breaks[a]) & _VISIBLE[data[b - 1]] & _OPENS[data[begin]], JOINT, OTHER)
+    odd, high = sums(~_LATIN[data]), sums(data >= 0x80)
+    letters, wide = odd[b] == odd[begin], high[b] > high[a]
+    whole, known = data.tobytes(), _known(path)
+    parts = [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    kinds[letters & ~wide] = WORD
+    for k in np.flatnonzero(letters & wide).tolist():
+        if parts[k].decode().removeprefix(" ").isalpha():
+            kinds[k] = WIDE
+    places = known.find(parts, kinds)[which]
+    sizes = known.sizes[places]
+    at = np.repeat(known.begins[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return known.flat[at], sizes
 
 
 def encode_texts(column: pa.Array, path: str, end_id: int | None = END_ID, most: int = GROUP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
