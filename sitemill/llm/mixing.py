@@ -75,7 +75,7 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("text", "doc_id").alias("mark"))
     sized = cut_lineage(sized)
     targets = source_targets(sized)
-    placed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "mark", "place", "source_size", "target")
+    placed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", sized["source"], "size", "mark", "place", "source_size", "target")
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), shards))
     run = Window.partitionBy("place", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "mark"), "doc_id", "mark", "size")
@@ -99,7 +99,7 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int
     low, high = F.floor(F.col("block") * size / blocks), F.floor((F.col("block") + 1) * size / blocks)
     spread = spread.withColumn("first", F.greatest("start", low) - F.col("start")).withColumn("words", F.least("end", high) - F.greatest("start", low)).where("words > 0")
     pieces = spread.join(drawn, ["place", "shard", "block"]).select("place", "shard", "row", "first", "words", "times")
-    return placed.select("place", "shard", "row", "doc_id", "mark", "size", "source_size", "target"), pieces
+    return placed.select("place", "shard", "row", "doc_id", "source", "mark", "size", "source_size", "target"), pieces
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -135,13 +135,15 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     key = ["place", "shard", "row"]
     each = pieces.select(*key, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"), "first", "words")
     runs = each.groupBy(*key, "nth").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"))
-    # rows alike in doc_id and text are told apart by a number
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(*key)))
-    chosen = rows.join(runs, key).select("doc_id", "mark", "copy", "runs")
+    # rows alike in doc_id, text and source are told apart by a number
+    alike = ["doc_id", "mark", "source"]
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*alike).orderBy(*key)))
+    chosen = rows.join(runs, key).select(*alike, "copy", "runs")
     rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("id"), F.xxhash64("text", "doc_id").alias("mark_"))
-    packed = packed.withColumn("copy_", F.row_number().over(Window.partitionBy("id", "mark_").orderBy("mark_")))
-    joined = packed.join(chosen, packed["id"].eqNullSafe(chosen["doc_id"]) & (packed["mark_"] == chosen["mark"]) & (packed["copy_"] == chosen["copy"]))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("id"), F.xxhash64("text", "doc_id").alias("mark_"), F.col("source").cast("string").alias("source_"))
+    packed = packed.withColumn("copy_", F.row_number().over(Window.partitionBy("id", "mark_", "source_").orderBy(F.xxhash64("rest"))))
+    same = packed["id"].eqNullSafe(chosen["doc_id"]) & (packed["mark_"] == chosen["mark"]) & packed["source_"].eqNullSafe(chosen["source"])
+    joined = packed.join(chosen, same & (packed["copy_"] == chosen["copy"]))
     joined = joined.select("rest", "text", "runs")
     cut = joined.mapInArrow(_cut, joined.select("rest", "text").schema)
     made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -113,6 +115,19 @@ def sentences(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [m[0] for m in found], out
 
 
+def chosen_places(words: list[str]) -> list[int]:
+    """Words before which the words themselves divide a text: the hash of the pair around the place is the least of those up to two
+    places away (of equal ones the first)."""
+    from sitemill.llm import words as W
+
+    data = " ".join(words).encode()
+    array = np.frombuffer(data, np.uint8)
+    starts, ends, _ = W.word_spans(array, np.array([0, len(data)]))
+    each = W.word_hashes(array, starts, ends)
+    value = {k: int(v) | 1 for k, v in enumerate(W.mix(W.mix(each[:-1]) + each[1:]), 1)} if len(each) > 1 else {}
+    return [k for k, v in value.items() if all(value.get(k - d, v + 1) > v and value.get(k + d, v) >= v for d in (1, 2))]
+
+
 def without_repeats(rows: list[tuple[int, str]]) -> dict[int, list[str]]:
     """The words that substring dedup leaves of each document."""
     places, words = defaultdict(list), {}
@@ -128,6 +143,9 @@ def without_repeats(rows: list[tuple[int, str]]) -> dict[int, list[str]]:
                 if found[i][1] - found[j][0] >= 20:
                     spans.add((found[j][0], found[i][1]))
                     break
+        chosen = chosen_places(words[doc])
+        for i, a in enumerate(chosen):
+            spans |= {(a, b) for b in [next((b for b in chosen[i:] if b - a >= 20), None)] if b is not None}
         for a, b in spans:
             places[tuple(map(lower, words[doc][a:b]))].append((doc, a, b))
     gone = defaultdict(set)

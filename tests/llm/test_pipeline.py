@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from sitemill.llm import quality_rules, sentence_pieces
+from sitemill.llm import quality_rules, sentence_pieces, substring_dedup
 from tests.llm import brute
 
 
@@ -51,6 +51,41 @@ def test_passages(stages):
     assert {r["doc_id"]: brute.WORD.findall(r["text"]) for r in after} == left and len(after) == len(before)
 
 
+def test_passages_are_those_of_the_operator(spark, stages):
+    before, after, *_ = stages["substring dedup"]
+    assert Counter(after) == Counter(substring_dedup.dedup_substrings(spark.createDataFrame(before)).collect())
+    say = " ".join(f"word{k}" for k in range(70))
+    docs = spark.createDataFrame([(1, "start of it " + say + " and on"), (2, "another thing before " + say + " goes on here")], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert "word30" in left[1] and "word30" not in left[2] and "another thing" in left[2]  # a passage in the middle of a line
+
+
+def test_texts_that_share_an_id(spark):
+    say = lambda tag, n=40: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, say("a"), "s"), (1, say("b"), "s"), (2, say("a") + " x", "s"), (3, say("c"), "s"), (3, say("c"), "t"), (3, say("c"), "s"), (None, say("a"), "s"), (None, None, "s"), (4, None, "s"), (5, "", "s"), (6, say("b") + " y", "s")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        out = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()))
+        assert out == Counter([(1, say("a")), (1, say("b")), (3, say("c")), (None, say("a")), (None, None), (4, None), (5, "")])
+    assert len({tuple(corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string, source string"), "").where("doc_id = 3").first()) for order in (rows, rows[::-1])}) == 1
+
+
+def test_equal_rows_of_two_sources_keep_their_quotas(spark):
+    texts = [" ".join(f"w{n}x{k}" for k in range(200)) for n in range(6)]
+    rows = [(n, t, s) for n, t in enumerate(texts) for s in ("a", "b")]
+    mixed = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        sums = Counter()
+        found = corpus_pipeline.mixture(spark, docs, "").collect()
+        for r in found:
+            sums[r["source"]] += len(r["text"].split())
+        want = brute.targets(Counter({"a": 1200, "b": 1200}))
+        assert all(abs(sums[s] - want[s]) <= 100 for s in "ab"), sums
+        mixed.append(Counter(found))
+    assert mixed[0] == mixed[1]
+
+
 def test_mix(stages):
     before, after, *_ = stages["mixing sources to target weights"]
     size, text, source = {}, {}, {}
