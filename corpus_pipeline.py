@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitemill.llm import jaccard_join, mixing, quality_rules, sentence_pieces, substring_dedup
 from sitemill.session import cut_lineage
@@ -16,19 +17,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies; of rows with one doc_id, one.
-    Documents without a doc_id or without words stay."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    """One document of each group of near copies, that with the smallest doc_id (then the smallest hash of its text); of rows with
+    one doc_id and text, one. Texts that share a doc_id are judged each by itself; documents without a doc_id or without words stay."""
+    keyed = docs.withColumn("_mark", F.xxhash64("text")).withColumn("_key", F.xxhash64("doc_id", "text"))
+    named = keyed.where("doc_id IS NOT NULL")
+    found = jaccard_join.jaccard_components(named.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0")
+    places = named.select("_key", F.struct("doc_id", "_mark").alias("place")).distinct()
+    groups = cut_lineage(found.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(places, "_key"))
+    first = groups.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = groups.join(first, "component_id").where("place <> first").select("_key")
+    left = named.join(gone, "_key", "left_anti")
+    # of rows alike in both, which one stays follows from their other columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = left.groupBy("doc_id", "_mark").agg(F.min_by(whole, F.xxhash64(whole)).alias("_row")).select("_row.*")
+    return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the sentences of passages that an earlier document or place has: spans of sentences only, as the
-    plain version of the tests has them; passages whose sentences are divided otherwise stay in part or wholly."""
-    return substring_dedup.dedup_substrings(docs, anywhere=False)
+    """All documents, without the sentences and passages that an earlier document or place has."""
+    return substring_dedup.dedup_substrings(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
