@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sitemill import constants as K
 from sitemill.functions import dates as D
 from sitemill.functions.unicode import nfc
-from sitemill.operators.ordered import first_per_key, position_in_key
+from sitemill.operators.ordered import first_per_key, position_in_key, range_chunks
 
 
 def calendar_entries(events: DataFrame, sessions: DataFrame, trips: DataFrame) -> DataFrame:
@@ -46,12 +46,11 @@ def trip_group(starts: Column, ends: Column, now: Column) -> Column:
 
 
 def month_groups(entries: DataFrame) -> DataFrame:
-    """Adds the Warsaw month and the entry's position in it. Positions replace nested lists, so a
-    crowded month is never built as one array; days are the ordering chunks."""
+    """Adds the Warsaw month and the entry's position in it: by start, kind, Polish title, then key. Positions replace nested
+    lists, so a crowded month is never built as one array, and its entries are counted in ranges of that order."""
     dated = entries.where("starts_at is not null").withColumn("month", F.date_format(D.month_start(F.col("starts_at")), "yyyy-MM"))
-    chunked = dated.withColumn("_day", D.to_local(F.col("starts_at")).cast("date"))
-    order = [F.col("starts_at"), F.col("kind_rank"), F.col("key")]
-    return position_in_key(chunked, ["month"], "_day", order, "position").drop("_day")
+    order = [*calendar_order(), F.col("key")]
+    return position_in_key(range_chunks(dated, [F.col("month"), *order]), ["month"], "chunk", order, "position").drop("chunk")
 
 
 def uncovered_months(derived: DataFrame, covered: DataFrame) -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sitemill import constants as K
 from sitemill.functions import money as M, paths as P
 from sitemill.functions.text import catalog_search_text
-from sitemill.operators.graph import tree_subtree
+from sitemill.operators.graph import tree_labels, tree_subtree, within_ranges
 from sitemill.operators.ordered import top_k
+from sitemill.session import scratch_folder
 
 
 def published(df: DataFrame) -> DataFrame:
@@ -18,10 +21,50 @@ def published(df: DataFrame) -> DataFrame:
     return df.where(F.col("published") == F.lit(True))
 
 
+#: Up to this many rows a page is taken from the heads of the tasks' sorted rows; a deeper one from the ranges that hold it.
+HEAD_ROWS = 10_000
+
+
+@dataclass(frozen=True)
+class SortedRows:
+    """Rows laid out once in ranges of an order, from which any page is read."""
+
+    folder: str
+    schema: StructType
+    counts: tuple[tuple[int, int], ...]
+    order: tuple[Column, ...]
+
+    def rows(self, spark: SparkSession, first: int, many: int) -> DataFrame:
+        """many rows from place first (from 0) on, in order; only the ranges that hold them are read."""
+        chunks, before, skipped = [], 0, None
+        for chunk, held in self.counts:
+            if before < first + many and before + held > first:
+                chunks.append(chunk)
+                skipped = before if skipped is None else skipped
+            before += held
+        held = spark.read.schema(self.schema).parquet(self.folder).where(F.col("chunk").isin(chunks)).drop("chunk")
+        return held.orderBy(*self.order).offset(first - (skipped or 0)).limit(many)
+
+
+def sorted_rows(df: DataFrame, order: Sequence[Column]) -> SortedRows:
+    """Lays out the published rows in ranges by a total order, a file or more each, below the checkpoint folder; the driver gets one
+    count a range."""
+    folder = scratch_folder(df.sparkSession, "sorted")
+    rows = published(df)
+    dealt = rows.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id())
+    dealt.write.partitionBy("chunk").parquet(folder)
+    kind = StructType([*rows.schema.fields, StructField("chunk", IntegerType())])
+    counts = df.sparkSession.read.schema(kind).parquet(folder).groupBy("chunk").count().collect()
+    return SortedRows(folder, kind, tuple(sorted((row["chunk"], row["count"]) for row in counts)), tuple(order))
+
+
 def scan_page(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = K.PAGE_SIZE) -> DataFrame:
-    """One page of published rows in a total order."""
+    """One page of published rows in a total order. A deep page reads the ranges of the order that hold it (see SortedRows, which
+    keeps the ranges for further pages); both ways give the same rows."""
     if size < 1 or page < 1:
         raise ValueError("page and size start at 1")
+    if page * size > HEAD_ROWS:
+        return sorted_rows(df, order).rows(df.sparkSession, (page - 1) * size, size)
     return published(df).orderBy(*order).offset((page - 1) * size).limit(size)
 
 
@@ -75,10 +118,18 @@ def related_products(products: DataFrame, memberships: DataFrame, k: int = 4) ->
     )
 
 
-def subtree_products(categories: DataFrame, memberships: DataFrame) -> DataFrame:
-    """(category_id, product_id) for every product below a category, once even with several matches."""
-    pairs = tree_subtree(categories).select(F.col("id").alias("root"), F.col("member").alias("category_id"))
-    return memberships.join(pairs, "category_id").select(F.col("root").alias("category_id"), "product_id").distinct()
+def subtree_products(categories: DataFrame, memberships: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(category_id, product_id) for every product in or below a category, once even with several matches; of the asked(id)
+    categories only, if given. Products take their category's place in the walk of the tree and meet the ranges of categories."""
+    labels = tree_labels(categories)
+    wanted = labels if asked is None else labels.join(asked.select("id").distinct(), "id", "left_semi")
+    placed = memberships.join(labels.where("enter is not null").select(F.col("id").alias("category_id"), "root", F.col("enter").alias("at")), "category_id").select("root", "at", "product_id").distinct()
+    pairs = within_ranges(placed, wanted.where("enter is not null").select("root", F.col("enter").alias("low"), F.col("leave").alias("high"), F.col("id").alias("category_id"))).select("category_id", "product_id").distinct()
+    odd = labels.where("enter is null").select("id")
+    if odd.isEmpty():
+        return pairs
+    around = tree_subtree(categories.join(odd, "id", "left_semi")).join(wanted.select("id"), "id", "left_semi")
+    return pairs.unionByName(memberships.join(around.withColumnRenamed("id", "root").withColumnRenamed("member", "category_id"), "category_id").select(F.col("root").alias("category_id"), "product_id").distinct())
 
 
 _VARIANTS = "array<struct<pos:int,variant_id:string,label:string,stock:bigint,price_cents:bigint>>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sitemill import constants as K
 from sitemill.functions import money as M
@@ -140,7 +140,7 @@ def match_quote_lines(cart: DataFrame, quoted: DataFrame) -> DataFrame:
 
 def stock_ledger(requests: DataFrame, stock: DataFrame) -> DataFrame:
     """requests(key, chunk, at, line, qty), stock(key, stock) -> verdict per request: reserved,
-    rejected or review (unknown stock). Requests are served in (at, line) order, each one only if
+    rejected or review (unknown stock or quantity). Requests are served in (at, line) order, each one only if
     enough is left.
 
     Serving one by one is a loop over rows; here a round serves a whole run of requests. Stock only
@@ -150,8 +150,8 @@ def stock_ledger(requests: DataFrame, stock: DataFrame) -> DataFrame:
     (quantities are at most 99), and the running sum is taken by day chunks (see running_sum), so a
     product with a third of all requests is spread over tasks."""
     known = requests.join(stock, "key", "left")
-    unknown = known.where("stock is null").select("key", "at", "line", F.lit("review").alias("verdict"))
-    open_rows = cut_lineage(known.where("stock is not null").withColumn("left", F.col("stock").cast("long")).drop("stock"))
+    unknown = known.where("stock is null OR qty is null").select("key", "at", "line", F.lit("review").alias("verdict"))
+    open_rows = cut_lineage(known.where("stock is not null AND qty is not null").withColumn("left", F.col("stock").cast("long")).drop("stock"))
     order = [F.col("at"), F.col("line")]
     verdicts = [unknown]
     while not open_rows.isEmpty():
@@ -171,6 +171,54 @@ def stock_ledger(requests: DataFrame, stock: DataFrame) -> DataFrame:
     return result
 
 
+def order_reservations(lines: DataFrame, stock: DataFrame) -> DataFrame:
+    """lines(order_id, key, chunk, at, qty), stock(key, stock) -> order_id, verdict: reserved, rejected or review.
+
+    Orders are units, served in (at, order_id) order: an order takes all its lines or nothing, so a refused one leaves
+    the shelf as it was for those behind it. Lines of an order on one key are added up; a line without a quantity
+    of at least 1 or without known stock sends the whole order to review. chunk is a coarse part of at.
+
+    Rounds narrow two bounds for each open line: what is left if every open order before it is served, and if none is. An
+    order whose lines all fit the first is served, one with a line beyond the second is refused; the first open order
+    always is one of them, and in practice most are. Keys whose whole remaining demand fits limit nobody and leave at
+    once, and served orders are taken off the shelf once nobody open is before them. Sums run by (key, chunk)."""
+    wrong = F.coalesce(F.col("qty") < 1, F.lit(True))
+    orders = lines.groupBy("order_id").agg(F.min("at").alias("at"), F.min("chunk").alias("chunk"))
+    need = lines.groupBy("order_id", "key").agg(F.sum("qty").cast("long").alias("qty"), F.max(wrong).alias("wrong")).join(stock, "key", "left").join(orders, "order_id")
+    need = cut_lineage(need.withColumn("wrong", F.col("wrong") | F.col("stock").isNull()).withColumnRenamed("stock", "left"))
+    review = need.where("wrong").select("order_id").distinct()
+    open_rows = need.join(review, "order_id", "left_anti").select("order_id", "key", "chunk", "at", "qty", F.col("left").cast("long").alias("left"), F.lit(False).alias("served"))
+    place = F.struct("at", "order_id")
+    refused = []
+    while True:
+        demand = open_rows.groupBy("key").agg(F.sum("qty").alias("_asked"), F.min("left").alias("_left"), F.min(F.when(~F.col("served"), place)).alias("_first"))
+        scarce = demand.where(F.col("_first").isNotNull() & (F.col("_asked") > F.col("_left"))).select("key", "_first")
+        rows = open_rows.join(scarce, "key")
+        gone = F.col("served") & (place < F.col("_first"))
+        taken = rows.where(gone).groupBy("key").agg(F.sum("qty").alias("_taken"))
+        rows = rows.where(~gone).drop("_first").join(taken, "key", "left").withColumn("left", F.col("left") - F.coalesce("_taken", F.lit(0))).drop("_taken")
+        rows = cut_lineage(rows)
+        if rows.isEmpty():
+            break
+        inside = W.partitionBy("key", "chunk").orderBy("at", "order_id").rowsBetween(W.unboundedPreceding, -1)
+        served_qty = F.when(F.col("served"), F.col("qty")).otherwise(0)
+        totals = rows.groupBy("key", "chunk").agg(F.sum("qty").alias("_all"), F.sum(served_qty).alias("_served"))
+        earlier = W.partitionBy("key").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+        carry = totals.select("key", "chunk", F.sum("_all").over(earlier).alias("_all"), F.sum("_served").over(earlier).alias("_served"))
+        bounded = rows.withColumn("_before", F.sum("qty").over(inside)).withColumn("_before_served", F.sum(served_qty).over(inside)).join(carry, ["key", "chunk"])
+        before = lambda inner, outer: F.coalesce(inner, F.lit(0)) + F.coalesce(outer, F.lit(0))
+        least, most = F.col("left") - before(F.col("_before"), F.col("_all")), F.col("left") - before(F.col("_before_served"), F.col("_served"))
+        judged = bounded.where("NOT served").groupBy("order_id").agg(F.min(F.col("qty") <= least).alias("_fits"), F.max(F.col("qty") > most).alias("_beyond"))
+        judged = cut_lineage(judged.where("_fits OR _beyond"))
+        refused.append(judged.where("_beyond").select("order_id"))
+        open_rows = rows.join(judged, "order_id", "left").where(~F.coalesce("_beyond", F.lit(False)))
+        open_rows = cut_lineage(open_rows.withColumn("served", F.col("served") | F.coalesce("_fits", F.lit(False))).drop("_fits", "_beyond"))
+    marked = review.withColumn("verdict", F.lit("review"))
+    for part in refused:
+        marked = marked.unionByName(part.withColumn("verdict", F.lit("rejected")))
+    return orders.select("order_id").join(marked, "order_id", "left").select("order_id", F.coalesce("verdict", F.lit("reserved")).alias("verdict"))
+
+
 def stock_corrections(commands: DataFrame, stock: DataFrame) -> DataFrame:
     """commands(key, chunk, at, id, expected, stock), stock(key, stock) -> accepted or stale.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sitemill.operators.ordered import running_sum
+from sitemill.operators.ordered import range_chunks
 
 
 def skip_reason(path: Column) -> Column:
@@ -87,15 +87,20 @@ def table_statistics(tables: dict[str, DataFrame]) -> DataFrame:
 def metric_summary(samples: DataFrame, threshold: float) -> DataFrame:
     """samples(route, value) -> exact median, maximum and samples under a threshold per route.
 
-    Equal values are counted first and the counts are summed up in value order by whole-number chunks,
-    so the values of a route are never gathered; the median is where the running count passes half."""
-    counted = samples.groupBy("route", "value").agg(F.count("*").alias("n"))
+    Equal values are counted first, and the counted values are laid out in ranges that the data's own quantiles bound. Sums per
+    range say which range holds the middle, and only that one is opened, so a dense stretch of values is divided like any
+    other and no route is gathered."""
+    counted = range_chunks(samples.groupBy("route", "value").agg(F.count("*").alias("n")), [F.col("route"), F.col("value")])
     totals = counted.groupBy("route").agg(
         F.max("value").alias("maximum"), F.coalesce(F.sum(F.when(F.col("value") < threshold, F.col("n"))), F.lit(0)).alias("under"), F.sum("n").alias("samples")
     )
-    running = running_sum(counted.withColumn("chunk", F.floor("value")), ["route"], "chunk", [F.col("value")], F.col("n"), "upto")
-    placed = running.join(totals, "route")
+    earlier = W.partitionBy("route").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    ranges = counted.groupBy("route", "chunk").agg(F.sum("n").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
     first, second = F.floor((F.col("samples") + 1) / 2), F.floor((F.col("samples") + 2) / 2)
+    holds = lambda place: (F.col("before") < place) & (place <= F.col("before") + F.col("held"))
+    opened = ranges.join(totals, "route").where(holds(first) | holds(second)).select("route", "chunk", "before", "samples")
+    inside = W.partitionBy("route", "chunk").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    placed = counted.join(opened, ["route", "chunk"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
     middle = placed.groupBy("route").agg(
         ((F.min(F.when(F.col("upto") >= first, F.col("value"))) + F.min(F.when(F.col("upto") >= second, F.col("value")))) / 2).alias("median")
     )

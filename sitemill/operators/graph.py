@@ -6,10 +6,14 @@ are finished leave the join, so a popular end address is joined once and not car
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitemill import constants as K
-from sitemill.session import cut_lineage
+from sitemill.operators.ordered import next_marked, range_chunks, running_sum
+from sitemill.session import cut_lineage, scratch_folder
 
 
 def _has_rows(df: DataFrame) -> bool:
@@ -122,13 +126,120 @@ def cycle_members(edges: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ trees
 
-def tree_ancestors(nodes: DataFrame) -> DataFrame:
-    """nodes(id, parent_id) -> (id, ancestor, depth): depth 1 is the parent. A missing parent ends
-    the walk, a cycle is walked once. Reach doubles per round."""
-    ids = nodes.select(F.col("id").alias("parent_id"))
-    pairs = nodes.where("parent_id is not null and parent_id <> id").join(ids, "parent_id", "left_semi").select(
-        "id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")
-    )
+def tree_labels(nodes: DataFrame, order: Column | None = None) -> DataFrame:
+    """nodes(id, parent_id, ...) -> (id, root, depth, enter, leave): the places at which a walk of the root's tree enters and leaves
+    each node, so a subtree is the range enter..leave of its root and has (leave - enter + 1) / 2 nodes.
+
+    Euler tour and list ranking: every node has two elements, on the way in and on the way out; each points to the
+    next element of the walk (first child, next sibling, or the parent's way out), children by order, then id. Pointers
+    double per round with the steps and the change of depth they pass, so a chain of n nodes takes log2(2n) rounds. A node
+    without a parent, or with a missing one or itself, is a root. Nodes of a component that holds a cycle have null labels."""
+    own = nodes.select("id", F.when(F.col("parent_id") != F.col("id"), F.col("parent_id")).alias("parent_id"), (F.lit(0) if order is None else order).alias("_order")).dropDuplicates(["id"])
+    known = own.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
+    own = own.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id"))).drop("_known")
+    own = range_chunks(own, [F.col("parent_id"), F.col("_order"), F.col("id")])
+    kids = own.where("parent_id is not null")
+    after = next_marked(kids, ["parent_id"], "chunk", [F.struct("_order", "id")], F.lit(True), F.col("id"), "_next").select("id", "_next")
+    first = kids.groupBy(F.col("parent_id").alias("id")).agg(F.min_by("id", F.struct("_order", "id")).alias("_first"))
+    walk = own.join(after, "id", "left").join(first, "id", "left")
+    way_in = F.struct(F.col("id"), F.lit(False).alias("out"), F.coalesce("_first", "id").alias("to"), F.col("_first").isNull().alias("to_out"))
+    way_out = F.struct(F.col("id"), F.lit(True).alias("out"), F.coalesce("_next", "parent_id").alias("to"), F.col("_next").isNull().alias("to_out"))
+    steps = walk.select(F.explode(F.array(way_in, way_out)).alias("e")).select("e.*")
+    up = F.when(F.col("to_out"), 1).otherwise(-1).cast("long")
+    # the way out of a root points nowhere
+    open_rows = cut_lineage(steps.where("to is not null").select("id", "out", "to", "to_out", F.lit(1).cast("long").alias("steps"), up.alias("up")))
+    done, reach, most = [], 1, open_rows.count()
+    while reach <= 2 * most and _has_rows(open_rows):
+        # finished rows stay reachable: they lead to their root in one step
+        pool = open_rows
+        for part in done:
+            pool = pool.unionByName(part)
+        ahead = pool.select(F.col("id").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("_to"), F.col("to_out").alias("_to_out"), F.col("steps").alias("_steps"), F.col("up").alias("_up"))
+        joined = cut_lineage(open_rows.join(ahead, ["to", "to_out"], "left"))
+        done.append(joined.where("_to is null").select("id", "out", "to", "to_out", "steps", "up"))
+        open_rows = joined.where("_to is not null").select("id", "out", F.col("_to").alias("to"), F.col("_to_out").alias("to_out"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("up") + F.col("_up")).alias("up"))
+        reach *= 2
+    alone = walk.where("parent_id is null").select("id", F.lit(True).alias("out"), F.col("id").alias("to"), F.lit(True).alias("to_out"), F.lit(0).cast("long").alias("steps"), F.lit(0).cast("long").alias("up"))
+    ends = alone
+    for part in done:
+        ends = ends.unionByName(part)
+    sides = ends.groupBy("id").agg(F.min("to").alias("root"), F.max(F.when(~F.col("out"), F.col("steps"))).alias("_in"), F.max(F.when(F.col("out"), F.col("steps"))).alias("_out"), F.max(F.when(~F.col("out"), F.col("up") - 1)).alias("depth"))
+    length = sides.where("id = root").select("root", F.col("_in").alias("_length"))
+    labels = sides.join(length, "root").select("id", "root", "depth", (F.col("_length") - F.col("_in")).alias("enter"), (F.col("_length") - F.col("_out")).alias("leave"))
+    return cut_lineage(own.select("id").join(labels, "id", "left"))
+
+
+#: Blocks of a walk: powers of this many places, up to the largest one; no key of the range join has more rows than that.
+_RADIX, _LEVELS = 16, 4
+
+
+def _of_level(k: int) -> Callable[[Column], Column]:
+    return lambda number: F.struct(F.lit(k).alias("level"), number.alias("block"))
+
+
+def _blocks(low: Column, high: Column) -> Column:
+    """The blocks (level, number) that exactly fill the places low..high."""
+    levels = []
+    for k in range(_LEVELS + 1):
+        size = _RADIX**k
+        a, b = F.ceil(low / size).cast("long"), F.floor((high + 1) / size).cast("long")
+        inner, outer = (F.ceil(a / _RADIX) * _RADIX).cast("long"), (F.floor(b / _RADIX) * _RADIX).cast("long")
+        whole = F.lit(k == _LEVELS) | (inner > outer)  # no larger block inside
+        run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        numbers = F.when(whole, run(a, b)).otherwise(F.concat(run(a, inner), run(outer, b)))
+        levels.append(F.transform(numbers, _of_level(k)))
+    return F.flatten(F.array(*levels))
+
+
+def within_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """points(root, at, ...), ranges(root, low, high, ...) -> every pair of a point and a range of its root that holds it, once.
+
+    Ranges are divided into aligned blocks, points name the block they are in at each level, and blocks meet by
+    equality; a range has few blocks besides one for every 65,536 places, and no block has more points than that."""
+    left = points.withColumn("_at", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("at") / _RADIX**k).cast("long").alias("block")) for k in range(_LEVELS + 1)))))
+    left = left.select("*", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block")).drop("_at")
+    right = ranges.withColumn("_in", F.explode(_blocks(F.col("low"), F.col("high")))).select("*", F.col("_in.level").alias("_level"), F.col("_in.block").alias("_block")).drop("_in")
+    return left.join(right, ["root", "_level", "_block"]).drop("_level", "_block")
+
+
+def ancestors_of(labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """labels (tree_labels), asked(id) -> (id, ancestor, depth) of the asked nodes; depth 1 is the parent."""
+    points = labels.join(asked.select("id").distinct(), "id", "left_semi").where("enter is not null").select("root", F.col("enter").alias("at"), "id", F.col("depth").alias("_own"))
+    ranges = labels.where("leave > enter + 1").select("root", (F.col("enter") + 1).alias("low"), (F.col("leave") - 1).alias("high"), F.col("id").alias("ancestor"), F.col("depth").alias("_top"))
+    return within_ranges(points, ranges).select("id", "ancestor", (F.col("_own") - F.col("_top")).cast("int").alias("depth"))
+
+
+def members_of(labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """labels (tree_labels), asked(id) -> (id, member): the asked nodes with themselves and all below them."""
+    points = labels.where("enter is not null").select("root", F.col("enter").alias("at"), F.col("id").alias("member"))
+    ranges = labels.join(asked.select("id").distinct(), "id", "left_semi").where("enter is not null").select("root", F.col("enter").alias("low"), F.col("leave").alias("high"), "id")
+    return within_ranges(points, ranges).select("id", "member")
+
+
+def subtree_totals(labels: DataFrame, values: DataFrame) -> DataFrame:
+    """labels (tree_labels), values(id, value) -> (id, total): the sum of the values of each node and all below it, from sums
+    along the walk, without any pair of a node and its ancestor. Nodes without labels have no total."""
+    each = values.groupBy("id").agg(F.sum("value").alias("value"))
+    rows = labels.where("enter is not null").join(each, "id", "left").select("id", "root", "enter", "leave", F.coalesce("value", F.lit(0)).alias("value"))
+    places = rows.select("root", "id", "value", F.explode(F.array(F.struct(F.col("enter").alias("at"), F.lit(False).alias("out")), F.struct(F.col("leave").alias("at"), F.lit(True).alias("out")))).alias("p"))
+    places = places.select("root", "id", F.col("p.at").alias("at"), F.col("p.out").alias("out"), F.when(F.col("p.out"), 0).otherwise(F.col("value")).alias("counted"), "value")
+    summed = running_sum(range_chunks(places, [F.col("root"), F.col("at"), F.col("out")]), ["root"], "chunk", [F.col("at"), F.col("out")], F.col("counted"), "sum")
+    # what was counted up to the way out, less what was counted before the way in
+    before = F.sum(F.when(F.col("out"), F.col("sum")).otherwise(F.col("value") - F.col("sum")))
+    return summed.groupBy("id").agg(before.alias("total"))
+
+
+def tree_order(nodes: DataFrame, order: Column) -> DataFrame:
+    """nodes(id, parent_id, ...) -> (id, depth, position): the tree as a menu shows it, each node before its children and siblings by
+    order, then id; position counts from 1 within a root's tree. Nodes on or below a cycle have nulls."""
+    labels = tree_labels(nodes, order)
+    # of enter places up to one's own, depth are still open and the rest have been left again
+    return labels.select("id", "root", "depth", ((F.col("enter") + F.col("depth")) / 2 + 1).cast("long").alias("position"))
+
+
+def _cyclic_ancestors(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes of components that hold a cycle, which is walked once: reach doubles per round."""
+    pairs = nodes.where("parent_id <> id").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
     pairs = cut_lineage(pairs)
     known = pairs.count()
     while known:
@@ -144,6 +255,17 @@ def tree_ancestors(nodes: DataFrame) -> DataFrame:
     return pairs
 
 
+def tree_ancestors(nodes: DataFrame) -> DataFrame:
+    """nodes(id, parent_id) -> (id, ancestor, depth): depth 1 is the parent. A missing parent ends
+    the walk, a cycle is walked once. Pairs are made once, by a join of ranges of labels."""
+    labels = tree_labels(nodes)
+    pairs = ancestors_of(labels, labels)
+    odd = labels.where("enter is null").select("id")
+    if _has_rows(odd):
+        pairs = pairs.unionByName(_cyclic_ancestors(nodes.join(odd, "id", "left_semi")))
+    return pairs
+
+
 def tree_subtree(nodes: DataFrame) -> DataFrame:
     """(id, member): every node with itself and all its descendants."""
     own = nodes.select("id", F.col("id").alias("member"))
@@ -167,42 +289,120 @@ def repair_parent_cycles(nodes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ general graphs
 
+def _through_chains(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """single(id, needs, floor, distance), one row per id: level(id) = max(floor, level(needs) + distance).
+    -> (rows that point to the end of their chain, rows whose chain runs into a cycle). Pointers double per round."""
+    step = cut_lineage(single.select("id", "needs", "floor", "distance", F.lit(True).alias("open")))
+    reach, nodes = 1, step.count()
+    while reach <= nodes and _has_rows(step.where("open")):
+        ahead = step.select(F.col("id").alias("needs"), F.col("needs").alias("_to"), F.col("floor").alias("_floor"), F.col("distance").alias("_more"), F.col("open").alias("_open"))
+        grown = step.where("open").join(ahead, "needs", "left").select(
+            "id", F.coalesce("_to", "needs").alias("needs"), F.greatest(F.col("floor"), F.col("_floor") + F.col("distance")).alias("floor"),
+            (F.col("distance") + F.coalesce("_more", F.lit(0))).alias("distance"), F.coalesce("_open", F.lit(False)).alias("open"),
+        )
+        step = cut_lineage(step.where("not open").unionByName(grown))
+        reach *= 2
+    return step.where("not open").drop("open"), step.where("open").drop("open")
+
+
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id), edges(id, needs) -> (id, level); level is null for members and dependents of a
-    cycle. Level 0 needs nothing. A node gets its level once everything it needs has one: each
-    round only the rows behind the newest level are touched."""
-    needs = cut_lineage(edges.distinct())
-    open_count = needs.groupBy("id").agg(F.count("*").alias("left"))
-    state = nodes.select("id").distinct().join(open_count, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left"))
-    state = cut_lineage(state)
-    done, level = state.where("left = 0").select("id", F.lit(0).alias("level")), 0
-    frontier = done.select("id")
-    waiting = state.where("left > 0")
-    while _has_rows(frontier):
-        met = needs.join(frontier.withColumnRenamed("id", "needs"), "needs", "left_semi").groupBy("id").agg(F.count("*").alias("met"))
-        waiting = cut_lineage(
-            waiting.join(met, "id", "left").select("id", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
-        )
-        level += 1
-        frontier = waiting.where("left = 0").select("id")
-        done = done.unionByName(frontier.select("id", F.lit(level).alias("level")))
-        waiting = waiting.where("left > 0")
-    return done.unionByName(waiting.select("id", F.lit(None).cast("int").alias("level")))
-
-
-def reachable(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """links(src, dst), seeds(node) -> (node, steps): breadth-first; each round joins only the
-    newest nodes, whose links are made distinct before they meet the visited set."""
-    links = cut_lineage(links.select("src", "dst").distinct())
-    seen = cut_lineage(seeds.select("node").distinct().withColumn("steps", F.lit(0)))
-    frontier, steps = seen.select("node"), 0
+    cycle and of ids that are no nodes. Level 0 needs nothing; any other node is one above the highest of its needs.
+
+    Two moves take turns on one table of open needs. Peeling: a need whose level is known turns into a floor, and a node without other
+    needs has its level. Contraction: a node with one open need is max(floor, level of the need + distance), and such rules
+    compose, so pointers double along chains, those who need a node inside a chain need its end instead, and the chain's
+    own levels are filled in last. Long chains thus take the logarithm of their length, and what costs rounds are nodes
+    with several open needs behind one another; finished nodes leave the table."""
+    rows = edges.select("id", "needs", F.lit(0).alias("floor"), F.lit(1).alias("distance")).distinct()
+    levels = nodes.select("id").distinct().join(edges.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).alias("level"))
+    levels, chains = cut_lineage(levels), []
     while True:
+        # peel: a known need becomes a row without a need, whose floor counts
+        known = levels.select(F.col("id").alias("needs"), "level")
+        met = rows.join(known, "needs", "left").select("id", F.when(F.col("level").isNull(), F.col("needs")).alias("needs"), F.greatest("floor", F.col("level") + F.col("distance")).alias("floor"), "distance")
+        each = met.groupBy("id").agg(F.count("needs").alias("open"), F.max("floor").alias("floor"), F.min("needs").alias("needs"), F.max(F.when(F.col("needs").isNotNull(), F.col("distance"))).alias("distance"))
+        each = cut_lineage(each)
+        sizes = {row["open"]: row["count"] for row in each.groupBy(F.least("open", F.lit(2)).alias("open")).count().collect()}
+        if not sizes.get(0) and not sizes.get(1):
+            break
+        moved = None
+        if sizes.get(1):
+            ended, _ = _through_chains(each.where("open = 1").select("id", "needs", "floor", "distance"))
+            chains.append(ended)
+            moved = ended.select(F.col("id").alias("needs"), F.col("needs").alias("_end"), F.col("floor").alias("_floor"), F.col("distance").alias("_more"))
+        fresh = each.where("open = 0").select("id", F.col("floor").alias("level"))
+        levels = cut_lineage(levels.unionByName(fresh)) if sizes.get(0) else levels
+        if not sizes.get(2):
+            break
+        rows = met.join(each.where("open > 1").select("id"), "id", "left_semi")
+        if moved is not None:
+            # nodes on cycles and behind them keep a need that never gets a level
+            rows = rows.join(moved, "needs", "left").select(
+                "id", F.coalesce("_end", "needs").alias("needs"), F.greatest(F.col("floor"), F.col("_floor") + F.col("distance")).alias("floor"), (F.col("distance") + F.coalesce("_more", F.lit(0))).alias("distance"),
+            )
+        rows = cut_lineage(rows.groupBy("id", "needs").agg(F.max("floor").alias("floor"), F.max("distance").alias("distance")))
+    for ended in reversed(chains):
+        inner = ended.join(levels.withColumnRenamed("id", "needs"), "needs").select("id", F.greatest(F.col("floor"), F.col("level") + F.col("distance")).alias("level"))
+        levels = cut_lineage(levels.unionByName(inner))
+    return nodes.select("id").distinct().join(levels, "id", "left")
+
+
+#: Links in a block of reachable, about.
+BLOCK_LINKS = 1_000_000
+
+
+def reachable(links: DataFrame, seeds: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
+    """links(src, dst), seeds(node) -> (node, steps): breadth-first.
+
+    Links are laid out once in blocks by a hash of their source, visited nodes by the same hash of themselves. A round shuffles
+    the newest nodes only, and reads the blocks that they are in, of links and of visited nodes; a small frontier so reads a small
+    part. Blocks of visited nodes are rewritten as one from time to time."""
+    spark = links.sparkSession
+    folder = scratch_folder(spark, "reachable")
+    block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+
+    def write(df: DataFrame, name: str, by: str) -> str:
+        path = f"{folder}/{name}"
+        df.withColumn("block", block(by)).repartition("block").write.partitionBy("block").parquet(path)
+        return path
+
+    links = cut_lineage(links.select("src", "dst").where("src is not null and dst is not null").distinct())
+    blocks = max(1, math.ceil(links.count() / block_links))
+    link_schema = f"src {dict(links.dtypes)['src']}, dst {dict(links.dtypes)['dst']}, block int"
+    laid = write(links, "links", "src")
+    fresh = seeds.select(F.col("node").cast(dict(links.dtypes)["dst"]).alias("node")).where("node is not null").distinct().withColumn("steps", F.lit(0))
+    seen_schema = f"node {dict(links.dtypes)['dst']}, steps int, block int"
+    visited = [write(fresh, "round=0", "node")]
+    steps = 0
+    while True:
+        newest = spark.read.schema(seen_schema).parquet(visited[-1])
+        places = [row["block"] for row in newest.select("block").distinct().collect()]  # at most one row a block
+        if not places:
+            break
         steps += 1
-        found = links.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        fresh = cut_lineage(found.join(seen, "node", "left_anti").select("node", F.lit(steps).alias("steps")))
-        if not _has_rows(fresh):
-            return seen
-        seen, frontier = seen.unionByName(fresh), fresh.select("node")
+        ahead = spark.read.schema(link_schema).parquet(laid).where(F.col("block").isin(places))
+        found = cut_lineage(ahead.join(newest.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
+        wanted = [row["block"] for row in found.select(block("node").alias("block")).distinct().collect()]
+        if not wanted:
+            break
+        known = None
+        for path in visited:
+            part = spark.read.schema(seen_schema).parquet(path).where(F.col("block").isin(wanted)).select("node")
+            known = part if known is None else known.unionByName(part)
+        visited.append(write(found.join(known, "node", "left_anti").withColumn("steps", F.lit(steps)), f"round={steps}", "node"))
+        if len(visited) > 16:
+            kept = visited.pop()
+            visited = [write(_union(spark, visited, seen_schema), f"folded={steps}", "node"), kept]
+    return _union(spark, visited, seen_schema)
+
+
+def _union(spark, paths: list[str], schema: str) -> DataFrame:
+    rows = None
+    for path in paths:
+        part = spark.read.schema(schema).parquet(path).select("node", "steps")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def cascade_drop(dropped: DataFrame, needs: DataFrame) -> DataFrame:

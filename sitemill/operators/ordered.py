@@ -11,6 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sitemill.session import cut_lineage
+
+
+def range_chunks(df: DataFrame, order: Sequence[Column], name: str = "chunk") -> DataFrame:
+    """df with a chunk number that grows with the order and holds about equally many rows each, from the data's own
+    quantiles: hot and dense ranges are divided like any other (rows alike in the whole order share a chunk). Written
+    to the checkpoint folder, as the numbers depend on one sampling."""
+    dealt = df.repartitionByRange(*order).withColumn(name, F.spark_partition_id())
+    return cut_lineage(dealt)
+
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, position: str | None = None) -> DataFrame:
     """First k rows per key. Spark limits each task's rows per key before the shuffle

@@ -16,14 +16,20 @@ from sitemill.functions.unicode import collision_key, has_control, has_control_e
 _INSTANT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?\z"
 
 
+#: The source's limits where a spec gives none.
+DEFAULT_MAX = {"text": 500, "textarea": 20_000, "html": 1_000_000, "rows": 500}
+
+
 def field_problem(c: Column, kind: str, required: bool = False, **limits) -> Column:
     """Code of the first rule a value breaks, null when it is fine. Kinds: text, textarea, html, int,
-    number, money, cents, stock, date, bool, select, path, slug, key, media, rows, group."""
-    low, high = limits.get("min"), limits.get("max")
+    number, money, cents, stock, date, bool, select, path, slug, key, media, rows, group. Lengths are limited by max (DEFAULT_MAX
+    without one); max=None means no limit."""
+    low, high = limits.get("min"), limits["max"] if "max" in limits else DEFAULT_MAX.get(kind)
+    over = lambda size: F.lit(False) if high is None else size > high
     bad = {
-        "text": lambda: (utf16_length(c) > (high or 500)) | has_control(c),
-        "textarea": lambda: (utf16_length(c) > (high or 20_000)) | has_control_except_whitespace(c),
-        "html": lambda: utf16_length(c) > 1_000_000,
+        "text": lambda: over(utf16_length(c)) | has_control(c),
+        "textarea": lambda: over(utf16_length(c)) | has_control_except_whitespace(c),
+        "html": lambda: over(utf16_length(c)),
         "int": lambda: (c != F.floor(c)) | ~c.between(low, high),
         "number": lambda: F.isnan(c.cast("double")) | ~c.between(low, high),
         "money": lambda: F.isnan(c) | ~c.between(0, 1_000_000) | (F.abs(F.round(c * 100) - c * 100) > 1e-6),
@@ -36,7 +42,7 @@ def field_problem(c: Column, kind: str, required: bool = False, **limits) -> Col
         "slug": lambda: ~P.is_safe_slug(nfc(c), limits.get("nested", True)),
         "key": lambda: ~P.is_key(c),
         "media": lambda: ~(c.startswith("media:") & P.is_key(F.substr(c, F.lit(7)))),
-        "rows": lambda: F.size(c) > (high or 500),
+        "rows": lambda: over(F.size(c)),
         "group": lambda: F.lit(False),
     }[kind]()
     problem = F.when(F.coalesce(bad, F.lit(False)), F.lit(f"invalid-{kind}"))
@@ -77,7 +83,7 @@ def unknown_fields(json: Column, declared: Sequence[str]) -> Column:
 
 def product_rules() -> dict[str, tuple[str, Column]]:
     c = F.col
-    folded = lambda name: F.transform(F.filter("variants", lambda v: v[name].isNotNull()), lambda v: F.lower(F.trim(v[name])))
+    folded = lambda name: F.transform(F.filter("variants", lambda v: v[name].isNotNull()), lambda v: F.lower(F.trim(nfc(v[name]))))
     repeated = lambda name: F.size(F.array_distinct(folded(name))) != F.size(folded(name))
     return {
         "price-missing": ("price", c("price").isNull() & c("price_cents").isNull()),

@@ -40,6 +40,44 @@ def dependency_levels(spark: SparkSession, sf: str) -> DataFrame:
     return G.dependency_levels(everything, edges.unionByName(products))
 
 
+def _needs(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts need the one before them in runs of up to two hundred, some a second one, and a few close a loop."""
+    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    needs = F.array_compact(F.array(F.when(k % 200 > 0, k - 1), F.when((k % 41 == 0) & (k > 0), F.floor(k / 2)), F.when(k % 400 == 390, k + 5)))
+    return part.select(k.alias("id"), F.explode(needs).alias("needs"))
+
+
+def dependency_chains(spark: SparkSession, sf: str) -> DataFrame:
+    return G.dependency_levels(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), _needs(spark, sf))
+
+
+def _folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as folders of a tree of a hundred levels: in runs of fifty each hangs below the one before it, and a run below
+    an earlier folder."""
+    c = F.col("c_custkey")
+    parent = F.when(c % 50 == 0, F.floor(c / 50)).otherwise(c - 1)
+    return table(spark, sf, "customer").select(c.alias("id"), F.when(c > 0, parent).alias("parent_id"), (-(c % 10)).alias("order"), F.col("c_nationkey").alias("nation"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+
+
+def folder_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree as a menu lists it, siblings by their order column."""
+    return G.tree_order(_folders(spark, sf), F.col("order")).select("id", "depth", "position")
+
+
+def folder_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The sum of the amounts in each folder and all below it, and how many there are."""
+    rows = _folders(spark, sf)
+    labels = G.tree_labels(rows)
+    totals = G.subtree_totals(labels, rows.select("id", F.col("cents").alias("value")))
+    return totals.join(labels, "id").select("id", F.col("total").alias("cents"), ((F.col("leave") - F.col("enter") + 1) / 2).cast("long").alias("folders"))
+
+
+def folder_members(spark: SparkSession, sf: str) -> DataFrame:
+    """All folders below those of one nation, by ranges of the labels."""
+    rows = _folders(spark, sf)
+    return G.members_of(G.tree_labels(rows), rows.where("nation = 3")).groupBy("id").agg(F.count("*").alias("members"), F.max("member").alias("last_member"))
+
+
 def crawl_reachability(spark: SparkSession, sf: str) -> DataFrame:
     """Pages reachable over stored redirects and links from every tenth address."""
     seeds = _edges(spark, sf).where("src like '%0'").select(F.col("src").alias("node"))
@@ -103,7 +141,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         redirect_closure, redirect_cycles, redirect_conflicts, dependency_levels, crawl_reachability, category_ancestors, category_roots,
-        category_cycle_repair, category_subtree_products, category_rollup,
+        category_cycle_repair, category_subtree_products, category_rollup, dependency_chains, folder_order, folder_totals, folder_members,
     )
 }
 
@@ -115,7 +153,19 @@ _OBS = """obs AS (SELECT concat('c-', CAST(l_partkey % 97 AS VARCHAR)) AS slug,
  CASE WHEN l_partkey % 97 < 80 THEN l_partkey % 97 WHEN l_partkey % 97 < 90 THEN l_orderkey % 2 END AS vm_id,
  concat('https://shop.example.com/u-', CAST(l_orderkey AS VARCHAR)) AS url FROM lineitem)"""
 
+_FOLDERS = """WITH RECURSIVE f AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 0 THEN NULL WHEN c_custkey % 50 = 0 THEN c_custkey // 50 ELSE c_custkey - 1 END AS parent_id,
+ -(c_custkey % 10) AS o, c_nationkey AS nation, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer),
+ up AS (SELECT id, id AS a FROM f UNION ALL SELECT up.id, f.parent_id FROM up JOIN f ON f.id = up.a WHERE f.parent_id IS NOT NULL)"""
+
 ORACLES = {
+    "dependency_chains": """WITH RECURSIVE w(n, lv) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]) UNION ALL
+ SELECT n + 1, list_append(lv, CASE WHEN n % 400 = 390 AND n + 5 < (SELECT count(*) FROM part) THEN NULL WHEN n % 200 > 0 AND lv[n] IS NULL THEN NULL WHEN n % 41 = 0 AND n > 0 AND lv[n // 2 + 1] IS NULL THEN NULL
+  WHEN n % 200 > 0 AND n % 41 = 0 AND n > 0 THEN 1 + greatest(lv[n], lv[n // 2 + 1]) WHEN n % 200 > 0 THEN 1 + lv[n] WHEN n % 41 = 0 AND n > 0 THEN 1 + lv[n // 2 + 1] ELSE 0 END) FROM w WHERE n < (SELECT count(*) FROM part))
+ SELECT p_partkey AS id, lv[p_partkey + 1] AS level FROM part, (SELECT lv FROM w ORDER BY n DESC LIMIT 1)""",
+    "folder_order": f"""{_FOLDERS}, path AS (SELECT id, [(o + 100) * 100000000 + id] AS p FROM f WHERE parent_id IS NULL UNION ALL SELECT f.id, list_append(p, (f.o + 100) * 100000000 + f.id) FROM path JOIN f ON f.parent_id = path.id)
+ SELECT id, CAST(len(p) - 1 AS BIGINT) AS depth, row_number() OVER (ORDER BY p) AS position FROM path""",
+    "folder_totals": f"{_FOLDERS} SELECT up.a AS id, CAST(sum(f.cents) AS BIGINT) AS cents, count(*) AS folders FROM up JOIN f ON f.id = up.id GROUP BY up.a",
+    "folder_members": f"{_FOLDERS} SELECT up.a AS id, count(*) AS members, max(up.id) AS last_member FROM up JOIN f ON f.id = up.a WHERE f.nation = 3 GROUP BY up.a",
     "redirect_closure": f"""{_RED}, e AS (SELECT src, dst FROM v_redirect WHERE src NOT IN (SELECT concat('/r-', CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_custkey % 4 = 0)),
  w AS (SELECT src, dst AS spot, 1 AS hops, [src, dst] AS seen, src = dst AS cyc FROM e
   UNION ALL SELECT w.src, e.dst, hops + 1, list_append(seen, e.dst), list_contains(seen, e.dst) FROM w JOIN e ON e.src = w.spot WHERE NOT cyc),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitemill.functions.hashing import text_digest
-from sitemill.operators import cdc as D, files as FS, media as M, validate as V
+from sitemill.operators import cdc as D, files as FS, media as M, nested as N, validate as V
 from sitemill.operators.pages import numbered_list, text_limit_issues
 from sitemill.sources.adapters import table, view, with_views
 
@@ -115,6 +115,32 @@ def entity_field_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return V.validate_fields(rows, spec)[1]
 
 
+# a record with lists and groups as a batch brings it
+_NESTED = {
+    "name": ("text", {"max": 300, "required": True}), "seo": ("group", {"fields": {"title": ("text", {"max": 300}), "image": ("media", {})}}),
+    "features": ("rows", {"fields": {"text": ("text", {"max": 1000, "required": True})}}), "price": ("money", {}), "featured": ("bool", {}),
+    "variants": ("rows", {"max": 3, "fields": {"label": ("text", {"max": 300, "required": True}), "sku": ("text", {"max": 200}), "stock": ("stock", {}), "image": ("media", {})}}),
+}
+
+
+def nested_entity_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Products as JSON with faults at several depths; files m-0 to m-29 come with the batch."""
+    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    media = lambda n: F.concat(F.lit("media:m-"), n.cast("string"))
+    variant = lambda n: F.struct(
+        F.when((k + n) % 11 > 0, F.concat(F.lit("é "), n.cast("string"))).alias("label"), F.when((k + n) % 7 == 0, F.lit(-1)).otherwise(n).alias("stock"),
+        F.when(n == 1, media(k % 37)).when((n == 2) & (k % 2 == 0), F.lit("picture.jpg")).alias("image"), F.when((k + n) % 13 == 0, F.lit("x")).alias("id"),
+    )
+    seo = F.struct(F.when(k % 17 == 0, F.repeat(F.lit("w"), 400)).otherwise(F.col("p_name")).alias("title"), media(k % 40).alias("image"), F.when(k % 19 == 0, F.lit("a,b")).alias("keywords"))
+    record = F.struct(
+        F.when(k % 5 > 0, F.col("p_name")).alias("name"), F.when(k % 6 > 0, seo).alias("seo"), F.when(k % 23 == 0, F.lit("none")).alias("features"), F.col("p_retailprice").alias("price"),
+        F.transform(F.sequence(F.lit(1), (k % 4 + 1).cast("int")), variant).alias("variants"), F.when(k % 29 == 0, k).alias("id"), F.when(k % 31 == 0, F.lit("yes")).alias("featured"),
+    )
+    rows = part.select(k.alias("key"), F.when(k % 41 == 0, F.lit("[1]")).otherwise(F.to_json(record)).alias("data"))
+    bundle = part.select(F.concat(F.lit("m-"), (k % 30).cast("string")).alias("key"))
+    return N.validate_nested(rows, _NESTED, bundle=bundle)[1]
+
+
 def entity_missing_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines refer to parts; parts over a limit are not in the batch."""
     edges = view(spark, sf, "v_order_item").select(F.col("order_id").alias("src_id"), "pos", F.col("product_id").alias("dst_id"))
@@ -289,7 +315,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         settings_consensus, document_inventory, cache_reuse, media_staging, document_attachment, home_aliases, text_limits, formatted_prices, cdc_decisions, cdc_plan_counts, cdc_reconcile, missing_and_extra, unresolved_list, variant_merge, foreign_collisions, settings_changes, snapshot_changes,
-        table_digests, entity_field_rejects, entity_missing_refs, relation_issues, redirect_rule_issues, session_rule_issues, media_attach, media_inventory,
+        table_digests, entity_field_rejects, nested_entity_issues, entity_missing_refs, relation_issues, redirect_rule_issues, session_rule_issues, media_attach, media_inventory,
         content_refs, manifest_diff, file_states, file_set_issues, file_totals, table_statistics, metric_summary, coverage_summary,
     )
 }
@@ -325,6 +351,14 @@ ORACLES = {
  UNION ALL SELECT p_partkey, 'price', 'invalid-money' FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT p_partkey, 'stock', 'invalid-stock' FROM part WHERE p_partkey % 7 = 0
  UNION ALL SELECT p_partkey, 'legacy_path', 'invalid-path' FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT p_partkey, 'org', 'invalid-select' FROM part WHERE p_partkey % 4 = 1
  UNION ALL SELECT p_partkey, 'next_date', 'invalid-date' FROM part WHERE p_partkey % 3 = 0""",
+    "nested_entity_issues": """WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 41 > 0), v AS (SELECT k, unnest(range(1, k % 4 + 2)) AS n FROM p WHERE k % 4 < 3)
+ SELECT p_partkey AS key, CAST(NULL AS VARCHAR) AS field, 'invalid-json' AS code FROM part WHERE p_partkey % 41 = 0 UNION ALL SELECT k, 'name', 'required' FROM p WHERE k % 5 = 0
+ UNION ALL SELECT k, 'seo.title', 'invalid-text' FROM p WHERE k % 17 = 0 AND k % 6 > 0 UNION ALL SELECT k, 'seo.keywords', 'unsupported-field' FROM p WHERE k % 19 = 0 AND k % 6 > 0
+ UNION ALL SELECT k, 'seo.image', 'media-missing' FROM p WHERE k % 40 >= 30 AND k % 6 > 0 UNION ALL SELECT k, 'features', 'invalid-rows' FROM p WHERE k % 23 = 0
+ UNION ALL SELECT k, 'id', 'unsupported-field' FROM p WHERE k % 29 = 0 UNION ALL SELECT k, 'featured', 'invalid-bool' FROM p WHERE k % 31 = 0 UNION ALL SELECT k, 'variants', 'invalid-rows' FROM p WHERE k % 4 = 3
+ UNION ALL SELECT k, concat('variants[', n - 1, '].label'), 'required' FROM v WHERE (k + n) % 11 = 0 UNION ALL SELECT k, concat('variants[', n - 1, '].stock'), 'invalid-stock' FROM v WHERE (k + n) % 7 = 0
+ UNION ALL SELECT k, concat('variants[', n - 1, '].image'), 'invalid-media' FROM v WHERE n = 2 AND k % 2 = 0 UNION ALL SELECT k, 'variants[0].image', 'media-missing' FROM p WHERE k % 37 >= 30
+ UNION ALL SELECT k, concat('variants[', n - 1, '].id'), 'unsupported-field' FROM v WHERE (k + n) % 13 = 0""",
     "entity_missing_refs": f"{with_views('v_order_item')} SELECT order_id AS src_id, pos, product_id AS dst_id FROM v_order_item WHERE product_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 23 <> 0)",
     "relation_issues": f"""{with_views('v_order_item')}, e AS (SELECT order_id AS src_id, pos, CASE pos WHEN 7 THEN 'category' WHEN 6 THEN 'unknown' ELSE 'images' END AS field, concat(CASE pos WHEN 5 THEN 'courses:' WHEN 7 THEN 'categories:' ELSE 'media:' END, CAST(product_id % 30 AS VARCHAR)) AS d FROM v_order_item),
  g AS (SELECT src_id, field, count(*) n, count(DISTINCT d) u FROM e WHERE field <> 'unknown' GROUP BY ALL)

@@ -71,6 +71,17 @@ def stock_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return C.stock_ledger(requests, stock).select("line", "verdict")
 
 
+def order_reservations(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as units: shops of ten customers each sell twenty goods, some without a known stock, and a few lines lack a quantity."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("at"), F.floor(F.col("o_custkey") / 10).alias("shop"))
+    good = F.col("product_id") % 20
+    key = lambda g: F.concat_ws(":", F.col("shop").cast("string"), g.cast("string"))
+    items = view(spark, sf, "v_order_item").join(orders, "order_id")
+    lines = items.select("order_id", key(good).alias("key"), F.trunc(F.col("at").cast("date"), "year").alias("chunk"), "at", F.when((F.col("order_id") * 10 + F.col("pos")) % 97 > 0, F.col("qty")).alias("qty"))
+    stock = items.select("shop", good.alias("good")).distinct().select(key(F.col("good")).alias("key"), F.when((F.col("shop") + F.col("good")) % 60 > 0, (F.col("shop") + F.col("good") * 7) % 9 * 60).cast("long").alias("stock"))
+    return C.order_reservations(lines, stock)
+
+
 def stock_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Compare-and-set commands of every user on one counter; values are small so that many succeed."""
     e = view(spark, sf, "v_event")
@@ -148,7 +159,7 @@ def page_views_clean(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        cart_rejects, cart_quote, delivery_totals, quote_line_match, cart_rule_issues, stock_ledger, stock_corrections, order_intake, payment_event_verdicts,
+        cart_rejects, cart_quote, delivery_totals, quote_line_match, cart_rule_issues, stock_ledger, order_reservations, stock_corrections, order_intake, payment_event_verdicts,
         order_status_replay, expired_orders, expired_seats, seat_ledger, newsletter_state, page_views_clean,
     )
 }
@@ -182,6 +193,14 @@ ORACLES = {
  w AS (SELECT id AS k, stock * 100 AS rest, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS line, '' AS verdict FROM v_product
   UNION ALL SELECT w.k, CASE WHEN q.qty <= rest THEN rest - q.qty ELSE rest END, q.n, q.line, CASE WHEN rest IS NULL THEN 'review' WHEN q.qty <= rest THEN 'reserved' ELSE 'rejected' END FROM w JOIN q ON q.k = w.k AND q.n = w.n + 1)
  SELECT line, verdict FROM w WHERE line IS NOT NULL""",
+    "order_reservations": f"""{with_views('v_order_item')}, i AS (SELECT order_id, o_orderdate AS moment, o_custkey // 10 AS shop, product_id % 20 AS good, CASE WHEN (order_id * 10 + pos) % 97 > 0 THEN qty END AS qty FROM v_order_item JOIN orders ON o_orderkey = order_id),
+ g AS (SELECT order_id, moment, shop, good, sum(qty) AS need, bool_or(qty IS NULL OR (shop + good) % 60 = 0) AS wrong FROM i GROUP BY ALL),
+ o AS (SELECT order_id, shop, bool_or(wrong) AS wrong, list(struct_pack(good := good, need := CAST(need AS BIGINT))) AS lines, row_number() OVER (PARTITION BY shop ORDER BY moment, order_id) AS n FROM g GROUP BY order_id, shop, moment),
+ w AS (SELECT shop, CAST(0 AS BIGINT) AS n, list_transform(range(20), lambda k: CAST((shop + k * 7) % 9 * 60 AS BIGINT)) AS rest, CAST(NULL AS BIGINT) AS order_id, '' AS verdict FROM (SELECT DISTINCT shop FROM o)
+  UNION ALL SELECT w.shop, o.n, CASE WHEN NOT o.wrong AND NOT list_contains(list_transform(o.lines, lambda l: l.need > w.rest[l.good + 1]), true)
+    THEN list_transform(range(20), lambda k: w.rest[k + 1] - coalesce(list_sum(list_transform(list_filter(o.lines, lambda l: l.good = k), lambda l: l.need)), 0)::BIGINT) ELSE w.rest END, o.order_id,
+   CASE WHEN o.wrong THEN 'review' WHEN list_contains(list_transform(o.lines, lambda l: l.need > w.rest[l.good + 1]), true) THEN 'rejected' ELSE 'reserved' END FROM w JOIN o ON o.shop = w.shop AND o.n = w.n + 1)
+ SELECT order_id, verdict FROM w WHERE order_id IS NOT NULL""",
     "stock_corrections": f"""{_EV}, c AS (SELECT state_key AS k, event_id AS id, amount_cents % 4 AS e, event_id % 4 AS v, row_number() OVER (PARTITION BY state_key ORDER BY ts, event_id) AS n FROM v_event),
  w AS (SELECT DISTINCT k, CAST(1 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, false AS ok FROM c UNION ALL SELECT w.k, CASE WHEN c.e = cur THEN c.v ELSE cur END, c.n, c.id, c.e = cur FROM w JOIN c ON c.k = w.k AND c.n = w.n + 1)
  SELECT id, CASE WHEN ok THEN 'accepted' ELSE 'stale' END AS verdict FROM w WHERE id IS NOT NULL""",

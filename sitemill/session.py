@@ -6,6 +6,7 @@ spark.sql.autoBroadcastJoinThreshold, at planning or (AQE) at run time, and shuf
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The address of a new folder below the checkpoint folder, for tables that a job reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the data survives the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitemill.functions import paths as P
-from sitemill.operators import extract as X
+from sitemill.operators import containers, extract as X
 
 SITE = "https://shop.example.com"
 HOST = r"shop\.example\.com"
@@ -154,3 +154,52 @@ def test_time_grows_with_the_page():
 def test_columns_named_by_side(html, chrome):
     page = columns(html)
     assert page.chrome[page.text.index("TEXT")] is chrome
+
+
+def items(html, *kinds):
+    page = columns(html)
+    return [row for row in containers.Sweep(page, *page.run).items() if not kinds or row[0] in kinds]
+
+
+def test_items_belong_to_their_innermost_container():
+    html = """<div class=ProductContainer><div class=ProductContainer><h1>in</h1></div><h1>out</h1><div class="related-x"><h1>no</h1><div class=main-image><img src=/r.jpg></div></div><div class=neighbours id=productPrice7></div></div>
+<div class=ProductContainer><h1>second</h1></div>"""
+    found = items(html, "product", "name", "vm-id", "image")
+    boxes = [row[2] for row in found if row[0] == "product"]
+    assert len(boxes) == 2 and [(row[3], boxes.index(row[1])) for row in found if row[0] == "name"] == [("in", 0), ("out", 0), ("second", 1)]
+    assert [row[5] for row in found if row[0] == "vm-id"] == ["7"] and not [row for row in found if row[0] == "image"]
+
+
+def test_menu_entries_know_the_entry_around_them():
+    html = "<ul><li class=VmOpen><ul><li class=VmClose><a href=/2-b>B</a></ul><a href=/1-a>A</a><li class=VmClose>none<li><a href=/x>x</a></ul>"
+    assert [(row[3], row[5]) for row in items(html, "menu")] == [("A", None), ("B", SITE + "/1-a")]
+
+
+def test_error_pages():
+    assert [row[5] for row in items("<b>" * 900 + "jos-Error" + "</b>" * 900, "mark")] == ["source-error"]
+    assert not items("<b>jos-Error</b><div class=portal-real-content>", "mark") and not items("<b>a jos-Error</b>", "mark")
+
+
+@pytest.mark.parametrize("unit", [
+    "<div class=browseProductContainer><h2 class=browseProductTitle><a href=/1-a>A b</a></h2><span class=price-red>1,00</span></div>",
+    "<td><a class=cal_daylink href=/kalendarz/eventsbyday/2026/7/5/-.html>5</a><a class=cal_titlelink href=/k>10:00 x</a>",
+    "<li class=VmOpen><a href=/1-a>a</a>", "<div class=gallery><a href=/b.jpg><img src=/a.jpg></a></div>", "<b>jos-Erro</b>", "<div class=ProductContainer><h1>x</h1></div>",
+])
+def test_the_sweep_is_linear(unit):
+    import time
+
+    def seconds(times):
+        page = columns("<div class=browse-view><table><tr>" + unit * times)
+        run = page.run
+        start = time.process_time()
+        assert len(list(containers.Sweep(page, *run).items())) >= (0 if "Erro" in unit else times)
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(16_000) < 40 * max(seconds(1_600), 0.02)
+
+
+def test_product_images_and_menu(parsed):
+    images = X.product_images(parsed.where("name = 'product'"), "name", host_pattern=OWN).collect()
+    assert [(i.n, i.path, i.alt, i.code) for i in images] == [(0, "images/big.jpg", "foto", None)]
+    assert row(X.product_facts(parsed, OWN), "product").product.images == ["images/big.jpg"]

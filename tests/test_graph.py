@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
 
 from sitemill.operators import graph as G
 
@@ -76,3 +77,96 @@ def test_cascade(spark):
     needs = spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "id int, needs_id int")
     got = G.cascade_drop(spark.createDataFrame([(1,)], "id int"), needs).collect()
     assert {(r.id, r.round) for r in got} == {(1, 0), (2, 1), (3, 2)}
+
+
+def walk(nodes, order):
+    """Places of a depth-first walk, depths, and positions within the root's tree."""
+    kids, known = {}, {n for n, _ in nodes}
+    for n, up in nodes:
+        kids.setdefault(up if up in known and up != n else None, []).append(n)
+    out, clock = {}, 0
+
+    def visit(n, depth, root, place):
+        nonlocal clock
+        enter, clock = clock, clock + 1
+        count = place[0] = place[0] + 1
+        for kid in sorted(kids.get(n, []), key=lambda k: (order[k], k)):
+            if kid != n:
+                visit(kid, depth + 1, root, place)
+        out[n] = (root, depth, enter, clock, count)
+        clock += 1
+
+    for root in kids.get(None, []):
+        clock = 0
+        visit(root, 0, root, [0])
+    return out
+
+
+def test_tree_labels(spark):
+    rng = random.Random(11)
+    nodes = [(k, rng.choice([None, k, 10**6, *range(k)]) if k % 9 == 0 else rng.randrange(k)) for k in range(1, 300)] + [(0, None)] + [(500, 501), (501, 502), (502, 500), (503, 501)]
+    order = {n: rng.randrange(4) for n, _ in nodes}
+    df = spark.createDataFrame([(n, up, order[n]) for n, up in nodes], "id long, parent_id long, o int")
+    want = walk([x for x in nodes if x[0] < 500], order)
+    labels = G.tree_labels(df, F.col("o"))
+    got = {r.id: r for r in labels.collect()}
+    assert set(got) == {n for n, _ in nodes} and all(got[n].enter is None for n in (500, 501, 502, 503))
+    for n, (root, depth, enter, leave, _) in want.items():
+        assert (got[n].root, got[n].depth, got[n].enter, got[n].leave) == (root, depth, enter, leave), n
+    assert {r.id: r.position for r in G.tree_order(df, F.col("o")).where("position is not null").collect()} == {n: w[4] for n, w in want.items()}
+    below = {(a, b) for a, wa in want.items() for b, wb in want.items() if wa[0] == wb[0] and wa[2] <= wb[2] <= wa[3]}
+    asked = spark.createDataFrame([(n,) for n in range(0, 60)], "id long")
+    assert {tuple(r) for r in G.members_of(labels, asked).collect()} == {(a, b) for a, b in below if a < 60}
+    assert {tuple(r) for r in G.ancestors_of(labels, asked).collect()} == {(b, a, want[b][1] - want[a][1]) for a, b in below if b < 60 and a != b}
+    sums = {r.id: r.total for r in G.subtree_totals(labels, spark.createDataFrame([(b, b) for b in want] + [(7, 5)], "id long, value long")).collect()}
+    assert sums == {a: sum(b + (5 if b == 7 else 0) for x, b in below if x == a) for a in want}
+    assert G.tree_labels(df.limit(0)).count() == 0
+
+
+def test_ranges_meet_their_points_once(spark):
+    rng = random.Random(2)
+    points = [(rng.randrange(2), rng.randrange(300_000), k) for k in range(300)]
+    spans = [(rng.randrange(2), *sorted((rng.randrange(300_000), rng.randrange(300_000)))) for _ in range(40)] + [(0, 0, 299_999), (1, 5, 5), (1, 16, 31), (0, 65_536, 131_071)]
+    got = G.within_ranges(spark.createDataFrame(points, "root int, at long, p int"), spark.createDataFrame([(*s, k) for k, s in enumerate(spans)], "root int, low long, high long, r int"))
+    assert sorted((r.p, r.r) for r in got.collect()) == sorted((p, k) for root, at, p in points for k, (other, low, high) in enumerate(spans) if root == other and low <= at <= high)
+
+
+def test_dependency_levels_of_any_graph(spark):
+    rng = random.Random(4)
+    edges = {(n, rng.randrange(n)) for n in range(1, 150) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))} | {(150, 151), (151, 152), (152, 150), (153, 152), (153, 3), (154, 999), (155, 154), (155, 20), (20, 20)}
+    needs = {}
+    for a, b in edges:
+        needs.setdefault(a, set()).add(b)
+    level = {}
+    for _ in range(200):
+        for n in range(156):
+            if n not in level and all(b in level for b in needs.get(n, ())):
+                level[n] = max((level[b] + 1 for b in needs.get(n, ())), default=0)
+    got = G.dependency_levels(spark.range(156), spark.createDataFrame(sorted(edges), "id long, needs long"))
+    assert {r.id: r.level for r in got.collect()} == {n: level.get(n) for n in range(156)}
+
+
+def test_long_chains(spark):
+    """Chains as deep as they have nodes; rounds grow with the logarithm of their length."""
+    size = 20_000
+    chain = spark.range(size).selectExpr("id", "nullif(id, 0) - 1 AS parent_id").cache()
+    last = G.dependency_levels(chain.select("id"), chain.where("id > 0").select("id", F.col("parent_id").alias("needs")))
+    assert last.where("level <> id OR level IS NULL").count() == 0
+    labels = G.tree_labels(chain)
+    assert labels.where(f"enter <> id OR depth <> id OR leave <> {2 * size - 1} - id").count() == 0
+    asked = spark.createDataFrame([(size - 1,), (7,)], "id long")
+    assert G.ancestors_of(labels, asked).groupBy("id").count().orderBy("id").collect() == [(7, 7), (size - 1, size - 1)]
+    assert G.members_of(labels, asked).groupBy("id").count().orderBy("id").collect() == [(7, size - 7), (size - 1, 1)]
+
+
+def test_reachable_reads_blocks(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(260)] + [(None, 3), (3, None)] + [(1000 + k, 1001 + k) for k in range(30)]
+    seeds = [3, 9, 1000, None, 5000]
+    steps, frontier = {s: 0 for s in seeds if s is not None}, {s for s in seeds if s is not None}
+    while frontier:
+        frontier = {b for a, b in links if a in frontier and b is not None} - set(steps)
+        steps |= {n: max(steps.values()) + 1 for n in frontier}
+    for size in (10, 10**6):
+        got = G.reachable(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(s,) for s in seeds], "node long"), size)
+        assert {r.node: r.steps for r in got.collect()} == steps
