@@ -15,6 +15,7 @@ from sitemill import constants as K
 from sitemill.operators.commerce import ORDER_MOVES
 
 MINUTE = 60_000  # deadlines are UTC milliseconds
+DEADLINES = ("moment bigint", "names array<string>")
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,27 +58,65 @@ class Desk(StatefulProcessor):
     def wake(self, moment: int):
         self.handle.registerTimer(moment)
 
+    # deadlines of many names: each moment keeps its own names, so a timer reads what is due and nothing else
+    def wake_for(self, moment: int, name: str):
+        deadlines = self.table["deadlines"]
+        if deadlines.containsKey((moment,)):
+            names = deadlines.getValue((moment,))[0]
+            if name not in names:
+                deadlines.updateValue((moment,), ([*names, name],))
+        else:
+            deadlines.updateValue((moment,), ([name],))
+            self.wake(moment)
+
+    def names_due(self, moment: int) -> list[str]:
+        deadlines = self.table["deadlines"]
+        if not deadlines.containsKey((moment,)):
+            return []
+        names = deadlines.getValue((moment,))[0]
+        deadlines.removeKey((moment,))
+        return sorted(names)
+
 
 def run(df: DataFrame, desk: Desk, delay: str | None = None) -> DataFrame:
     """Attaches a desk to a stream with columns key, at (timestamp), id and the desk's own columns. The
     delay of the watermark must exceed the longest deadline a desk keeps."""
+    if desk.timers and not delay:
+        raise ValueError(f"{type(desk).__name__} keeps deadlines: give the watermark's delay")
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = (df.withWatermark("at", delay) if delay else df).withColumn("ms", F.unix_millis("at"))
+    timed = df.withWatermark("at", delay) if delay else df
+    # rows without a time are never late and move no watermark: desks write them for each other, with their moment in ms
+    moment = F.coalesce(F.unix_millis("at"), "ms") if "ms" in df.columns else F.unix_millis("at")
+    timed = timed.withColumn("ms", moment)
     return timed.groupBy(desk.key).transformWithState(
         statefulProcessor=desk, outputStructType=desk.output, outputMode="Append", timeMode="EventTime" if desk.timers and delay else "None"
     )
 
 
 class OrderIntake(Desk):
-    """Rows: fingerprint, command (request or close). One order per key; a closed one is final."""
+    """Rows: fingerprint, command (request or close). One order per key; a closed one is final.
+
+    With keep_minutes a key is forgotten that long after its order was closed, so the state holds open orders and recently closed
+    ones; a request that comes later still starts a new order. Without it keys are kept for good."""
 
     states = {"order": "fingerprint string, closed boolean"}
 
+    def __init__(self, keep_minutes: int | None = None):
+        self.keep, self.timers = keep_minutes, keep_minutes is not None
+
+    def late(self, key, now):
+        order = self.get("order")
+        if order and order[1]:
+            self.value["order"].clear()
+        return iter(())
+
     def step(self, key, row):
         order = self.get("order")
         if row["command"] == "close":
-            if order:
+            if order and not order[1]:
                 self.put("order", order[0], True)
+                if self.timers:
+                    self.wake(row["ms"] + MINUTE * self.keep)
             return
         if order is None:
             self.put("order", row["fingerprint"], False)
@@ -96,7 +135,7 @@ class StockKeeper(Desk):
     timers = True
     output = "key string, id bigint, line string, verdict string"
     states = {"stock": "left bigint"}
-    maps = {"held": ("line string", "qty bigint, until bigint, cod boolean")}
+    maps = {"held": ("line string", "qty bigint, until bigint, cod boolean"), "deadlines": DEADLINES}
 
     def step(self, key, row):
         stock, held, line = self.get("stock"), self.table["held"], row["line"]
@@ -109,13 +148,15 @@ class StockKeeper(Desk):
                 verdict = "review"
             elif held.containsKey((line,)):
                 verdict = "duplicate"
+            elif row["qty"] is None:
+                verdict = "review"
             elif row["qty"] > left:
                 verdict = "rejected"
             else:
                 until = row["ms"] + MINUTE * (row["minutes"] or K.ONLINE_RESERVATION_MINUTES)
                 self.put("stock", left - row["qty"])
                 held.updateValue((line,), (row["qty"], until, bool(row["cod"])))
-                self.wake(until)
+                self.wake_for(until, line)
                 verdict = "reserved"
         elif held.containsKey((line,)):
             qty, until, cod = held.getValue((line,))
@@ -139,9 +180,11 @@ class StockKeeper(Desk):
         yield Row(key=key, id=number, line=line, verdict=verdict)
 
     def late(self, key, now):
-        due = [(line[0], value) for line, value in self.table["held"].iterator() if value[1] <= now]
-        for line, (qty, until, cod) in due:
-            yield from self._free(key, None, line, qty, "expired")
+        held = self.table["held"]
+        for line in self.names_due(now):
+            # a line that was released and taken again has a later deadline of its own
+            if held.containsKey((line,)) and held.getValue((line,))[1] <= now:
+                yield from self._free(key, None, line, held.getValue((line,))[0], "expired")
 
 
 def order_verdicts(lines: DataFrame) -> DataFrame:
@@ -150,17 +193,200 @@ def order_verdicts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("order_id").agg(F.coalesce(bad, F.lit("reserved")).alias("verdict"))
 
 
+class Shelf(Desk):
+    """Whole orders, first stage: one product (or variant) per key. Rows: command, order_id, qty, lines.
+
+    load sets the stock; reserve is one line of an order of so many lines (lines of an order on one key are added up before).
+    Both wait until the watermark has passed them, then take effect in (at, order) order whatever order they came in.
+    A line is answered fits when it can be served even if every open order before it is, short when it cannot even if
+    none is, review without known stock or quantity; otherwise it waits. The second stage (OrderJudge) answers with confirm
+    or release, later perhaps return; each narrows what the waiting lines wait for. Its rows come from the stream that the second stage
+    writes, unioned with the requests; neither stage's rows for the other carry a time, so none is ever late. A return adds stock from the
+    moment it arrives.
+
+    The state of a key holds its open orders and one row per minute of requests that the watermark has not passed; a timer reads
+    its own minute only."""
+
+    timers = True
+    output = "order_id string, at timestamp, ms bigint, id bigint, command string, product string, verdict string, qty bigint, lines int"
+    states = {"shelf": "left bigint"}
+    maps = {
+        "inbox": ("minute bigint", "rows array<struct<ms:bigint,order_id:string,command:string,qty:bigint,lines:int>>"),
+        "open": ("order_id string", "ms bigint, qty bigint, lines int, state string"),
+    }
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh: dict[int, list[tuple]] = {}
+        moved = False
+        for row in rows:
+            if row["command"] in ("load", "reserve"):
+                # a row the watermark has passed already is taken with the next minute that is due
+                due = max(row["ms"], timerValues.getCurrentWatermarkInMs()) // MINUTE * MINUTE + MINUTE
+                fresh.setdefault(due, []).append((row["ms"], row["order_id"], row["command"], row["qty"], row["lines"]))
+            else:
+                moved |= self._settle(row["command"], row["order_id"], row["qty"])
+        inbox = self.table["inbox"]
+        for due, came in fresh.items():
+            if inbox.containsKey((due,)):
+                came = [*inbox.getValue((due,))[0], *came]
+            else:
+                self.wake(due)
+            inbox.updateValue((due,), (came,))
+        if moved:
+            yield from self._answers(key[0])
+
+    def late(self, key, now):
+        inbox = self.table["inbox"]
+        if not inbox.containsKey((now,)):
+            return
+        for ms, order, command, qty, lines in sorted(inbox.getValue((now,))[0], key=lambda r: (r[0], r[2] != "load", r[1] or "")):
+            if command == "load":
+                self.put("shelf", qty)
+            elif self.get("shelf", (None,))[0] is None or qty is None or qty < 1:
+                yield self._answer(key, order, ms, "review", qty, lines)
+            else:
+                self.table["open"].updateValue((order,), (ms, qty, lines, "waits"))
+        inbox.removeKey((now,))
+        yield from self._answers(key)
+
+    def _settle(self, command, order, qty) -> bool:
+        open_ = self.table["open"]
+        held = open_.getValue((order,)) if open_.containsKey((order,)) else None
+        if command == "confirm" and held:
+            open_.updateValue((order,), (*held[:3], "served"))
+        elif command == "release" and held:
+            open_.removeKey((order,))
+        elif command == "return" and held:
+            open_.removeKey((order,))
+        elif command == "return":
+            self.put("shelf", (self.get("shelf", (0,))[0] or 0) + qty)
+        else:
+            return False
+        return True
+
+    def _answer(self, key, order, ms, verdict, qty, lines):
+        return Row(order_id=order, at=None, ms=ms, id=0, command="answer", product=key, verdict=verdict, qty=qty, lines=lines)
+
+    def _answers(self, key):
+        open_ = self.table["open"]
+        left = self.get("shelf", (0,))[0] or 0
+        served = pending = 0
+        waiting = False
+        for (order,), (ms, qty, lines, state) in sorted(open_.iterator(), key=lambda e: (e[1][0], e[0][0])):
+            if state == "waits":
+                most = left - served
+                if qty > most:
+                    open_.removeKey((order,))
+                    yield self._answer(key, order, ms, "short", qty, lines)
+                    continue
+                if qty <= most - pending:
+                    open_.updateValue((order,), (ms, qty, lines, "fits"))
+                    yield self._answer(key, order, ms, "fits", qty, lines)
+            if state == "served" and not waiting:
+                left -= qty  # nobody open is before it: it leaves the shelf
+                open_.removeKey((order,))
+            elif state == "served":
+                served += qty
+            else:
+                pending += qty
+                waiting = True
+        self.put("shelf", left)
+
+
+class OrderJudge(Desk):
+    """Whole orders, second stage: one order per key. Rows: command answer (of a Shelf: product, verdict, qty, lines), pay, ship, cancel, with cod.
+
+    The order is served once all its lines fit, and refused with the first that does not; either way the shelves that
+    hold lines get one row each (confirm or release), so a refused order holds nothing. A served order that is neither paid nor
+    shipped against cash on delivery is returned at its deadline or when it is cancelled. The commands carry times and move the
+    watermark that deadlines follow."""
+
+    timers = True
+    output = "key string, at timestamp, ms bigint, id bigint, command string, order_id string, qty bigint, lines int, verdict string"
+    states = {"order": "verdict string, until bigint"}
+    maps = {"line": ("product string", "qty bigint")}
+
+    def __init__(self, minutes: int = K.ONLINE_RESERVATION_MINUTES):
+        self.minutes = minutes
+
+    def step(self, key, row):
+        verdict, until = self.get("order", ("open", None))
+        held = self.table["line"]
+        if row["command"] == "answer":
+            if row["verdict"] == "fits" and verdict in ("rejected", "review"):
+                yield self._row(row["product"], row["id"], row["ms"], "release", key, row["qty"])
+            elif row["verdict"] == "fits" and verdict == "open":
+                held.updateValue((row["product"],), (row["qty"],))
+                if sum(1 for _ in held.keys()) == row["lines"]:
+                    until = row["ms"] + MINUTE * self.minutes
+                    self.put("order", "reserved", until)
+                    self.wake(until)
+                    yield self._verdict(key, row["id"], until - MINUTE * self.minutes, "reserved")
+                    for (product,), (qty,) in held.iterator():
+                        yield self._row(product, row["id"], row["ms"], "confirm", key, qty)
+            elif verdict == "open":
+                verdict = "review" if row["verdict"] == "review" else "rejected"
+                self.put("order", verdict, None)
+                yield self._verdict(key, row["id"], row["ms"], verdict)
+                yield from self._tell(key, row, "release")
+        elif verdict == "reserved" and row["command"] == "cancel":
+            yield from self._end(key, row["id"], row["ms"], "cancelled")
+        elif verdict == "reserved" and (row["command"] == "pay" or (row["command"] == "ship" and row["cod"])):
+            self.put("order", "kept", None)
+
+    def late(self, key, now):
+        verdict, until = self.get("order", ("open", None))
+        if verdict == "reserved" and until <= now:
+            yield from self._end(key, None, now, "expired")
+
+    def _end(self, key, number, ms, verdict):
+        self.put("order", verdict, None)
+        yield self._verdict(key, number, ms, verdict)
+        yield from self._tell(key, {"id": number, "ms": ms}, "return")
+
+    def _tell(self, key, row, command):
+        held = self.table["line"]
+        for (product,), (qty,) in list(held.iterator()):
+            held.removeKey((product,))
+            yield self._row(product, row["id"], row["ms"], command, key, qty)
+
+    def _verdict(self, key, number, ms, verdict):
+        return Row(key=None, at=None, ms=ms, id=number, command="verdict", order_id=key, qty=None, lines=None, verdict=verdict)
+
+    def _row(self, product, number, ms, command, order, qty):
+        return Row(key=product, at=None, ms=ms, id=number, command=command, order_id=order, qty=qty, lines=None, verdict=None)
+
+
 class PaymentDesk(Desk):
     """Rows: command (attempt, event, close), event_key, digest, outcome, amount_cents, reference,
-    minutes, initialization, offline. One attempt per key; first valid event before expiry decides."""
+    minutes, initialization, offline. One attempt per key; first valid event before expiry decides.
 
-    states = {"attempt": "due bigint, until bigint, status string, reference string, initialization string, review boolean, offline boolean"}
+    seen holds the events that were judged, to tell repeats. With keep_minutes only the deciding event is kept that long after the
+    attempt's deadline: events that come still later are judged by the attempt's state, as any new event of a closed
+    attempt is, so the state of a key does not grow with what is sent to it afterwards."""
+
+    states = {"attempt": "due bigint, until bigint, status string, reference string, initialization string, review boolean, offline boolean", "deciding": "event_key string", "forgotten": "flag boolean"}
     maps = {"seen": ("event_key string", "digest string")}
 
+    def __init__(self, keep_minutes: int | None = None):
+        self.keep, self.timers = keep_minutes, keep_minutes is not None
+
+    def late(self, key, now):
+        if self.get("forgotten") is None:
+            self.put("forgotten", True)
+            seen = self.table["seen"]
+            deciding = self.get("deciding", (None,))[0]
+            for (event,) in list(seen.keys()):
+                if event != deciding:
+                    seen.removeKey((event,))
+        return iter(())
+
     def step(self, key, row):
         attempt, seen = self.get("attempt"), self.table["seen"]
         if row["command"] == "attempt":
             if attempt is None:
+                if self.timers:
+                    self.wake(row["ms"] + MINUTE * (row["minutes"] + self.keep))
                 self.put("attempt", row["amount_cents"], row["ms"] + MINUTE * row["minutes"], "pending", row["reference"], row["initialization"], False, bool(row["offline"]))
             return
         if row["command"] == "close":
@@ -180,7 +406,8 @@ class PaymentDesk(Desk):
             return "offline-refused"
         if row["amount_cents"] != due:
             return "amount-mismatch"
-        seen.updateValue((row["event_key"],), (row["digest"],))
+        if self.get("forgotten") is None:
+            seen.updateValue((row["event_key"],), (row["digest"],))
         if row["reference"] is not None and row["reference"] != reference:
             # only an attempt that never stored its reference may still be bound to one
             if initialization != "initializing":
@@ -191,6 +418,7 @@ class PaymentDesk(Desk):
             reference, initialization = row["reference"], "ready"
         if status == "pending" and row["ms"] < until:
             self.put("attempt", due, until, row["outcome"], reference, initialization, review, offline)
+            self.put("deciding", row["event_key"])
             return "accepted"
         late_paid = row["outcome"] == "paid" and status != "paid"
         self.put("attempt", due, until, "expired" if status == "pending" else status, reference, initialization, review or late_paid, offline)
@@ -217,7 +445,7 @@ class SeatKeeper(Desk):
     timers = True
     output = "key string, id bigint, person string, verdict string"
     states = {"session": "capacity bigint, reserved bigint"}
-    maps = {"seat": ("person string", "status string, held boolean, confirmed boolean, until bigint")}
+    maps = {"seat": ("person string", "status string, held boolean, confirmed boolean, until bigint"), "deadlines": DEADLINES}
 
     def step(self, key, row):
         if row["command"] == "open":
@@ -246,7 +474,7 @@ class SeatKeeper(Desk):
             return "full"
         until = row["ms"] + MINUTE * K.SEAT_RESERVATION_MINUTES
         self.table["seat"].updateValue((person,), ("new", True, False, until))
-        self.wake(until)
+        self.wake_for(until, person)
         return "seated"
 
     def _confirm(self, person, row, old):
@@ -273,11 +501,12 @@ class SeatKeeper(Desk):
 
     def late(self, key, now):
         seats = self.table["seat"]
-        due = [(person[0], value) for person, value in seats.iterator() if value[1] and not value[2] and value[0] != "enrolled" and value[3] <= now]
-        for person, value in due:
-            seats.updateValue((person,), (value[0], False, value[2], value[3]))
-            self._give()
-            yield Row(key=key, id=None, person=person, verdict="expired")
+        for person in self.names_due(now):
+            value = seats.getValue((person,)) if seats.containsKey((person,)) else None
+            if value and value[1] and not value[2] and value[0] != "enrolled" and value[3] <= now:
+                seats.updateValue((person,), (value[0], False, value[2], value[3]))
+                self._give()
+                yield Row(key=key, id=None, person=person, verdict="expired")
 
 
 class Subscriptions(Desk):

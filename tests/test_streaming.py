@@ -103,3 +103,173 @@ def test_outbox_is_written_once(spark):
     assert sorted(r.dedup_key for r in spark.read.parquet(f"{folder}/out").collect()) == ["a", "b", "c"]
     verdicts = spark.createDataFrame([(1, "reserved"), (1, "rejected"), (2, "reserved")], "order_id int, verdict string")
     assert {(r.order_id, r.verdict) for r in D.order_verdicts(verdicts).collect()} == {(1, "rejected"), (2, "reserved")}
+
+
+def whole_orders(lines, stock):
+    """Orders one after another, each taking all it needs or nothing."""
+    left, out = dict(stock), {}
+    for at, order in sorted({(r[3], r[0]) for r in lines}):
+        need, wrong = {}, False
+        for o, key, _, _, qty in lines:
+            if o == order:
+                wrong |= qty is None or qty < 1 or left.get(key) is None
+                need[key] = need.get(key, 0) + (qty or 0)
+        out[order] = "review" if wrong else "rejected" if any(left[k] < q for k, q in need.items()) else "reserved"
+        if out[order] == "reserved":
+            left |= {k: left[k] - q for k, q in need.items()}
+    return out
+
+
+def order_lines(rng, orders, goods):
+    stock = {f"g{k}": rng.choice([None, 0, 5, 20, 60]) for k in range(goods)}
+    lines = []
+    for n in range(orders):
+        at = T0 + timedelta(minutes=rng.randrange(orders // 2))
+        for _ in range(rng.choice([1, 2, 3])):
+            lines.append((f"o{n:03}", f"g{rng.randrange(goods)}", at.date(), at, rng.choice([1, 2, 3, 9, None] if n % 7 == 0 else [1, 2, 3, 9])))
+    return lines, stock
+
+
+def test_whole_orders_over_tables(spark):
+    for seed in range(3):
+        lines, stock = order_lines(random.Random(seed), 80, 6)
+        rng = random.Random(seed)
+        want = whole_orders(lines, stock)
+        rng.shuffle(lines)
+        got = C.order_reservations(spark.createDataFrame(lines, "order_id string, key string, chunk date, at timestamp, qty long"), spark.createDataFrame(list(stock.items()), "key string, stock long"))
+        assert {r.order_id: r.verdict for r in got.collect()} == want and {"reserved", "rejected", "review"} <= set(want.values())
+    empty = spark.createDataFrame([], "order_id string, key string, chunk date, at timestamp, qty long")
+    assert C.order_reservations(empty, spark.createDataFrame([("a", 1)], "key string, stock long")).count() == 0
+
+
+def test_whole_orders_as_streams(spark):
+    """Two desks that write for each other come to the verdicts of the table, whatever order the lines arrive in."""
+    rng = random.Random(21)
+    lines, stock = order_lines(rng, 14, 3)
+    want = whole_orders(lines, stock)
+    need = {}
+    for order, key, _, at, qty in lines:
+        old = need.get((order, key))
+        need[order, key] = (at, None if qty is None or (old and old[1] is None) else qty + (old[1] if old else 0))
+    many = {order: sum(1 for o, _ in need if o == order) for order, _ in need}
+    schema = "key string, at timestamp, ms long, id long, command string, order_id string, qty long, lines int, verdict string"
+    rows = [(key, T0 - timedelta(minutes=5), None, 0, "load", None, n, None, None) for key, n in stock.items()]
+    asked = [(key, at, None, 1, "reserve", order, qty, many[order], None) for (order, key), (at, qty) in need.items()]
+    rng.shuffle(asked)
+    folder = tempfile.mkdtemp(prefix="sitemill-test-")
+    put = lambda rows, name: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    put(rows + asked, "requests")
+    put([("g0", T0 + timedelta(days=1), None, 2, "tick", None, None, None, None)], "requests")  # lets the watermark pass the orders
+    put([("none", None, 0, 3, "tick", None, None, None, None)], "told")
+    answers = "key string, at timestamp, ms long, id long, command string, product string, verdict string, qty long, lines int, cod boolean"
+    spark.createDataFrame([("none", T0, 0, 1, "tick", None, None, None, None, None)], answers).write.parquet(f"{folder}/answers")
+    spark.createDataFrame([], "order_id string, verdict string").write.parquet(f"{folder}/verdicts")
+
+    def shelf(batch, number):
+        batch.selectExpr("order_id AS key", "at", "ms", "id", "command", "product", "verdict", "qty", "lines", "false AS cod").write.mode("append").parquet(f"{folder}/answers")
+
+    def judge(batch, number):
+        batch.where("key IS NOT NULL").selectExpr("key", "at", "ms", "id", "command", "order_id", "qty", "lines", "verdict").write.mode("append").parquet(f"{folder}/told")
+        batch.where("command = 'verdict'").select("order_id", "verdict").write.mode("append").parquet(f"{folder}/verdicts")
+
+    def turn(source, desk, sink, name):
+        query = D.run(source, desk, "1 minute").writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state-{name}").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    read = lambda name, kind: spark.readStream.schema(kind).parquet(f"{folder}/{name}")
+    got = {}
+    for _ in range(8):
+        turn(read("requests", schema).unionByName(read("told", schema)), D.Shelf(), shelf, "shelf")
+        turn(read("answers", answers), D.OrderJudge(minutes=100_000), judge, "judge")
+        found = spark.read.parquet(f"{folder}/verdicts").collect()
+        assert len(found) == len({r.order_id for r in found})
+        got = {r.order_id: r.verdict for r in found}
+        if set(got) == set(want):
+            break
+    assert got == want
+
+
+def test_a_desk_with_deadlines_needs_a_delay(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="delay"):
+        D.run(spark.readStream.format("rate").load(), D.StockKeeper())
+
+
+def test_a_timer_reads_what_is_due(spark, monkeypatch):
+    """Many holds, few due: the expiry looks up the due ones and never goes through all that are held."""
+    class Table:
+        def __init__(self):
+            self.rows, self.read = {}, 0
+
+        def containsKey(self, key):
+            return key in self.rows
+
+        def getValue(self, key):
+            self.read += 1
+            return self.rows[key]
+
+        def updateValue(self, key, value):
+            self.rows[key] = value
+
+        def removeKey(self, key):
+            del self.rows[key]
+
+        def iterator(self):
+            raise AssertionError("all holds were read")
+
+    class Value:
+        def __init__(self):
+            self.row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    keeper, timers = D.StockKeeper(), []
+    keeper.value, keeper.table = {"stock": Value()}, {"held": Table(), "deadlines": Table()}
+    monkeypatch.setattr(keeper, "wake", timers.append)
+    row = lambda **values: dict({"ms": 0, "id": 0, "qty": 1, "line": None, "minutes": None, "cod": False}, **values)
+    list(keeper.step("p", row(command="load", qty=10_000)))
+    for k in range(2000):
+        assert [r.verdict for r in keeper.step("p", row(command="reserve", line=f"l{k}", minutes=30 if k < 3 else 600))] == ["reserved"]
+    assert [r.verdict for r in keeper.step("p", row(command="reserve", line="odd", qty=None))] == ["review"]
+    keeper.table["held"].read = 0
+    assert sorted(r.line for r in keeper.late("p", min(timers))) == ["l0", "l1", "l2"] and keeper.table["held"].read <= 10
+    assert len(timers) == 2
+
+
+def test_payment_state_shrinks(spark):
+    rows = [("A", T0, 1, "attempt", None, None, None, 5, "raw", 10, "ready", False)]
+    rows += [("A", T0 + timedelta(minutes=1, seconds=k), 2 + k, "event", f"k{k}", "d", "failed" if k else "paid", 5, "raw", None, None, None) for k in range(20)]
+    rows += [("Z", T0 + timedelta(days=1), 90, "attempt", None, None, None, 5, "raw", 10, "ready", False), ("Z", T0 + timedelta(days=1, minutes=1), 91, "close", None, None, None, None, None, None, None, None)]
+    rows += [("A", T0 + timedelta(days=2), 100, "event", "k0", "d", "paid", 5, "raw", None, None, None), ("A", T0 + timedelta(days=2), 101, "event", "k7", "d", "failed", 5, "raw", None, None, None), ("A", T0 + timedelta(days=2), 102, "event", "new", "d", "paid", 5, "raw", None, None, None)]
+    schema = "key string, at timestamp, id long, command string, event_key string, digest string, outcome string, amount_cents long, reference string, minutes int, initialization string, offline boolean"
+    got = {r.id: r.verdict for r in stream(spark, rows, schema, D.PaymentDesk(keep_minutes=60), "payments_ttl", "1 minute", batches=len(rows))}
+    assert got[2] == "accepted" and got[100] == "duplicate"  # the deciding event is known for good
+    assert got[101] == "terminal-state" and got[102] == "terminal-state"
+
+
+def test_stream_writes_once(spark):
+    folder = tempfile.mkdtemp(prefix="sitemill-test-")
+    put = lambda keys: spark.createDataFrame([(k, k) for k in keys], "dedup_key string, body string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for keys in (["a", "b", "a"], ["b", "c"], ["c", "d"]):
+        put(keys)
+        source = spark.readStream.schema("dedup_key string, body string").parquet(f"{folder}/in")
+        sinks.write_once(source, f"{folder}/out", "dedup_key", f"{folder}/state", {"availableNow": True}).awaitTermination(120)
+    assert sorted(r.dedup_key for r in spark.read.parquet(f"{folder}/out").collect()) == ["a", "b", "c", "d"]
+
+
+def test_batches_open_their_own_buckets(spark):
+    folder = tempfile.mkdtemp(prefix="sitemill-test-")
+    write = sinks.append_once(f"{folder}/out", "dedup_key", buckets=8)
+    batch = lambda keys: spark.createDataFrame([(k, "x") for k in keys], "dedup_key string, body string")
+    for number, keys in enumerate([[f"k{n}" for n in range(40)], ["k1", "new"], ["new", "k39", "newer"], []]):
+        write(batch(keys), number)
+        write(batch(keys), number)  # a replay
+    assert sorted(r.dedup_key for r in spark.read.parquet(f"{folder}/out").collect()) == sorted([*(f"k{n}" for n in range(40)), "new", "newer"])
