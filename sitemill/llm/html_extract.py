@@ -1,8 +1,7 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes and hierarchical decoding.
 
 Each page is read once into block elements (nav, div, p, li, ...) with their text. Every element gets features
-of its subtree (length, density, links, punctuation), its attributes and tag (words that mark content or
-boilerplate, its own and its ancestors'), its depth and its siblings. Boosted trees give each element the
+of its subtree (length, density, links, punctuation), its attributes and tag (words that mark content, boilerplate or either, its own and its ancestors'), its depth and its siblings. Boosted trees give each element the
 chance that it belongs to the main text or holds it. Decoding picks the likeliest labels of the whole tree in
 which nothing below a rejected element is taken, so ancestors and descendants never contradict each other.
 
@@ -51,8 +50,10 @@ ENDS_P = BLOCK - {"option", "optgroup", "legend", "summary", "label", "button",
 BOILERPLATE = re.compile(
     r"(?:^|[-_ ])(?:nav|navigation|navbar|menu|header|masthead|footer|aside|sidebar|side|ad|ads|advert|advertisement|adverts|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|notice|notices|alert|"
     r"popup|modal|overlay|form|search|login|signup|subscribe|newsletter|comment|comments|disqus|reply|replies|respond|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|pagination|pager|widget|toolbar|"
-    r"copyright|legal|contentinfo|complementary|dialog|hidden|button|select|option|fieldset|tags|toc)(?:$|[-_ ]|\d)",
+    r"copyright|contentinfo|complementary|dialog|hidden|button|select|option|fieldset)(?:$|[-_ ]|\d)",
 )
+# words that a part of the main text may have as well
+EITHER = re.compile(r"(?:^|[-_ ])(?:legal|terms|disclaimer|tags|toc|note|notes|info|box|meta)(?:$|[-_ ]|\d)")
 CONTENT = re.compile(r"(?:^|[-_ ])(?:article|main|content|post|entry|story|articlebody|body-text|text|prose)(?:$|[-_ ]|\d)")
 # an attribute's name, and its value if there is one; quotes open a value only after =, elsewhere they are characters like others
 _NAME, _VALUE = r"(?:=[^\s/>=]*+|[^\s/>=]++)", r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>))"
@@ -72,10 +73,11 @@ class Page:
     parents: list[int]
     bad: list[int]
     good: list[int]
+    either: list[int]
     blocks: list[tuple[int, str, int]]
 
 
-def _marks(tag: str, attributes: str) -> tuple[int, int]:
+def _marks(tag: str, attributes: str) -> tuple[int, ...]:
     names = [tag]
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -84,12 +86,12 @@ def _marks(tag: str, attributes: str) -> tuple[int, int]:
                 names.append("hidden")
             elif name in ("class", "id", "role"):
                 names.extend(value.split())
-    return sum(bool(BOILERPLATE.search(x)) for x in names), sum(bool(CONTENT.search(x)) for x in names)
+    return tuple(sum(bool(words.search(x)) for x in names) for words in (BOILERPLATE, CONTENT, EITHER))
 
 
 def read_page(source: str | None) -> Page:
     """Reads a page in one pass over its tags."""
-    page = Page(["html"], [-1], [0], [0], [])
+    page = Page(["html"], [-1], [0], [0], [0], [])
     if not source:
         return page
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block that holds their text
@@ -182,12 +184,13 @@ def read_page(source: str | None) -> Page:
             if tag == "html":
                 continue
             flush()
-            bad, good = _marks(tag, found[3])
+            bad, good, either = _marks(tag, found[3])
             owner = len(page.tags)
             page.tags.append(tag)
             page.parents.append(stack[-1][1])
             page.bad.append(bad)
             page.good.append(good)
+            page.either.append(either)
         else:
             owner = stack[-1][1]
             if tag == "a":
@@ -212,7 +215,7 @@ def features(page: Page, hide: bool = False) -> np.ndarray:
     for k in range(n - 1, 0, -1):
         subtree[parents[k]] += subtree[k]
     depth, above_bad, above_good = np.zeros(n), np.zeros(n), np.zeros(n)
-    bad, good = (np.zeros(n), np.zeros(n)) if hide else (np.array(page.bad, float), np.array(page.good, float))
+    bad, good, either = (np.zeros(n) if hide else np.array(x, float) for x in (page.bad, page.good, page.either))
     children, order = np.zeros(n), np.zeros(n)
     last: dict[int, int] = {}
     before, after = np.full(n, -1), np.full(n, -1)
@@ -233,7 +236,7 @@ def features(page: Page, hide: bool = False) -> np.ndarray:
     up = np.where(parents >= 0, parents, 0)
     return np.stack([
         np.log1p(chars), links / np.maximum(chars, 1), np.log1p(density), chars / max(chars[0], 1), points / np.maximum(chars, 1), long_ / np.maximum(blocks, 1), paragraphs / elements, np.log1p(elements),
-        depth, siblings, order / np.maximum(siblings, 1), near(before), near(after), chars[up] / max(chars[0], 1), links[up] / np.maximum(chars[up], 1), kind, np.minimum(bad, 3), np.minimum(good, 3), np.minimum(above_bad, 3), np.minimum(above_good, 3),
+        depth, siblings, order / np.maximum(siblings, 1), near(before), near(after), chars[up] / max(chars[0], 1), links[up] / np.maximum(chars[up], 1), kind, np.minimum(bad, 3), np.minimum(good, 3), np.minimum(above_bad, 3), np.minimum(above_good, 3), np.minimum(either, 3),
     ], 1)
 
 
@@ -329,26 +332,42 @@ def decode(page: Page, margin: np.ndarray) -> np.ndarray:
 
 
 def _layouts() -> list[str]:
-    """Made-up pages with the parts that a page may have, in several orders."""
+    """Made-up pages with the parts that a page may have, in several orders: around the article, and between its paragraphs too; articles of
+    many paragraphs and of a few words, with parts of their own whose names may mean either."""
     rng = np.random.default_rng(7)
 
     def prose(low: int, high: int) -> str:
         return " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(rng.integers(low, high))).capitalize() + ("," if rng.random() < 0.2 else ".")
 
     def items(kind: str) -> str:
-        return "<ul>" + "".join(f"<li><a href='/{k}'>{prose(1, 3)}</a></li>" for k in range(rng.integers(3, 9))) + "</ul>" if kind == "links" else "".join(f"<p>{prose(3, 14)}</p>" for _ in range(rng.integers(1, 4)))
-
-    parts = [("nav", "", "links"), ("header", "", "text"), ("footer", "", "text"), ("aside", "", "links"), ("div", "sidebar", "links"), ("div", "ad-box", "text"), ("div", "cookie-notice", "text"), ("section", "comments", "text"), ("form", "", "text"), ("div", "related-posts", "links"), ("div", "menu", "links"), ("div", "newsletter", "text")]
+        if kind == "links":
+            return "<ul>" + "".join(f"<li><a href='/{k}'>{prose(1, 3)}</a></li>" for k in range(rng.integers(3, 9))) + "</ul>"
+        if kind == "words":
+            return prose(2, 40)
+        return "".join(f"<p>{prose(3, 14 if kind == 'text' else 110)}</p>" for _ in range(rng.integers(1, 4)))
+
+    def wrapped(tag: str, name: str, inner: str) -> str:
+        mark = f" {'id' if rng.random() < 0.3 else 'class'}={name}" if name else ""
+        return f"<{tag}{mark}>{inner}</{tag}>"
+
+    parts = [("nav", "", "links"), ("header", "", "text"), ("footer", "", "text"), ("aside", "", "links"), ("div", "sidebar", "links"), ("div", "ad-box", "text"), ("div", "cookie-notice", "text"), ("section", "comments", "text"), ("form", "", "text"), ("div", "related-posts", "links"), ("div", "menu", "links"), ("div", "newsletter", "text"), ("div", "legal", "text")]
+    within = [("div", "ad", "words"), ("div", "ad", "text"), ("aside", "", "words"), ("aside", "", "long"), ("div", "comments", "long"), ("section", "comments", "long"), ("div", "notice", "words"), ("form", "", "text"), ("nav", "", "links"), ("div", "share", "links"), ("div", "related", "links"), ("figure", "advert", "words")]
+    own = [("div", "legal", "text"), ("div", "note", "words"), ("section", "terms", "long"), ("blockquote", "", "text"), ("div", "info-box", "long"), ("div", "", "words")]
     pages = []
-    for _ in range(60):
-        chosen = [parts[k] for k in rng.permutation(len(parts))[: rng.integers(2, 7)]]
-        made = [f"<{tag}{f' class={name}' if name else ''}>{items(kind)}</{tag}>" for tag, name, kind in chosen]
+    for number in range(160):
+        chosen = [parts[k] for k in rng.permutation(len(parts))[: rng.integers(1, 7)]]
+        made = [wrapped(tag, name, items(kind)) for tag, name, kind in chosen]
         tag, name = [("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("section", "entry-content")][rng.integers(5)]
-        article = f"<h1>{prose(3, 9)}</h1>" + "".join(f"<p>{prose(2, 120)}</p>" for _ in range(rng.integers(1, 9)))
+        short = number % 4 == 0
+        pieces = [f"<h1>{prose(1, 3 if short else 9)}</h1>"] + [f"<p>{prose(1, 4) if short else prose(2, 120)}</p>" for _ in range(rng.integers(1, 3 if short else 9))]
         if rng.random() < 0.3:
-            article += "<ul>" + "".join(f"<li>{prose(4, 30)}</li>" for _ in range(4)) + "</ul>"
+            pieces.append("<ul>" + "".join(f"<li>{prose(4, 30)}</li>" for _ in range(4)) + "</ul>")
+        for kinds, share in ((within, 0.6), (own, 0.4)):
+            while rng.random() < share:
+                kind = kinds[rng.integers(len(kinds))]
+                pieces.insert(rng.integers(1, len(pieces) + 1), wrapped(kind[0], kind[1], items(kind[2])))
         spot = rng.integers(len(made) + 1)
-        pages.append(f"<html><body>{''.join(made[:spot])}<{tag}{f' class={name}' if name else ''}>{article}</{tag}>{''.join(made[spot:])}</body></html>")
+        pages.append(f"<html><body>{''.join(made[:spot])}<{tag}{f' class={name}' if name else ''}>{''.join(pieces)}</{tag}>{''.join(made[spot:])}</body></html>")
     return pages
 
 

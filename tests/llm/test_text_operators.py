@@ -105,6 +105,36 @@ def test_extraction_of_odd_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_parts_inside_articles(spark, sf):
+    long_ = "One fairly long sentence, with a comma, about nothing in particular and yet with many words in it. " * 2
+    probes = [
+        ("<nav><a href=/>x</a></nav><article><h1>Hi</h1><p>Short.</p></article><footer>f</footer>", "Hi\nShort."),
+        (f"<article><h1>T</h1><p>{long_}</p><div class=ad>Buy this thing now</div><p>{long_}</p></article>", f"T\n{long_}\n{long_}"),
+        (f"<article><h1>T</h1><p>{long_}</p><aside>{long_[:150]}</aside><p>After it.</p></article>", f"T\n{long_}\nAfter it."),
+        (f"<article><h1>T</h1><p>{long_}</p><div id=comments><p>{long_}</p><p>{long_}</p></div></article>", f"T\n{long_}"),
+        (f"<article><h1>T</h1><p>{long_}</p><div class=legal><p>{long_}</p></div></article><div class=legal><p>All rights.</p></div>", f"T\n{long_}\n{long_}"),
+        ("<header><p>Site</p></header><main><p>One.</p></main>", "One."),
+    ]
+    given = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    made = spark.createDataFrame([(10**9 + k, "u", f"<html><body>{h}</body></html>") for k, (h, _) in enumerate(probes)], "page_id long, url string, html string")
+    out = {r["page_id"] - 10**9: r["text"] for r in html_extract.extract(given.unionByName(made)).collect()}
+    for k, (_, text) in enumerate(probes):
+        assert out[k].split() == text.split(), k
+
+
+def test_decoding_is_the_best_labelling():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(2, 9))
+        page = html_extract.Page(["div"] * n, [-1, *(int(rng.integers(k)) for k in range(1, n))], [0] * n, [0] * n, [0] * n, [])
+        margin = rng.normal(0, 2, n)
+        score = lambda taken: sum(-np.logaddexp(0, -m if t else m) for t, m in zip(taken, margin, strict=True))  # noqa: B023, E731
+        legal = [t for t in product([False, True], repeat=n) if t[0] and all(t[page.parents[k]] or not t[k] for k in range(1, n))]
+        assert tuple(html_extract.decode(page, margin)) == max(legal, key=score)
+
+
 STRAY = [
     "<p title=it's>", '<img alt="5" tall"><p>', "<p title='it's'>", '<p ="x>', '<p class=a"b>', "<p title=a='b>", "<p it's>", '<p title="it\'s > 1">', "<p title= 'a > b' id=x>", "<p title=>", '<p title="5>',
 ]
