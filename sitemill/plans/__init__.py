@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sitemill.plans import addresses, catalogue, extraction, graphs, layouts, records, schedule, shop
+from sitemill.plans import addresses, catalogue, extraction, graphs, layouts, records, scalars, schedule, shop
 
-_MODULES = [addresses, graphs, catalogue, schedule, records, shop, extraction, layouts]
+_MODULES = [addresses, graphs, catalogue, schedule, records, shop, extraction, layouts, scalars]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

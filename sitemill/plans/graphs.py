@@ -43,7 +43,7 @@ def dependency_levels(spark: SparkSession, sf: str) -> DataFrame:
 def _needs(spark: SparkSession, sf: str) -> DataFrame:
     """Parts need the one before them in runs of up to two hundred, some a second one, and a few close a loop."""
     part, k = table(spark, sf, "part"), F.col("p_partkey")
-    needs = F.array_compact(F.array(F.when(k % 200 > 0, k - 1), F.when((k % 41 == 0) & (k > 0), F.floor(k / 2)), F.when(k % 400 == 390, k + 5)))
+    needs = F.array_compact(F.array(F.when(k % 200 > 0, k - 1), F.when((k % 199 == 0) & (k > 0), F.floor(k / 2)), F.when(k % 400 == 390, k + 5)))
     return part.select(k.alias("id"), F.explode(needs).alias("needs"))
 
 
@@ -159,8 +159,8 @@ _FOLDERS = """WITH RECURSIVE f AS (SELECT c_custkey AS id, CASE WHEN c_custkey =
 
 ORACLES = {
     "dependency_chains": """WITH RECURSIVE w(n, lv) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]) UNION ALL
- SELECT n + 1, list_append(lv, CASE WHEN n % 400 = 390 AND n + 5 < (SELECT count(*) FROM part) THEN NULL WHEN n % 200 > 0 AND lv[n] IS NULL THEN NULL WHEN n % 41 = 0 AND n > 0 AND lv[n // 2 + 1] IS NULL THEN NULL
-  WHEN n % 200 > 0 AND n % 41 = 0 AND n > 0 THEN 1 + greatest(lv[n], lv[n // 2 + 1]) WHEN n % 200 > 0 THEN 1 + lv[n] WHEN n % 41 = 0 AND n > 0 THEN 1 + lv[n // 2 + 1] ELSE 0 END) FROM w WHERE n < (SELECT count(*) FROM part))
+ SELECT n + 1, list_append(lv, CASE WHEN n % 400 = 390 AND n + 5 < (SELECT count(*) FROM part) THEN NULL WHEN n % 200 > 0 AND lv[n] IS NULL THEN NULL WHEN n % 199 = 0 AND n > 0 AND lv[n // 2 + 1] IS NULL THEN NULL
+  WHEN n % 200 > 0 AND n % 199 = 0 AND n > 0 THEN 1 + greatest(lv[n], lv[n // 2 + 1]) WHEN n % 200 > 0 THEN 1 + lv[n] WHEN n % 199 = 0 AND n > 0 THEN 1 + lv[n // 2 + 1] ELSE 0 END) FROM w WHERE n < (SELECT count(*) FROM part))
  SELECT p_partkey AS id, lv[p_partkey + 1] AS level FROM part, (SELECT lv FROM w ORDER BY n DESC LIMIT 1)""",
     "folder_order": f"""{_FOLDERS}, path AS (SELECT id, [(o + 100) * 100000000 + id] AS p FROM f WHERE parent_id IS NULL UNION ALL SELECT f.id, list_append(p, (f.o + 100) * 100000000 + f.id) FROM path JOIN f ON f.parent_id = path.id)
  SELECT id, CAST(len(p) - 1 AS BIGINT) AS depth, row_number() OVER (ORDER BY p) AS position FROM path""",
