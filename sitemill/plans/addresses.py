@@ -253,7 +253,7 @@ ask AS (SELECT substring(path,2) AS raw FROM base UNION SELECT substring(dst,2)
 {_RESOLVE},
 walk AS (SELECT path AS start, path AS spot, 0 AS hops, [path] AS seen, false AS loop FROM base WHERE NOT q
  UNION ALL SELECT w.start, r.dst, w.hops + 1, list_append(w.seen, r.dst), list_contains(w.seen, r.dst)
- FROM walk w JOIN red r ON r.src = w.spot WHERE NOT w.loop AND w.hops < 21 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.raw = substring(w.spot,2))),
+ FROM walk w JOIN red r ON r.src = w.spot WHERE NOT w.loop AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.raw = substring(w.spot,2))),
 fin AS (SELECT start, arg_max(spot, hops) AS spot, max(hops) AS hops, bool_or(loop) AS loop FROM walk GROUP BY start),
 st AS (SELECT b.url AS old_url, b.path AS old_path, b.q, b.final_url, b.capture_state, coalesce(f.hops,0) AS hops, coalesce(f.loop,false) AS loop, f.spot, h.kind, h.id,
   c.canonical, ch.kind = h.kind AND ch.id = h.id AS ok, own.src IS NOT NULL AS own, NOT b.q AND NOT coalesce(f.loop,false) AND h.kind IS NOT NULL AS reached

@@ -11,6 +11,7 @@ from tools.compare import rows_of
 SAMPLE = [
     "page_prepare_dedup", "page_preferred_address", "candidate_identity_merge", "redirect_closure", "category_rollup", "product_stock_state", "related_products", "listing_members",
     "calendar_month_groups", "local_instants", "cdc_decisions", "relation_issues", "media_inventory", "file_states", "cart_quote", "payment_event_verdicts", "order_status_replay", "page_titles",
+    "product_pages", "product_images", "listing_cards", "page_menus", "page_trails", "calendar_pages", "gallery_pages", "made_bodies", "nested_entity_issues", "folder_totals", "metric_summary", "key_forms", "money_forms", "contact_forms", "digest_forms",
 ]
 
 
