@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from sitemill.llm import words
 
 SENTENCE_WORDS, SPAN, SPAN_WORDS = 12, 3, 20
-PACK_BYTES = 8 << 20
-#: Bytes of text for a bucket; they give about a million spans.
-PER_BUCKET = 32 << 20
+PACK_BYTES = 4 << 20
+#: Bytes of text for a bucket; they give about half a million spans.
+PER_BUCKET = 16 << 20
 _LAST_ID = (1 << 63) - 1
 #: Words on either side that decide whether a text is divided at a place.
 NEAR = 2
@@ -235,7 +235,9 @@ def removals(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     """id (doc_id, or the largest long), mark (hash of the text) and ranges: pieces of word ranges to remove, by document."""
     keyed = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shipped = keyed.mapInArrow(_ship(max(1, math.ceil(size / PER_BUCKET)), anywhere), _SHIPPED)
+    buckets = max(1, math.ceil(size / PER_BUCKET))
+    # as many tasks as buckets: a task's share does not grow with the input
+    shipped = keyed.mapInArrow(_ship(buckets, anywhere), _SHIPPED).repartition(buckets, "bucket")
     answers = shipped.groupBy("bucket").applyInArrow(_answer, "id long, mark long, ranges binary")
     return answers.groupBy("id", "mark").agg(F.collect_list("ranges").alias("ranges"))  # a document's own spans
 
