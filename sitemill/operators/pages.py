@@ -165,6 +165,7 @@ def frontier(links: DataFrame, seen: DataFrame, limit: int | None = None) -> Dat
     return first.unionByName(rest)
 
 
+# --- fixed values: how addresses of content sections begin
 _CONTENT_FIRST = ["galeri", "kursy", "wypraw", "relacj", "aktualn", "kalendarz", "kontakt", "centrum", "regul", "polity", "serwis"]
 
 

@@ -202,6 +202,7 @@ def unapproved_redirects(bundled: DataFrame, approved: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ migration map
 
 _BENIGN = ["served-alias-canonical-elsewhere", "stored-redirect-shadowed-by-published-content"]
+# --- fixed values: account and private areas of the source, and its stored documents
 _ACCOUNT = r"(?i)\A/(?:account(?:\.html)?|logowanie|component/(?:user|users))(?:/|\z)"
 _PRIVATE = r"(?i)\A/(?:api|admin|administrator|koszyk|checkout|cart|newsletter|zgloszenie|platnosc-testowa|_next)(?:/|\.|\z)"
 _DOCUMENT_URL = r"\A(?:https?://[^/?#]+)?/api/documents/file/[a-f0-9]{64}(?:-[0-9]+)?\.pdf\z"

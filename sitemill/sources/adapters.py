@@ -53,9 +53,10 @@ FROM {{part}} WHERE p_partkey % 3 > 0 AND {n} <= p_partkey % 3""" for n in range
     "v_order_item": """
 SELECT l_orderkey AS order_id, l_linenumber AS pos, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS qty FROM {lineitem}""",
     "v_schedule": """
-SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'event' WHEN 'signup' THEN 'course' WHEN 'view' THEN 'trip' END AS kind,
+SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'event' WHEN 'signup' THEN 'course' WHEN 'view' THEN 'trip'
+  ELSE CASE event_id % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'course' ELSE 'trip' END END AS kind,
  user_id AS course_id, CASE WHEN event_type='view' AND event_id % 6 = 0 THEN NULL ELSE ts END AS starts_at,
- event_id % 8 AS capacity, event_id % 5 AS reserved FROM {events} WHERE event_type IN ('purchase','signup','view')""",
+ event_id % 8 AS capacity, event_id % 5 AS reserved FROM {events}""",
     "v_event": """
 SELECT event_id, ts, user_id AS state_key, event_type AS command, CAST(round(value*100) AS BIGINT) AS amount_cents,
  concat(CAST(user_id AS VARCHAR(20)),':',CAST(event_id % 20 AS VARCHAR(20))) AS event_key,
