@@ -31,8 +31,9 @@ from sitemill.llm import words
 
 SENTENCE_WORDS, SPAN, SPAN_WORDS = 12, 3, 20
 PACK_BYTES = 4 << 20
-#: Bytes of text for a bucket; they give about half a million spans.
-PER_BUCKET = 16 << 20
+#: Bytes of text for a bucket; they give about a million spans. Smaller buckets need less memory, and give more rows, as a document's
+#: removals come back once a bucket that has any.
+PER_BUCKET = 32 << 20
 _LAST_ID = (1 << 63) - 1
 #: Words on either side that decide whether a text is divided at a place.
 NEAR = 2
@@ -231,11 +232,11 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(found, pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.binary())]))
 
 
-def removals(docs: DataFrame, anywhere: bool = True) -> DataFrame:
+def removals(docs: DataFrame, anywhere: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
     """id (doc_id, or the largest long), mark (hash of the text) and ranges: pieces of word ranges to remove, by document."""
     keyed = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / PER_BUCKET))
+    buckets = max(1, math.ceil(size / per_bucket))
     # as many tasks as buckets: a task's share does not grow with the input
     shipped = keyed.mapInArrow(_ship(buckets, anywhere), _SHIPPED).repartition(buckets, "bucket")
     answers = shipped.groupBy("bucket").applyInArrow(_answer, "id long, mark long, ranges binary")
@@ -267,10 +268,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["rest", "text", "removed"])
 
 
-def dedup_substrings(docs: DataFrame, count: str | None = None, anywhere: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, count: str | None = None, anywhere: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
     """docs without its repeated sentences; n_chars, if there, is made anew. count: a column for the words removed.
     anywhere: whether texts are divided by their words as well; without it only spans of sentences are found."""
-    found = removals(docs, anywhere)
+    found = removals(docs, anywhere, per_bucket)
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("mark"))
     joined = packed.join(found, ["id", "mark"], "left").select("rest", "text", "ranges")
