@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the sentences and passages that an earlier document or place has."""
-    return substring_dedup.dedup_substrings(docs)
+    # few copies are left here, so small buckets give few rows more and need less memory
+    return substring_dedup.dedup_substrings(docs, per_bucket=16 << 20)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
