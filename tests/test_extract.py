@@ -203,3 +203,42 @@ def test_product_images_and_menu(parsed):
     images = X.product_images(parsed.where("name = 'product'"), "name", host_pattern=OWN).collect()
     assert [(i.n, i.path, i.alt, i.code) for i in images] == [(0, "images/big.jpg", "foto", None)]
     assert row(X.product_facts(parsed, OWN), "product").product.images == ["images/big.jpg"]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    from sitemill.operators import extract as X
+
+    bits = ["<div class='a b' id=left>", "</div>", "<a href='/x?a=1&amp;b'>", "<A HREF=/q/>", "<a href='/n'>", "</a>", "t &amp; u", "<br/>", "<img src='/i.png'/>", "<!-- c -->", "<p class>", "<a b='c'd>", "<a href='x>", "'", "<", "<script>", "</script>", "&#65;", "<title>", "</title>", "</A >"]
+    for first in bits:
+        for second in bits:
+            for third in ("", "<b x=\"1\" x='2'>", "'>z"):
+                html = first + second + third
+                parser = X._Events()
+                parser.feed(html)
+                parser.close()
+                wanted = [(c, None, None) if t is None else (None, None, t) if c is None else (None, X._element(t, c, o), None) for t, c, o in parser.found]
+                assert list(X._events(html)) == wanted, html
+    # a tag met again is not taken apart again
+    before = X._start_tag.cache_info().hits
+    list(X._events("<div class='once'></div><div class='once'></div>"))
+    assert X._start_tag.cache_info().hits > before
+
+
+def test_made_pages_are_dealt_and_read_once(spark, sf):
+    from sitemill.plans import layouts
+
+    plan = lambda name: layouts.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan("product_images").count("MapInArrow") == 1
+    for name, key in (("page_menus", "c_custkey"), ("page_trails", "c_custkey"), ("product_pages", "p_partkey")):
+        below = plan(name).split("MapInArrow")[1]
+        assert f"Exchange hashpartitioning({key}" in below
+
+
+def test_rejected_images_keep_their_number(spark):
+    from sitemill.operators import extract as X
+
+    html = "<div class='ProductContainer'><div class='main-image'><img src='https://o.example/a.jpg' alt='x'><img src='/images/b.jpg' alt='y'><img src='/images/b.jpg' alt='z'></div></div>"
+    pages = spark.createDataFrame([(1, "https://shop.example.com/p.html", html)] * 2, "id long, url string, html string")
+    parsed = X.tokenize_pages(pages, "id", want=("items",))
+    rows = X.product_images(parsed, "id", host_pattern=r"\Ashop\.example\.com\z").collect()
+    assert sorted((r["n"], r["path"] or "", r["alt"], r["code"] or "") for r in rows) == [(0, "", "x", "media-external-host")] * 2 + [(1, "images/b.jpg", "y", "")]
