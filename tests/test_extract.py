@@ -242,3 +242,10 @@ def test_rejected_images_keep_their_number(spark):
     parsed = X.tokenize_pages(pages, "id", want=("items",))
     rows = X.product_images(parsed, "id", host_pattern=r"\Ashop\.example\.com\z").collect()
     assert sorted((r["n"], r["path"] or "", r["alt"], r["code"] or "") for r in rows) == [(0, "", "x", "media-external-host")] * 2 + [(1, "images/b.jpg", "y", "")]
+
+
+def test_cards_are_judged_once(spark, sf):
+    from sitemill.plans import layouts
+
+    plan = layouts.listing_cards(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_good" in plan  # a column of its own below the fields that ask for it
