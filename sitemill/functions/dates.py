@@ -90,35 +90,43 @@ _NEXT_COURSE = "Najbliższy kurs rozpoczyna się"
 
 def course_next_date(text: Column) -> Column:
     """struct(starts_at, reason): set only by exactly one sentence in the exact form."""
-    mentions = F.regexp_count(text, F.lit(_NEXT_COURSE))
-    shape = _NEXT_COURSE + r":\s*([0-9]{4})-([0-9]{2})-([0-9]{2}) o godz\. ([0-9]{2}):([0-9]{2})(?![0-9:])"
-    found = F.regexp_count(text, F.lit(shape))
-    part = lambda group: F.nullif(F.regexp_extract(text, shape, group), F.lit("")).cast("int")
-    instant = warsaw_instant(part(1), part(2), part(3), part(4), part(5))
-    day = F.format_string("%04d-%02d-%02d %02d:%02d:00", part(1), part(2), part(3), part(4), part(5)).try_cast("timestamp_ntz")
-    one = (mentions == 1) & (found == 1)
-    return F.struct(
-        F.when(one, instant).alias("starts_at"),
-        F.when(mentions > 1, F.concat(mentions.cast("string"), F.lit(" start date mentions")))
-        .when((mentions == 1) & (found != 1), F.lit("start date is not written as YYYY-MM-DD o godz. HH:MM"))
-        .when(one & day.isNull(), F.lit("not a calendar date or time"))
-        .when(one & instant.isNull(), F.lit("local time is ambiguous or skipped at a DST change"))
-        .alias("reason"),
-    )
+    shape = _NEXT_COURSE + r":\s*([0-9]{4}-[0-9]{2}-[0-9]{2} o godz\. [0-9]{2}:[0-9]{2})(?![0-9:])"
+
+    def counted(t: Column) -> Column:
+        return F.struct(F.regexp_count(t, F.lit(_NEXT_COURSE)).alias("mentions"), F.regexp_count(t, F.lit(shape)).alias("found"), F.regexp_extract(t, shape, 1).alias("printed"))
+
+    def dated(v: Column) -> Column:
+        one = (v["mentions"] == 1) & (v["found"] == 1)
+        wall = F.when(one, F.concat(F.replace(v["printed"], F.lit(" o godz. "), F.lit(" ")), F.lit(":00"))).try_cast("timestamp_ntz")
+        return let(wall, lambda day: F.struct(v["mentions"].alias("mentions"), v["found"].alias("found"), one.alias("one"), day.alias("day"), instant_of_local(day).alias("instant")))
+
+    def judged(v: Column) -> Column:
+        return F.struct(
+            F.when(v["one"], v["instant"]).alias("starts_at"),
+            F.when(v["mentions"] > 1, F.concat(v["mentions"].cast("string"), F.lit(" start date mentions")))
+            .when((v["mentions"] == 1) & (v["found"] != 1), F.lit("start date is not written as YYYY-MM-DD o godz. HH:MM"))
+            .when(v["one"] & v["day"].isNull(), F.lit("not a calendar date or time"))
+            .when(v["one"] & v["instant"].isNull(), F.lit("local time is ambiguous or skipped at a DST change"))
+            .alias("reason"),
+        )
+
+    return let(let(let(text, counted), dated), judged)
 
 
 _DAY = r"(\S+), ([0-9]{1,2})\. (\S+) ([0-9]{4})"
 _CLOCK = r"([0-9]{2}):([0-9]{2})"
 
 
-def _event_instant(weekday: Column, day: Column, month: Column, year: Column, hour: Column, minute: Column) -> Column:
-    """struct(at, code) of one printed day and clock; the weekday must agree with the date."""
+def _event_instant(fields: Column, first: int) -> Column:
+    """struct(at, code) of one printed day and clock: six fields from first on. The weekday must agree with the date."""
     months = F.array(*[F.lit(name) for name in K.MONTHS_NOMINATIVE])
     weekdays = F.array(*[F.lit(name) for name in K.WEEKDAYS])
+    weekday, day, month, year, hour, minute = (F.get(fields, F.lit(first + n)) for n in range(6))
 
     def dated(number: Column) -> Column:
-        date = F.format_string("%04d-%02d-%02d", year.cast("int"), number, day.cast("int")).try_cast("date")
-        return F.struct(number.alias("number"), date.alias("date"), warsaw_instant(year, number, day, hour, minute).alias("at"))
+        date = F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+        clock = F.concat(F.lit(" "), hour, F.lit(":"), minute, F.lit(":00"))
+        return let(date, lambda d: F.struct(number.alias("number"), d.try_cast("date").alias("date"), instant_of_local(F.concat(d, clock).try_cast("timestamp_ntz")).alias("at")))
 
     def checked(v: Column) -> Column:
         code = (
@@ -133,26 +141,31 @@ def _event_instant(weekday: Column, day: Column, month: Column, year: Column, ho
 
 
 def event_dates(text: Column) -> Column:
-    """struct(starts_at, ends_at, code) of a printed event header; lines are joined by a newline."""
+    """struct(starts_at, ends_at, code) of a printed event header; lines are joined by a newline.
+
+    The text is bound once and each form is read in one match: its fields, which hold no white space, come as lines."""
     forms = {
         "range": rf"\AOd {_DAY} - {_CLOCK}\nDo {_DAY} - {_CLOCK}\z",
         "same-day": rf"\A{_DAY}, {_CLOCK} - {_CLOCK}\z",
         "start": rf"\A{_DAY}, {_CLOCK}\z",
     }
-    group = lambda form, *numbers: [F.nullif(F.regexp_extract(text, forms[form], n), F.lit("")) for n in numbers]
-    starts = (
-        F.when(text.rlike(forms["range"]), _event_instant(*group("range", 1, 2, 3, 4, 5, 6)))
-        .when(text.rlike(forms["same-day"]), _event_instant(*group("same-day", 1, 2, 3, 4, 5, 6)))
-        .when(text.rlike(forms["start"]), _event_instant(*group("start", 1, 2, 3, 4, 5, 6)))
-    )
-    ends = F.when(text.rlike(forms["range"]), _event_instant(*group("range", 7, 8, 9, 10, 11, 12))).when(
-        text.rlike(forms["same-day"]), _event_instant(*group("same-day", 1, 2, 3, 4, 7, 8))
-    )
-    day_only = text.rlike(rf"(?m)^(?:(?:Od|Do) )?{_DAY}$")
+    day_only = rf"(?m)^(?:(?:Od|Do) )?{_DAY}$"
+
+    def printed(t: Column) -> Column:
+        group = lambda form, *numbers: F.split(F.regexp_replace(t, forms[form], "\n".join(f"${n}" for n in numbers)), "\n")
+        fields = (
+            F.when(t.rlike(forms["range"]), group("range", *range(1, 13)))
+            .when(t.rlike(forms["same-day"]), group("same-day", 1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 7, 8))
+            .when(t.rlike(forms["start"]), group("start", 1, 2, 3, 4, 5, 6))
+        )
+        return let(fields, lambda f: F.struct(
+            F.when(f.isNotNull(), _event_instant(f, 0)).alias("starts"), F.when(F.size(f) == 12, _event_instant(f, 6)).alias("ends"),
+            F.when(f.isNull(), t.rlike(day_only)).alias("day_only"),
+        ))
 
     def judged(v: Column) -> Column:
         return (
-            F.when(v["starts"].isNull() & day_only, F.lit("event-date-missing-time"))
+            F.when(v["starts"].isNull() & v["day_only"], F.lit("event-date-missing-time"))
             .when(v["starts"].isNull(), F.lit("event-date-unparsed"))
             .when(v["starts"]["code"].isNotNull(), v["starts"]["code"])
             .when(v["ends"]["code"].isNotNull(), v["ends"]["code"])
@@ -169,4 +182,4 @@ def event_dates(text: Column) -> Column:
             ),
         )
 
-    return let(F.struct(starts.alias("starts"), ends.alias("ends")), named)
+    return let(let(text, printed), named)

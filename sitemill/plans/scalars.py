@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sitemill import constants as K
 from sitemill.functions import dates as D, documents as DC, hashing as H, money as M, paths as P, text as T, unicode as U
-from sitemill.sources.adapters import table
+from sitemill.sources.adapters import dealt, table
 
 _DECOMPOSED, _COMPOSED = "cafe\u0301", "caf\u00e9"
 
@@ -51,15 +51,16 @@ def money_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 def date_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Printed times read back, and times printed."""
-    e, ts = table(spark, sf, "events"), F.col("ts").cast("timestamp_ntz")
+    ts = F.col("ts").cast("timestamp_ntz")
     weekdays = F.array(*(F.lit(d) for d in ("Poniedziałek", "Wtorek", "Środa", "Czwartek", "Piątek", "Sobota", "Niedziela")))
-    day = F.concat(F.element_at(weekdays, F.weekday(ts) + 1), F.lit(", "), F.dayofmonth(ts).cast("string"), F.lit(". styczeń "), F.year(ts).cast("string"))
-    clock = F.date_format(ts, "HH:mm")
+    printed = F.concat(F.element_at(weekdays, F.weekday(ts) + 1), F.lit(", "), F.dayofmonth(ts).cast("string"), F.lit(". styczeń "), F.year(ts).cast("string"))
+    # columns of one step are computed once for all that the next one makes of them
+    e = dealt(table(spark, sf, "events").select("event_id", "ts"), "event_id").select("event_id", "ts", printed.alias("day"), F.date_format(ts, "HH:mm").alias("clock"))
+    day, clock = F.col("day"), F.col("clock")
     text = _pick(F.col("event_id"), F.concat(day, F.lit(", "), clock), F.concat(day, F.lit(", "), clock, F.lit(" - 23:59")), F.concat(F.lit("Od "), day, F.lit(" - "), clock, F.lit("\nDo "), day, F.lit(" - 23:59")), day, F.concat(day, F.lit(", "), clock, F.lit(" - 00:00")))
-    read = D.event_dates(text)
     said = F.concat(F.lit("Kurs. Najbliższy kurs rozpoczyna się: "), F.date_format(ts, "yyyy-MM-dd"), F.lit(" o godz. "), clock, _pick(F.col("event_id"), ".", " Najbliższy kurs rozpoczyna się: jutro", ":00"))
-    course = D.course_next_date(said)
-    return e.select("event_id", read["starts_at"].alias("starts_at"), read["ends_at"].alias("ends_at"), read["code"].alias("code"), D.format_datetime(ts).alias("shown"), course["starts_at"].alias("course"), course["reason"].alias("reason"))
+    rows = e.select("event_id", D.event_dates(text).alias("read"), D.format_datetime(ts).alias("shown"), D.course_next_date(said).alias("said"))
+    return rows.select("event_id", "read.starts_at", "read.ends_at", "read.code", "shown", F.col("said.starts_at").alias("course"), F.col("said.reason").alias("reason"))
 
 
 def contact_forms(spark: SparkSession, sf: str) -> DataFrame:

@@ -117,6 +117,16 @@ def test_event_dates(spark):
     assert [row["code"] for row in rows] == [None, None, None, "event-date-weekday-mismatch", "event-date-month-unknown", "event-date-missing-time", "event-date-end-before-start", "event-date-unparsed"]
 
 
+def test_dates_bind_their_text_once(spark):
+    """A long text expression is not copied into every match and every field read from it."""
+    plan = lambda c: spark.range(1).select(c.alias("d"))._jdf.queryExecution().analyzed().toString()
+    text = F.concat(F.lit("mark"), F.col("id").cast("string"))
+    for function in (D.event_dates, D.course_next_date):
+        assert plan(function(text)).count("mark") == 1
+    rows = many(spark, [None, "Od Piątek, 2. październik 2026 - 16:00\nDo Sobota, 4. październik 2026 - 21:00", "Niedziela, 25. październik 2026, 02:30", "Piątek, 31. luty 2026, 10:00", "Piątek, 2. październik 2026, 24:00"], D.event_dates)
+    assert [row["code"] for row in rows] == ["event-date-unparsed", "event-date-weekday-mismatch"] + ["event-date-invalid"] * 3
+
+
 def test_course_dates(spark):
     phrase = "Najbliższy kurs rozpoczyna się"
     rows = many(spark, [f"{phrase}: 2026-10-12 o godz. 18:30.", f"{phrase} wkrótce", f"{phrase}: 2026-10-25 o godz. 02:30", f"{phrase}: 2026-02-30 o godz. 10:00", "nic", f"{phrase}: 2026-10-12 o godz. 18:30 {phrase}"], D.course_next_date)
