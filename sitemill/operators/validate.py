@@ -10,6 +10,7 @@ from sitemill import constants as K
 from sitemill.functions import paths as P
 from sitemill.operators.files import one_row
 from sitemill.functions.unicode import collision_key, has_control, has_control_except_whitespace, nfc, utf16_length
+from sitemill.session import cut_lineage
 
 # ------------------------------------------------------------------ field kinds
 
@@ -197,6 +198,8 @@ def handoff_gate(routes: DataFrame, blocking: DataFrame) -> DataFrame:
 def relation_issues(edges: DataFrame, spec: DataFrame) -> DataFrame:
     """edges(src_id, collection, field, pos, dst_id), spec(collection, field, target, many) -> issues:
     undeclared relation, wrong target, a list where one is allowed, repeats, more than 500."""
+    # a stored table has a known size: one of unknown size would be joined by a shuffle, all edges of a field in one task
+    spec = cut_lineage(spec)
     joined = edges.join(spec, ["collection", "field"], "left")
     per_row = joined.select(
         "src_id", "field",
