@@ -223,6 +223,53 @@ def test_captured_redirects(spark):
                    "/k": ("source-http-redirect-conflict", None), "/st": ("already-stored", None), "/via": ("new-rule", "live")}
 
 
+def _counting(df, seen):
+    """df, which counts its rows each time it is computed."""
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_captures_and_crawls_are_read_once(spark):
+    o = "https://shop.example.com"
+    captures = spark.createDataFrame([(o + f"/a{k}", o + (f"/b{k}" if k % 2 else f"/b{k}?x=1")) for k in range(10)], "url string, final_url string")
+    seen = spark.sparkContext.accumulator(0)
+    resolved, issues = R.captured_redirects(_counting(captures, seen), spark.createDataFrame([("live",)], "route string"), ["shop.example.com"])
+    assert rows_of(resolved) == {(f"a{k}", f"b{k}") for k in range(1, 10, 2)}
+    assert rows_of(issues) == {("captured-redirect-rejected", o + f"/a{k}") for k in range(0, 10, 2)}
+    assert seen.value == 10
+
+    docs = spark.createDataFrame([("product", 1, "/p.html", "p", None, True)], "kind string, id long, legacy_path string, slug string, path string, published boolean")
+    redirects = spark.createDataFrame([(1, True, "/old", "/p.html")], "id long, published boolean, src string, dst string")
+    crawl = spark.createDataFrame([(o + p, None, "captured", k) for k, p in enumerate(["/p.html", "/old", "/none"])], "url string, final_url string, capture_state string, position long")
+    seen = spark.sparkContext.accumulator(0)
+    rows = R.migration_map(_counting(crawl, seen), docs, redirects, hosts=["shop.example.com"])
+    assert {(r.old_path, r.disposition, r.new_path) for r in rows.collect()} == {("/p.html", "retained200", "/p.html"), ("/old", "redirect301", "/p.html"), ("/none", "unresolved404", None)}
+    assert seen.value == 3
+
+
+def test_relation_spec_is_not_joined_by_a_shuffle(spark):
+    edges = spark.createDataFrame([(1, "products", "images", 0, "media:1"), (1, "products", "images", 1, "media:1"), (2, "products", "other", 0, "media:1"), (3, "products", "category", 0, "media:1")], "src_id long, collection string, field string, pos int, dst_id string")
+    spec = spark.createDataFrame([("products", "images", "media", True), ("products", "category", "categories", False)], "collection string, field string, target string, many boolean")
+    issues = V.relation_issues(edges, spec)
+    assert "SortMergeJoin" not in issues._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(issues) == {(1, "images", "duplicate-reference"), (2, "other", "unsupported-relation"), (3, "category", "wrong-target")}
+
+
+def test_task_shares_are_bounded_unless_the_session_says_so(spark):
+    from sitemill.session import TASK_SIZES, configure
+
+    other = spark.newSession()
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert {key: configure(other).conf.get(key) for key in TASK_SIZES} == TASK_SIZES
+    own = spark.newSession()
+    own.conf.set(name, "8mb")
+    assert configure(own).conf.get(name) == "8mb"
+
+
 def test_redirect_chains_beyond_20_hops(spark):
     o = "https://shop.example.com"
     chain = [(f"/c{k}", f"/c{k + 1}") for k in range(30)] + [("/c30", "/p.html")]
