@@ -142,6 +142,36 @@ def test_whole_orders_over_tables(spark):
     assert C.order_reservations(empty, spark.createDataFrame([("a", 1)], "key string, stock long")).count() == 0
 
 
+def test_whole_orders_store_a_round_once(spark, monkeypatch, tmp_path):
+    """A round stores its lines once, and the verdicts are made of stored rows: the lines are not made again for them."""
+    stored, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    lines, stock = order_lines(random.Random(1), 80, 6)
+    spark.createDataFrame(lines, "order_id string, key string, chunk date, at timestamp, qty long").write.parquet(f"{tmp_path}/lines")
+    got = C.order_reservations(spark.read.parquet(f"{tmp_path}/lines"), spark.createDataFrame(list(stock.items()), "key string, stock long"))
+    assert {r.order_id: r.verdict for r in got.collect()} == whole_orders(lines, stock)
+    rounds = [columns for columns in stored if "served" in columns and "refused" in columns]
+    assert len(rounds) > 1 and len(stored) == len(rounds) + 2
+    assert got.inputFiles() and not [file for file in got.inputFiles() if str(tmp_path) in file]
+
+
+def test_whole_orders_of_crowded_keys(spark, monkeypatch):
+    """Keys with many lines are summed by chunk, the others as one group, with the same verdicts; undated orders come first."""
+    rng = random.Random(5)
+    lines, stock = order_lines(rng, 90, 12)
+    lines = [(o, key if rng.random() < 0.5 else "g1", at.date() + timedelta(days=int(o[1:]) // 9), at + timedelta(days=int(o[1:]) // 9), qty) for o, key, _, at, qty in lines]
+    stock |= {"g1": 150}
+    want = whole_orders(lines, stock)
+    counts = {key: sum(line[1] == key for line in lines) for key in stock}
+    table, shelf = (spark.createDataFrame(lines, "order_id string, key string, chunk date, at timestamp, qty long"), spark.createDataFrame(list(stock.items()), "key string, stock long"))
+    for most in (0, sorted(counts.values())[-2]):
+        monkeypatch.setattr(C, "CROWDED_LINES", most)
+        assert {r.order_id: r.verdict for r in C.order_reservations(table, shelf).collect()} == want and {"reserved", "rejected", "review"} <= set(want.values())
+        undated = spark.createDataFrame([("a", "k", T0.date(), T0, 3), ("b", "k", None, None, 3), ("c", "k", T0.date(), T0, 2)], table.schema)
+        got = C.order_reservations(undated, spark.createDataFrame([("k", 5)], "key string, stock long"))
+        assert {r.order_id: r.verdict for r in got.collect()} == {"a": "rejected", "b": "reserved", "c": "reserved"}
+
+
 def test_whole_orders_as_streams(spark):
     """Two desks that write for each other come to the verdicts of the table, whatever order the lines arrive in."""
     rng = random.Random(21)
