@@ -89,16 +89,22 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int
     quotas = cut_lineage(apportion(sources, ["all"], "place", "target", "seats", "most").select("place", F.col("quota").alias("seats")))
     cells = apportion(cells.join(quotas, "place").withColumn("most", REPEAT * F.col("blocks")), ["place"], "shard", "blocks", "seats", "most")
     cells = cut_lineage(cells.select("place", "shard", "shard_size", "blocks", F.floor(F.col("quota") / F.col("blocks")).alias("passes"), (F.col("quota") % F.col("blocks")).alias("extra")))
-    # seeded choice of a shard's blocks beyond whole passes
-    drawn = cells.select("place", "shard", "passes", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    draw = Window.partitionBy("place", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "place", "shard", "block"), "block")
-    drawn = drawn.withColumn("times", F.col("passes") + (F.row_number().over(draw) <= F.col("extra")).cast("long")).where("times > 0").select("place", "shard", "block", "times")
+    # seeded choice of a shard's blocks beyond whole passes: those up to the last one drawn, so blocks need not meet in a join
+    turn = F.xxhash64(F.lit(seed + 2), "place", "shard", "block")
+    dealt = cells.where("extra > 0").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "shard")
+    dealt = dealt.select("place", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).withColumn("turn", turn)
+    draw = Window.partitionBy("place", "shard").orderBy("turn", "block")
+    last = dealt.withColumn("nth", F.row_number().over(draw)).where("nth = extra").select("place", "shard", F.struct("turn", "block").alias("last"))
+    cells = cut_lineage(cells.join(last, ["place", "shard"], "left"))
     size, blocks = F.col("shard_size"), F.col("blocks")
     holding = lambda t: F.ceil((t + 1) * blocks / size) - 1  # noqa: E731  the block that holds word t
-    spread = placed.where("size > 0").join(cells, ["place", "shard"]).select("place", "shard", "row", "start", "end", "shard_size", "blocks", F.explode(F.sequence(holding(F.col("start")), holding(F.col("end") - 1))).alias("block"))
+    spread = placed.where("size > 0").join(cells, ["place", "shard"])
+    spread = spread.select("place", "shard", "row", "start", "end", "shard_size", "blocks", "passes", "last", F.explode(F.sequence(holding(F.col("start")), holding(F.col("end") - 1))).alias("block"))
+    drawn = F.coalesce(F.struct(turn.alias("turn"), "block") <= F.col("last"), F.lit(False))
+    spread = spread.withColumn("times", F.col("passes") + drawn.cast("long")).where("times > 0")
     low, high = F.floor(F.col("block") * size / blocks), F.floor((F.col("block") + 1) * size / blocks)
     spread = spread.withColumn("first", F.greatest("start", low) - F.col("start")).withColumn("words", F.least("end", high) - F.greatest("start", low)).where("words > 0")
-    pieces = spread.join(drawn, ["place", "shard", "block"]).select("place", "shard", "row", "first", "words", "times")
+    pieces = spread.select("place", "shard", "row", "first", "words", "times")
     return placed.select("place", "shard", "row", "doc_id", "source", "mark", "size", "source_size", "target"), pieces
 
 

@@ -141,6 +141,46 @@ def test_mixture(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_blocks_of_the_mix_are_not_broadcast(spark):
+    """The choice of blocks grows with the words, so no side of a join that the driver collects may be made of them."""
+    docs = spark.createDataFrame(mixture_rows(3), "doc_id long, text string, source string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "256k")
+    try:
+        plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset(limit)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = [x for n, x in enumerate(plan) if n > k and all(depth(y) > depth(line) for y in plan[k + 1 : n + 1])]
+            assert not any("Generate explode" in x for x in below), "\n".join(below)
+
+
+def test_drawn_blocks(spark):
+    """A shard takes all its blocks as often as its quota allows and the rest in the seeded order."""
+    docs = spark.createDataFrame(mixture_rows(4), "doc_id long, text string, source string")
+    rows, pieces = mixing.mix_blocks(docs, block_words=16, shard_words=3_000)
+    found = rows.join(pieces, ["place", "shard", "row"]).select("place", "shard", "row", "size", "first", "words", "times").collect()
+    sizes = {(r["place"], r["shard"], r["row"]): r["size"] for r in rows.where("size > 0").collect()}
+    shards: dict[tuple, list] = {}
+    for (place, shard, row), size in sorted(sizes.items()):
+        shards.setdefault((place, shard), []).append((row, size))
+    taken = {(r["place"], r["shard"], r["row"], r["first"] + k): r["times"] for r in found for k in range(r["words"])}
+    assert len(shards) > 5
+    for (place, shard), held in shards.items():
+        words = [(place, shard, row, k) for row, size in held for k in range(size)]
+        n = max(1, int(len(words) / 16 + 0.5))
+        times = []
+        for b in range(n):
+            each = {taken.get(w, 0) for w in words[b * len(words) // n : (b + 1) * len(words) // n]}
+            assert len(each) == 1
+            times += each
+        passes, order = min(times), [r["b"] for r in spark.range(n).select(F.col("id").alias("b")).orderBy(F.xxhash64(F.lit(mixing.SEED + 2), F.lit(place), F.lit(shard).cast("long"), "b"), "b").collect()]
+        extra = sum(times) - passes * n
+        assert [times[b] for b in order] == [passes + 1] * extra + [passes] * (n - extra)
+
+
 def test_mixed_texts(spark):
     rows = [(k, t, s, f"r{k}", 1) for k, t, s in mixture_rows(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, runs string, n_chars long")
