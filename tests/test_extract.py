@@ -249,3 +249,56 @@ def test_cards_are_judged_once(spark, sf):
 
     plan = layouts.listing_cards(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "_good" in plan  # a column of its own below the fields that ask for it
+
+
+def test_listing_pages_cost_what_they_are_asked_for(spark, sf):
+    """Lines meet as small rows, and of a page's items only those of the browse view are looked for."""
+    from sitemill.plans import layouts
+
+    plan = layouts.listing_cards(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning(l_orderkey")[1]
+    assert "browseProductContainer" in plan and "browseProductContainer" not in below
+    html = "<h1 class=shop-kateory-title>T</h1><div class=browse-view><div class=browseProductContainer></div></div><img src='/i.png'>"
+    parsed = X.tokenize_pages(spark.createDataFrame([(1, SITE + "/x.html", html)], "id long, url string, html string"), "id", want=("items",), passes=("listing",))
+    assert [r["kind"] for r in X.page_items(parsed).collect()] == ["heading", "view", "card"]
+
+
+def test_holders_are_those_of_a_whole_pass():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        tags = [rng.choice(["<div class=x>", "<p>", "</div>", "</p>", "<br class=x>", "t", "<li class=x>", "<i class=x/>"]) for _ in range(40)]
+        page = columns("".join(tags))
+        sweep = containers.Sweep(page, *page.run)
+        places = [k for k, element in enumerate(page.element) if element]
+        for outermost in (False, True):
+            whole = sweep.around(sweep.with_class("x"), outermost)
+            assert sweep.holders(sweep.with_class("x"), places, outermost) == {k: whole[k] for k in places}
+
+
+def test_one_address_is_that_of_the_page():
+    for head in ("", "<base href='/sub/'>", "<a href='/q'>q</a><base href='https://o.example/z/'>"):
+        html = head + "".join(f"<a href='{a}'>x</a><img src='{a}'>" for a in ("/a.html", "b", "//h/c", "/x//y", "/[", "", " /s ", "/p/./q", "http://o.example/d", "#e"))
+        alone, whole = columns(html), columns(html).url
+        assert [alone.address(k) for k in range(len(whole))] == whole
+
+
+def test_plain_pages_cost_a_few_calls_a_token():
+    """Counted, not timed: Python calls for a page of cards, most of them the parts of its markup."""
+    import sys
+
+    html = "<div class=browse-view>" + "<div class=browseProductContainer><h2 class=browseProductTitle><a href='/1-a.html'>A b</a></h2><span class=price-red>1,00</span></div>" * 50 + "</div>"
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    columns(html)
+    sys.setprofile(count)
+    try:
+        page = columns(html)
+    finally:
+        sys.setprofile(None)
+    assert len(page.tag) > 500 and calls < 12 * len(page.tag)

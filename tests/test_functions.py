@@ -164,3 +164,17 @@ def test_documents(spark):
     assert one(spark, J.seo_url(F.lit("/ł.html"), "https://x.example")) == "https://x.example/%C5%82.html"
     meta = one(spark, J.page_meta(F.lit("T"), F.lit(""), F.lit(None).cast("string"), F.lit("<p>lead</p>"), F.lit("body"), F.lit("a/b"), F.lit(None).cast("string")))
     assert tuple(meta) == ("T", "lead", "/a/b.html")
+
+
+def test_plain_addresses_take_the_short_way_to_the_same_path(spark):
+    from itertools import product
+
+    heads = ["https://shop.example.com", "http://shop.example.com", "HTTPS://shop.example.com", "https://Shop.example.com", "https://u@shop.example.com", "https://shop.example.com:443", "https://shop.example.com:8080", "https://o.example", "//shop.example.com", "ftp://shop.example.com", ""]
+    tails = ["", "/", "/a", "/a/", "/a/b.html", "/a//b", "/.", "/./a", "/a/..", "/a/..b", "/.a", "/...", "/a?", "/a?b=1", "/a#f", "/a b", "/%61", "/a%2Fb", "/\u00e9", "/e\u0301", "/a\n", "/a,b", "/A_~-9", "/" + "x" * 5000, "/x" * 1500, "/a\\b"]
+    rows = [(h + t,) for h, t in product(heads, tails)] + [(None,)]
+    df = spark.createDataFrame(rows, "u string").repartition(4)
+    for ports, hosts, pattern in ((("", "80", "443"), None, r"\Ashop\.example\.com\z"), (("",), ["shop.example.com"], None), (("443",), None, None)):
+        both = df.select("u", P._site_path(F.col("u"), ports, hosts, pattern).alias("a"), P._judged_site_path(F.col("u"), ports, hosts, pattern).alias("b"))
+        assert both.where("NOT a <=> b").collect() == []
+        assert both.where("a IS NOT NULL").count() > 5
+    assert {r["u"] for r in df.where(F.col("u").rlike(P._PLAIN_URL)).collect()} >= {"https://shop.example.com/a/b.html", "http://shop.example.com/.a", "https://o.example/a"}
