@@ -141,13 +141,14 @@ def test_mixture(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_blocks_of_the_mix_are_not_broadcast(spark):
+@pytest.mark.parametrize("mixed", [mixing.mix, mixing.mixed_documents])
+def test_blocks_of_the_mix_are_not_broadcast(spark, mixed):
     """The choice of blocks grows with the words, so no side of a join that the driver collects may be made of them."""
     docs = spark.createDataFrame(mixture_rows(3), "doc_id long, text string, source string")
     limit = "spark.sql.autoBroadcastJoinThreshold"
     spark.conf.set(limit, "256k")
     try:
-        plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+        plan = mixed(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
     finally:
         spark.conf.unset(limit)
     depth = lambda line: len(line) - len(line.lstrip(" :+-"))
